@@ -244,11 +244,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"min_len must be {2 * GRAM} or more")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 62)))
-    keyed = pack(docs, did.alias("did"), F.xxhash64(did, text).alias("dx"), text.alias("text"))
+    keyed = pack(docs, did.alias("did"), F.xxhash64(did, text).alias("dx"))
+    inner = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).alias("text")  # never beside the row: it would be moved twice
     key = ["did", "dx"]
     n = partitions(docs.sparkSession)
 
-    found = materialize(map_batches(keyed.select(*key, "text"), _find(min_len), "did long, dx long, p int, lo short, nw short, ah long, sh long"), "anchors")
+    found = materialize(map_batches(keyed.select(*key, inner), _find(min_len), "did long, dx long, p int, lo short, nw short, ah long, sh long"), "anchors")
     often = found.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
     again = materialize(found.join(often, "ah", "left_semi"), "repeated")
     each = again.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("did", "dx", "p", "lo", "nw")).alias("r"))
@@ -256,14 +257,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = again.join(each.filter("n > 1").select("ah", "sh"), ["ah", "sh"], "left_semi").select(*key, (F.col("p") - F.col("lo")).alias("s"), (F.col("p") - F.col("lo") + F.col("nw") + (min_len - 1)).alias("e"))
     mixed = materialize(each.join(groups, "ah").select("r.*", "ah", "n", "d"), "mixed")
 
-    texts = keyed.select(*key, "text", "row")
+    texts = keyed.select(*key, "row")
     ask = lambda rows: rows.groupBy(*key).agg(F.collect_list(F.struct(*key, "p", "lo", "nw", "ah", "n")).alias("want"))
     bounded, hot = mixed.filter(F.col("d") <= max_group), mixed.filter(F.col("d") > max_group)
-    snips = map_batches(texts.join(ask(bounded), key).select("text", "want"), _cut(min_len), "ah long, did long, dx long, p int, lo short, nw short, alone boolean, snip binary")
+    snips = map_batches(texts.join(ask(bounded), key).select(inner, "want"), _cut(min_len), "ah long, did long, dx long, p int, lo short, nw short, alone boolean, snip binary")
     spans = map_batches(snips.repartition(n, "ah").sortWithinPartitions("ah"), _transform(min_len, block_rows), "did long, dx long, s int, e int")
     parts = [whole, spans]
     if not hot.isEmpty():
-        w = materialize(map_batches(texts.join(ask(hot), key).select("text", "want"), _windows(min_len), "w binary, did long, dx long, s int, n long"), "windows")
+        w = materialize(map_batches(texts.join(ask(hot), key).select(inner, "want"), _windows(min_len), "w binary, did long, dx long, s int, n long"), "windows")
         twice = w.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
         parts.append(w.filter("n = 1").join(twice, "w", "left_semi").select(*key, "s", (F.col("s") + min_len).alias("e")))
     cuts = parts[0]
@@ -272,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = cuts.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
     row = docs.schema.simpleString()
     kind = "string" if decode else "binary"
-    return map_batches(texts.join(cuts, key, "left").select("row", "text", "cuts"), partial(_keep, decode), f"row {row}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept {kind}")
+    return map_batches(texts.join(cuts, key, "left").select("row", inner, "cuts"), partial(_keep, decode), f"row {row}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept {kind}")
 
 
 def brute_force(texts: list[str | None], min_len: int) -> list[tuple[int, int, int, str]]:
