@@ -28,10 +28,17 @@ def held_out(folds: int, fold: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == fold
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
-    """text and label of the rows that may be learnt from."""
-    known = labels.select("doc_id", F.col(label).alias("label")).filter(~held_out(folds, fold))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: dict[int, int]) -> DataFrame:
+    """text and label of rows that may be learnt from: for each label at most so many, chosen by a hash of the id.
+
+    The chosen ids, at most the sum of `most`, are broadcast, so the texts aren't shuffled.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out(folds, fold) & F.col("doc_id").isNotNull())
+    chosen = None
+    for value, n in most.items():
+        some = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("text", "label")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +54,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1), "label")
+    model = quality.fit(labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, {0: 2000, 1: 2000}), "label")
     out = quality.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -72,7 +79,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2), "label")
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, {0: 1600, 1: 800}), "label")
     out = toxicity.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
