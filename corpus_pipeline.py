@@ -15,7 +15,7 @@ from quillstream.llm.queries import labelled, vocabulary
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go."""
-    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, {0: 1600, 1: 800}), "label")
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, {0: 2400, 1: 800}), "label")
     return toxicity.drop_toxic(docs, model, least=0.3)
 
 

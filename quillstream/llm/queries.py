@@ -79,7 +79,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, {0: 1600, 1: 800}), "label")
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, {0: 2400, 1: 800}), "label")
     out = toxicity.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -180,13 +180,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts) + self.shift, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by damped Newton steps with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, clean: float = 3.0) -> tuple[float, float]:
+    """Slope and shift of a logistic curve, by damped Newton steps with a small ridge. Rows labelled 0 weigh `clean`
+    times as much: they are rarer in the sample than in the corpus."""
+    c = np.where(y > 0, 1.0, clean)
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum()])
-        w = p * (1 - p) + 1e-9
+        g = np.array([(c * (p - y) * x).sum() + 0.01 * a, (c * (p - y)).sum()])
+        w = c * p * (1 - p) + 1e-9
         h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
@@ -279,7 +281,7 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
     return model
 
 
-def fit(labelled: DataFrame, label_col: str, text_col: str = "text", max_toxic: int = 800, max_clean: int = 1600, **options) -> Model:
+def fit(labelled: DataFrame, label_col: str, text_col: str = "text", max_toxic: int = 800, max_clean: int = 2400, **options) -> Model:
     """Fit on at most max_toxic rows labelled 1 and max_clean labelled 0, chosen by a hash of their text. Their distinct
     units come to the driver, those of whole texts. Rows without a label don't count."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
