@@ -1,4 +1,344 @@
-"""The query catalogue."""
+"""The query catalogue: every operator over whole tables, with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillstream.functions import scoring as S
+from quillstream.functions import text as X
+from quillstream.operators import routing, selection, store, stories
+from quillstream.plans.adapters import ARTICLES, REGISTRY, VOCAB, articles, registry
+from quillstream.session import table
+from quillstream.sources import feeds
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+CATEGORIES = [routing.BG, routing.GLOBAL, routing.TECH]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _hits(name: str) -> str:
+    terms = VOCAB[name]
+    test = lambda t: f"starts_with(t, '{t}')" if len(t) > 4 else f"t = '{t}'"
+    return " + ".join(f"(len(list_filter(toks, lambda t: {test(t)})) > 0)::INT" for t in terms)
+
+
+_TOKS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS toks"
+CLASSIFIED = f"""{ARTICLES}, t AS (SELECT *, {_TOKS} FROM a), h AS (SELECT *, {", ".join(f"{_hits(k)} AS {k}" for k in VOCAB)} FROM t),
+ p AS (SELECT *, CASE WHEN civic > 0 OR "foreign" >= 2 THEN civic + "foreign" ELSE 0 END AS politics FROM h),
+ c AS (SELECT *, CASE WHEN politics < 1 AND tech < 1 THEN NULL WHEN tech > politics THEN 'ai_tech_business'
+   WHEN politics >= 1 AND (domestic >= 1 OR (lang = 'bg' AND "foreign" = 0)) THEN 'bg_politics' WHEN politics >= 1 THEN 'global_politics'
+   WHEN tech >= 1 THEN 'ai_tech_business' END AS category FROM p)""".replace(" AS foreign", ' AS "foreign"')
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anything = F.lit(None).cast("array<string>")
+    return articles(spark, sf_dir).withColumn("category", routing.category(F.lower("text"), F.col("lang"), anything, VOCAB))
+
+
+@query("SELECT page_id, (lower(url) LIKE '%/de/%' OR lower(url) LIKE '%ref=%' OR lower(url) LIKE '%casino%') AS noise FROM pages")
+def url_section_noise(spark, sf):
+    return table(spark, sf, "pages").select("page_id", routing.section_noise(F.col("url"), ["/de/", "ref=", "casino"]).alias("noise"))
+
+
+@query(f"WITH {ARTICLES}, t AS (SELECT *, regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+') AS toks FROM a) SELECT doc_id, len(list_filter(toks, lambda t: t IN ('the', 'der') OR starts_with(t, 'menta'))) > 0 AS noise FROM t")
+def title_noise(spark, sf):
+    return articles(spark, sf).select("doc_id", routing.is_noise(F.col("url"), F.col("title"), [], ["the", "der", "menta"]).alias("noise"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT doc_id, civic::BIGINT AS civic, \"foreign\"::BIGINT AS foreign_hits, tech::BIGINT AS tech, domestic::BIGINT AS domestic FROM h")
+def vocab_hits(spark, sf):
+    h = lambda k: X.vocabulary_hits(F.lower("text"), VOCAB[k]).cast("long")
+    return articles(spark, sf).select("doc_id", h("civic").alias("civic"), h("foreign").alias("foreign_hits"), h("tech").alias("tech"), h("domestic").alias("domestic"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT doc_id, category FROM c WHERE category IS NOT NULL")
+def classify_docs(spark, sf):
+    return classified(spark, sf).filter("category is not null").select("doc_id", "category")
+
+
+@query(f"WITH {CLASSIFIED}, {REGISTRY}, s AS (SELECT doc_id, category, coalesce(weight, 1.0) AS weight, length(title)::BIGINT AS title_chars, row_number() OVER (PARTITION BY category ORDER BY coalesce(weight, 1.0) DESC, length(title) DESC, doc_id) AS rank FROM c LEFT JOIN reg ON source_slug = slug WHERE category IS NOT NULL) SELECT category, rank::INT AS rank, doc_id, weight, title_chars FROM s WHERE rank <= 3")
+def top3_per_category(spark, sf):
+    df = routing.with_registry(classified(spark, sf).filter("category is not null").drop("text"), registry(spark, sf))
+    top = routing.top_per(df, ["category"], [F.desc("weight"), F.desc(F.length("title")), F.col("doc_id")], 3)
+    return top.select("category", "rank", "doc_id", "weight", F.length("title").cast("long").alias("title_chars"))
+
+
+@query(f"WITH {ARTICLES}, q AS (SELECT *, row_number() OVER (PARTITION BY source_slug ORDER BY doc_id) AS n FROM a), v AS (SELECT *, row_number() OVER (PARTITION BY source_slug ORDER BY doc_id) AS m FROM q WHERE n <= 80 AND length(title) > 20) SELECT doc_id, source_slug FROM v WHERE m <= 40")
+def per_source_cap(spark, sf):
+    return routing.per_source_cap(articles(spark, sf), "source_slug", "doc_id", F.length("title") > 20).select("doc_id", "source_slug")
+
+
+@query(f"WITH {ARTICLES} SELECT doc_id FROM a WHERE published_at >= TIMESTAMP '2026-01-02 12:00:00' - INTERVAL 30 HOURS")
+def lookback(spark, sf):
+    return routing.lookback(articles(spark, sf), "published_at", F.to_timestamp(F.lit("2026-01-02 12:00:00"))).select("doc_id")
+
+
+@query(f"WITH {ARTICLES}, {REGISTRY} SELECT doc_id, coalesce(name, source_slug) AS name, coalesce(lean, 'unknown') AS lean, coalesce(reliability, 'medium') AS reliability, coalesce(weight, 1.0) AS weight FROM a LEFT JOIN reg ON source_slug = slug")
+def registry_left_join_defaults(spark, sf):
+    return routing.with_registry(articles(spark, sf), registry(spark, sf)).select("doc_id", "name", "lean", "reliability", "weight")
+
+
+@query(f"WITH {CLASSIFIED}, {REGISTRY} SELECT category, count(DISTINCT source_slug) AS source_count, count(*) AS article_count, round(0.6 * max(CASE reliability WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 WHEN 'low' THEN 0.45 WHEN 'propaganda' THEN 0.15 ELSE 0.75 END) + 0.4 * least(count(DISTINCT source_slug) / 4.0, 1.0), 4)::DOUBLE AS credibility, min(published_at) AS first_seen, max(published_at) AS last_seen FROM c LEFT JOIN reg ON source_slug = slug WHERE category IS NOT NULL GROUP BY category")
+def source_breadth(spark, sf):
+    df = routing.with_registry(classified(spark, sf).filter("category is not null"), registry(spark, sf))
+    out = df.groupBy("category").agg(F.collect_set("source_slug").alias("s"), F.collect_set("reliability").alias("r"), F.count("*").alias("article_count"), F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen"))
+    return out.select("category", F.size("s").cast("long").alias("source_count"), "article_count", S.source_credibility(F.col("r"), F.col("s")).alias("credibility"), "first_seen", "last_seen")
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 32) AS url_hash FROM pages")
+def url_hash(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.url_hash(F.col("url")).alias("url_hash"))
+
+
+@query(f"WITH {ARTICLES} SELECT source_slug, lang, substr(sha256(array_to_string(list_sort(list(url)), '|')), 1, 32) AS cluster_key FROM a GROUP BY source_slug, lang")
+def cluster_key(spark, sf):
+    return articles(spark, sf).groupBy("source_slug", "lang").agg(X.cluster_key(F.collect_list("url")).alias("cluster_key"))
+
+
+_NORMAL = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'des'))"
+
+
+@query(f"SELECT doc_id, array_to_string({_NORMAL.format(c='text')}, ' ') AS words FROM documents")
+def normalize_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.normalize(F.col("text"), ["the", "and", "des"]).alias("words"))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents")
+def exact_duplicates(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return d.join(d.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "h").select("doc_id", "first_id", "copies")
+
+
+@query()
+def near_dup_greedy_keep(spark, sf):
+    words = X.normalize(F.concat_ws(" ", "title", F.substring("text", 1, 400)))
+    df = articles(spark, sf).select("doc_id", "source_slug", stories.simhash(words).alias("simhash"))
+    return stories.drop_near_duplicates(df, "source_slug", "doc_id", "simhash")
+
+
+def _titles(spark, sf) -> DataFrame:
+    """Distinct first lines with their smallest document."""
+    t = articles(spark, sf).groupBy("title").agg(F.min("doc_id").alias("doc_id"))
+    return t.withColumn("words", X.tokens(X.normalize(F.col("title")))).filter(F.size("words") >= 3)
+
+
+_TITLES = f"""{ARTICLES}, u AS (SELECT title, min(doc_id) AS doc_id FROM a GROUP BY title),
+ w AS (SELECT doc_id, title, list_filter(regexp_split_to_array(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3) AS words FROM u),
+ t AS (SELECT doc_id, title, words, list_distinct(words) AS s FROM w WHERE len(words) >= 3)"""
+
+
+@query(f"WITH {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL) SELECT a, b, round(k / (na + nb - k), 6)::DOUBLE AS similarity FROM p WHERE k / (na + nb - k) >= 0.35")
+def jaccard_headline_pairs(spark, sf):
+    return stories.jaccard_edges(_titles(spark, sf), "doc_id", "words", 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH e AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3))) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM e GROUP BY item_id), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.item_id < y.item_id GROUP BY ALL) SELECT a, b, round(k / least(i.n, j.n), 6)::DOUBLE AS similarity FROM p JOIN n i ON i.item_id = a JOIN n j ON j.item_id = b WHERE k >= 3 AND k / least(i.n, j.n) >= 0.15")
+def containment_pairs(spark, sf):
+    b = table(spark, sf, "benchmark").withColumn("words", X.tokens(X.normalize(F.col("text"))))
+    return stories.containment_edges(b, "item_id", "words", 0.15).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH f AS (SELECT item_id, replace(lower(text), ' ', '') AS t FROM benchmark), g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) AS g FROM f), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.item_id < y.item_id GROUP BY ALL) SELECT a, b, round(k / (i.n + j.n - k), 6)::DOUBLE AS similarity FROM p JOIN n i ON i.item_id = a JOIN n j ON j.item_id = b WHERE k / (i.n + j.n - k) >= 0.1")
+def char4gram_pairs(spark, sf):
+    b = table(spark, sf, "benchmark").withColumn("grams", X.char_ngrams(F.lower("text")))
+    return stories.jaccard_edges(b, "item_id", "grams", 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+_TFIDF = """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3) AS w FROM benchmark),
+ t AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+ tf AS (SELECT item_id, term, 1 + ln(count(*)) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ x AS (SELECT item_id, tf.term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM tf JOIN d USING (term)),
+ v AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM x),
+ p AS (SELECT i.item_id AS a, j.item_id AS b, sum(i.w * j.w) AS s FROM v i JOIN v j ON i.term = j.term AND i.item_id < j.item_id GROUP BY ALL)
+ SELECT a, b, round(s, 5) AS similarity FROM p WHERE s >= 0.02"""
+
+
+@query(_TFIDF)
+def tfidf_cosine_pairs(spark, sf):
+    b = table(spark, sf, "benchmark").withColumn("words", X.tokens(X.normalize(F.col("text"))))
+    return stories.cosine_edges(stories.tfidf(b, "item_id", "words"), 0.02).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"WITH RECURSIVE {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY ALL HAVING k / (na + nb - k) >= 0.35), c(a, r) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON p.a = c.r) SELECT a AS node, least(a, min(r)) AS root FROM c GROUP BY a")
+def story_components(spark, sf):
+    return stories.components(stories.jaccard_edges(_titles(spark, sf), "doc_id", "words", 0.35))
+
+
+@query(f"WITH {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS key, y.doc_id AS parent_key, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id % 2 = 1 AND y.doc_id % 2 = 0 GROUP BY ALL), s AS (SELECT key, parent_key, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.35) SELECT key, parent_key, round(similarity, 6)::DOUBLE AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, parent_key) = 1")
+def continuity_best_match(spark, sf):
+    t = _titles(spark, sf).withColumnRenamed("doc_id", "key")
+    return stories.best_match(t.filter("key % 2 = 1"), t.filter("key % 2 = 0")).select("key", "parent_key", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH RECURSIVE c AS (SELECT o_orderkey AS key, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_key FROM orders), u(start, ancestor, depth) AS (SELECT key, parent_key, 1 FROM c WHERE parent_key IS NOT NULL UNION ALL SELECT u.start, c.parent_key, u.depth + 1 FROM u JOIN c ON c.key = u.ancestor WHERE c.parent_key IS NOT NULL AND u.depth < 3) SELECT start, ancestor, depth FROM u")
+def lineage(spark, sf):
+    o = table(spark, sf, "orders")
+    chain = o.select(F.col("o_orderkey").alias("key"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("parent_key"))
+    return stories.lineage(chain, 3)
+
+
+_SIGNAL = {"purchase": "more", "signup": "deep_dive", "error": "irrelevant", "click": "less"}
+
+
+@query("SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(CASE event_type WHEN 'purchase' THEN 0.15::DOUBLE WHEN 'signup' THEN 0.2::DOUBLE WHEN 'click' THEN -0.15::DOUBLE WHEN 'error' THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id)), lambda a, x: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, a + x))), 6) + 0.0 AS weight FROM events GROUP BY user_id")
+def interest_weights(spark, sf):
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _SIGNAL.items() for x in p]), F.col("event_type")), F.lit("other"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct("ts", "event_id", name.alias("signal"))).alias("e"))
+    return e.select("user_id", (F.round(S.interest_fold(F.col("e")), 6) + 0.0).alias("weight"))
+
+
+_DIMS = ["rule_of_law", "media_freedom", "minority_rights", "other"]
+_RUBRIC = """b AS (SELECT d.doc_id, l.toxic = 1 OR d.doc_id % 3 = 0 AS relevant, (d.doc_id % 11) / 10.0::DOUBLE AS significance, (d.doc_id % 7) / 7.0::DOUBLE AS novelty, l.quality::DOUBLE AS credibility,
+   (d.doc_id % 5 - 2)::INT AS d1, ((d.doc_id // 5) % 5 - 2)::INT AS d2, (d.doc_id % 10) / 10.0::DOUBLE AS c1, ((d.doc_id // 10) % 10) / 10.0::DOUBLE AS c2, [1.0, 0.9, 0.7, 0.6][d.doc_id % 4 + 1]::DOUBLE AS w1, [1.0, 0.9, 0.7, 0.6][(d.doc_id + 1) % 4 + 1]::DOUBLE AS w2 FROM documents d JOIN labels l USING (doc_id)),
+ g AS (SELECT *, CASE WHEN relevant AND w1 * c1 + w2 * c2 > 0 THEN (d1 * w1 * c1 + d2 * w2 * c2) / (w1 * c1 + w2 * c2) ELSE 0.0 END AS direction FROM b)"""
+
+
+def rubric(spark, sf) -> DataFrame:
+    i = F.col("doc_id")
+    dim = lambda k: F.element_at(F.array(*map(F.lit, _DIMS)), ((i + k) % 4 + 1).cast("int"))
+    impact = lambda k, d, c: F.struct(dim(k).alias("dimension"), d.cast("int").alias("direction"), c.alias("confidence"), F.lit("a rationale of six words here").alias("rationale"))
+    d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id")
+    impacts = F.array(impact(0, i % 5 - 2, (i % 10) / 10.0), impact(1, F.floor(i / 5) % 5 - 2, (F.floor(i / 10) % 10) / 10.0))
+    d = d.select("doc_id", ((F.col("toxic") == 1) | (i % 3 == 0)).alias("relevant"), ((i % 11) / 10.0).alias("significance"), ((i % 7) / 7.0).alias("novelty"), F.col("quality").cast("double").alias("credibility"), impacts.alias("impacts"))
+    return d.withColumn("direction", S.weighted_direction(F.col("relevant"), F.col("impacts")))
+
+
+@query(f"WITH {_RUBRIC} SELECT doc_id, round(direction, 6) AS direction FROM g")
+def weighted_direction(spark, sf):
+    return rubric(spark, sf).select("doc_id", F.round("direction", 6).alias("direction"))
+
+
+@query(f"WITH {_RUBRIC} SELECT doc_id, CASE WHEN relevant THEN round(0.65::DOUBLE * significance + 0.35::DOUBLE * least(abs(direction) / 2, 1.0), 4) ELSE 0.0 END AS democracy, CASE WHEN direction < -0.15 THEN 'erosion' WHEN direction > 0.15 THEN 'strengthening' ELSE 'neutral' END AS tone FROM g")
+def democracy_score(spark, sf):
+    return rubric(spark, sf).select("doc_id", S.democracy_score(F.col("relevant"), F.col("significance"), F.col("direction")).alias("democracy"), X.tone(F.col("direction")).alias("tone"))
+
+
+@query(f"WITH {_RUBRIC} SELECT doc_id, concat_ws(',', CASE WHEN significance > 0.7 AND credibility < 0.5 THEN 'significance_without_credibility' END, CASE WHEN abs(d1) >= 2 AND novelty < 0.4 THEN 'strong_claim_narrow_sources' END, CASE WHEN relevant THEN 'no_contrarian_read' END) AS flags FROM g")
+def sanity_flags(spark, sf):
+    net = F.element_at("impacts", 1)["direction"]
+    flags = S.sanity_flags(F.col("significance"), F.col("credibility"), F.col("relevant"), F.col("impacts"), net, F.col("novelty"), F.lit(None).cast("string"))
+    return rubric(spark, sf).select("doc_id", F.array_join(flags, ",").alias("flags"))
+
+
+@query(f"WITH {_RUBRIC}, s AS (SELECT *, CASE WHEN relevant THEN round(0.65::DOUBLE * significance + 0.35::DOUBLE * least(abs(direction) / 2, 1.0), 4) ELSE 0.0 END AS democracy FROM g) SELECT doc_id, round(round(0.3::DOUBLE * democracy + 0.25::DOUBLE * significance + 0.2::DOUBLE * novelty + 0.15::DOUBLE * credibility + 0.05::DOUBLE - (CASE WHEN doc_id % 2 = 0 THEN 0.08::DOUBLE ELSE 0.06::DOUBLE END + CASE WHEN doc_id % 4 = 0 AND novelty < 0.4 THEN 0.1::DOUBLE ELSE 0.0 END), 4), 3) AS total FROM s")
+def selection_score(spark, sf):
+    r = rubric(spark, sf)
+    dem = S.democracy_score(F.col("relevant"), F.col("significance"), F.col("direction"))
+    count = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2)
+    pen = S.penalties(count, F.array(F.lit("center"), F.lit("center")), F.array().cast("array<string>"), F.col("doc_id") % 4 == 0, F.col("novelty"))
+    return r.select("doc_id", F.round(S.selection_total(dem, F.col("significance"), F.col("novelty"), F.col("credibility"), F.lit(0.5), pen), 3).alias("total"))
+
+
+@query(f"WITH {_RUBRIC} SELECT doc_id % 30 AS day, count(*) AS stories, count(*) FILTER (relevant) AS democracy_relevant, count(*) FILTER (relevant AND direction <= -0.3) AS eroding, count(*) FILTER (relevant AND direction >= 0.3) AS strengthening, round(avg(CASE WHEN relevant THEN direction END), 4) AS net_direction, round(avg(CASE WHEN relevant THEN significance END), 4) AS mean_significance FROM g GROUP BY 1")
+def daily_summary(spark, sf):
+    return selection.daily_summary(rubric(spark, sf).withColumn("day", F.col("doc_id") % 30), "day")
+
+
+@query("WITH d AS (SELECT ts::DATE::VARCHAR AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) SELECT * FROM (SELECT * FROM d ORDER BY day DESC LIMIT 10) ORDER BY day")
+def trend_last_n(spark, sf):
+    d = table(spark, sf, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return selection.last_ascending(d, "day", 10)
+
+
+@query(f"WITH {_RUBRIC}, s AS (SELECT *, doc_id % 30 AS day, CASE WHEN relevant THEN round(0.65::DOUBLE * significance + 0.35::DOUBLE * least(abs(direction) / 2, 1.0), 4) ELSE 0.0 END AS democracy FROM g), p AS (SELECT day, doc_id AS key, democracy FROM s WHERE relevant QUALIFY row_number() OVER (PARTITION BY day ORDER BY democracy DESC, novelty DESC, doc_id) = 1) SELECT * FROM p WHERE democracy >= 0.35")
+def deep_dive_pick(spark, sf):
+    r = rubric(spark, sf).withColumns({"day": F.col("doc_id") % 30, "key": F.col("doc_id"), "total": F.col("novelty"), "democracy": S.democracy_score(F.col("relevant"), F.col("significance"), F.col("direction"))})
+    return selection.deep_dive(r, "day").select("day", "key", "democracy")
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / 10.0::DOUBLE AS p, sum(n / 10.0::DOUBLE) OVER (PARTITION BY user_id) AS s FROM c) SELECT user_id, event_type, round(CASE WHEN abs(s - 1) > 0.15 AND s > 0 THEN round(least(p / s, 1.0), 3) ELSE p END, 3) AS p FROM p")
+def normalize_probs(spark, sf):
+    c = table(spark, sf, "events").groupBy("user_id", "event_type").agg((F.count("*") / 10.0).alias("p"))
+    g = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "p"))).alias("x"))
+    g = g.select("user_id", F.arrays_zip(F.col("x.event_type").alias("event_type"), S.normalize_probabilities(F.col("x.p")).alias("p")).alias("x"))
+    return g.select("user_id", F.inline("x").alias("event_type", "p")).withColumn("p", F.round("p", 3))
+
+
+@query("SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def stories_latest(spark, sf):
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "c_name", "o_orderdate")
+
+
+def _slices(spark, sf) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    old = c.filter("c_custkey % 3 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_name")))
+    return old, c.filter("c_custkey % 2 = 0").withColumns({"c_acctbal": F.col("c_acctbal") + 1, "c_mktsegment": F.lit("NEW")})
+
+
+_SLICES = "o AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal, 'NEW' AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0)"
+
+
+@query(f"WITH {_SLICES} SELECT c_custkey, coalesce(nullif(o.c_name, ''), n.c_name, o.c_name) AS c_name, round(coalesce(n.c_acctbal, o.c_acctbal), 4) AS c_acctbal, coalesce(o.c_mktsegment, n.c_mktsegment) AS c_mktsegment FROM o FULL JOIN n USING (c_custkey)")
+def snapshot_upsert(spark, sf):
+    old, new = _slices(spark, sf)
+    return store.upsert(old, new, ["c_custkey"], keep=["c_mktsegment"], fill=["c_name"]).withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+@query(f"WITH {_SLICES} SELECT c_custkey, c_mktsegment FROM o UNION ALL SELECT c_custkey, c_mktsegment FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)")
+def insert_if_absent(spark, sf):
+    old, new = _slices(spark, sf)
+    return store.insert_absent(old, new, ["c_custkey"]).select("c_custkey", "c_mktsegment")
+
+
+@query("WITH a AS (SELECT user_id, event_type, max(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, event_type, min(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT user_id, event_type, coalesce(b.v, a.v) AS v FROM a FULL JOIN b USING (user_id, event_type)")
+def map_deep_merge(spark, sf):
+    e = table(spark, sf, "events")
+    m = lambda d, f, n: d.groupBy("user_id", "event_type").agg(f("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias(n))
+    both = m(e.filter("event_id % 2 = 0"), F.max, "a").join(m(e.filter("event_id % 2 = 1"), F.min, "b"), "user_id", "full_outer")
+    return both.select("user_id", F.explode(store.merge_maps(F.col("a"), F.col("b"))).alias("event_type", "v"))
+
+
+@query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')")
+def contested_filter(spark, sf):
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role")).alias("c"))
+    return g.filter(F.exists("c", lambda x: x["role"].isin("system"))).select("conv_id", F.size("c").cast("long").alias("turns"))
+
+
+@query(f"WITH {_TITLES} SELECT DISTINCT doc_id, unnest(s) AS entity FROM t")
+def entity_postings(spark, sf):
+    return _titles(spark, sf).select("doc_id", F.explode("words").alias("entity")).dropDuplicates()
+
+
+@query("SELECT count(*) AS fetched, count(*) FILTER (lower(url) LIKE '%/de/%') AS noise, count(DISTINCT url) AS urls FROM pages")
+def run_stats(spark, sf):
+    return table(spark, sf, "pages").agg(F.count("*").alias("fetched"), F.count_if(routing.section_noise(F.col("url"), ["/de/"])).alias("noise"), F.count_distinct("url").alias("urls"))
+
+
+@query(f"WITH {ARTICLES}, {REGISTRY}, n AS (SELECT source_slug, count(*) AS entries FROM a WHERE doc_id % 13 <> 0 AND source_slug <> 'src1' GROUP BY 1) SELECT slug, coalesce(entries, 0) AS entries, CASE WHEN n % 6 = 5 THEN 'skip' WHEN coalesce(entries, 0) = 0 THEN 'DEAD' ELSE 'ok' END AS status FROM reg LEFT JOIN n ON slug = source_slug".replace("CASE WHEN n % 6", "CASE WHEN reg.n % 6"))
+def feed_health(spark, sf):
+    return feeds.feed_health(registry(spark, sf), articles(spark, sf).filter("doc_id % 13 <> 0 and source_slug <> 'src1'"))
+
+
+@query()
+def html_text(spark, sf):
+    return feeds.pages_text(table(spark, sf, "pages"))
+
+
+@query()
+def chunk_messages(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunk_messages(F.col("text"))).alias("seq", "chunk"))
+
+
+@query()
+def constrained_top3(spark, sf):
+    c = classified(spark, sf).filter("category is not null")
+    words = F.slice(X.tokens(X.normalize(F.col("title"))), 1, 3)
+    day = (F.col("doc_id") % 30).alias("digest_date")
+    return selection.select_top(c.select(day, "category", F.col("doc_id").cast("string").alias("key"), ((F.col("doc_id") % 97) / 97.0).alias("total"), words.alias("entities")), CATEGORIES)
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(substr(split_part(text, chr(10), 1), 1, 160)), '[^a-z0-9]+', '-', 'g'), '-') [1:48] AS slug FROM documents")
+def slugs(spark, sf):
+    return articles(spark, sf).select("doc_id", X.slug(F.col("title")).alias("slug"))
