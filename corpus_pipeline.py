@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
+from quillstream.llm import bpe, decontaminate, simhash_wide, suffix_dedup, toxicity
 from quillstream.llm.common import materialize, table
 from quillstream.llm.queries import labelled, vocabulary
 
@@ -20,8 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, with the smallest id."""
+    return simhash_wide.keep_one(docs, similarity=0.8)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstream.llm import decontaminate, queries, simhash, suffix_dedup
+from quillstream.llm import decontaminate, queries, suffix_dedup
 
 
 def test_stages(spark, sf):
@@ -22,7 +22,21 @@ def test_stages(spark, sf):
             assert set(before) - ids == {d for d, _ in decontaminate.brute_force({d: t for d, t in before.items() if d not in ids}, items)}
         if k < len(corpus_pipeline.STAGES) - 1:
             docs = spark.createDataFrame(after, out.schema)
-    assert simhash.near_duplicates(docs).count() == docs.count()
+
+
+def test_near_copies(spark):
+    import random
+
+    from quillstream.llm import simhash_wide
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    near = [*base[:100], "other", *base[101:200], "words", *base[201:]]
+    far = [w if k % 4 else "x" for k, w in enumerate(base)]
+    texts = [" ".join(t) for t in (base, near, base, far)] + [None, "", "lone", "lone"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "of its own", 1), (6, "lone", 1)], "doc_id long, text string, did int")
+    assert sorted((r.doc_id for r in simhash_wide.keep_one(df).collect()), key=str) == [0, 3, 4, 6, None]
+    assert simhash_wide.keep_one(df.limit(0)).count() == 0
 
 
 def test_queries_give_a_row_each(spark, sf):
