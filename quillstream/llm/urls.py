@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The rules (host, path prefix, verdict).
@@ -56,7 +56,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.select("*", rule.alias("rule"), verdict.alias("given"), F.array_join(shape, "/").alias("shape"))
 
     leaf = rows.groupBy("host", "shape").agg(F.count("given").alias("n"), F.count_if(F.col("given") == "block").alias("b"))
-    tree = leaf.select("*", F.lit("").alias("template"), F.lit(None).cast("string").alias("top"))
+    tree = leaf.select("*", F.lit("").alias("template"))
     for level in range(depth + 1):
         # siblings under one parent: if they are many, the segment at this level becomes a wildcard
         here = F.get(F.split("shape", "/"), F.lit(level))

@@ -92,12 +92,6 @@ def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
         yield held
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b32(hashlib.sha1(t).digest()) for t in texts]), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "digest", "size"])
-
-
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, held = [], 0
@@ -113,7 +107,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, files: int | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> None:
     """Write a record for each page. Of pages with equal payloads of at least `least` bytes, that with the largest id is a
     response and the others revisit it; smaller payloads are all responses. Null html is empty. Pages that share the
     largest id are responses all; a null id is smaller than any other."""
