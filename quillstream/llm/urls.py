@@ -6,8 +6,9 @@ or a long token. Sibling branches whose labelled shares of blocked urls don't di
 and share their counts. A template is blocked if its purity, smoothed towards its host and the whole table, reaches the
 threshold.
 
-All of it is aggregation and joins on (host, template): counts are summed before they are shuffled, so a host or a
-template with a third of all rows is one row of the aggregate, and the join back leaves its rows where they are dealt.
+All of it is aggregation and joins on (host, template). Counts are summed before they are shuffled. In the joins a host
+or a template may still hold a third of the rows: keys with over a thousandth of them, hence at most a thousand, meet by
+broadcast, and the rest by shuffle. Every level of the tree is written to the shared folder, so no plan holds another twice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import materialize
+
+#: Keys with a larger share of the rows than one in HOT are broadcast, so at most HOT of them.
+HOT = 1000
+
 #: The rules (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -39,6 +45,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return choose(lambda r: r[0] + r[1]), choose(lambda r: r[2])
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Left join of left with right, which has one row per key and its number of left rows in `weight`, of `rows` in all.
+
+    Rows of a hot key get their values by broadcast and go on under salted keys that match nothing, so no task gets them
+    all. `weight` isn't returned.
+    """
+    values = [c for c in right.columns if c not in (*keys, "weight")]
+    is_hot = F.col("weight") * HOT >= F.lit(max(rows, 1))
+    hot = right.filter(is_hot).select(*keys, F.lit(True).alias("hot"), *[F.col(c).alias(f"hot_{c}") for c in values])
+    cold = right.filter(~is_hot).select(*keys, F.lit(0).cast("long").alias("salt"), *values)
+    salt = F.when(F.col("hot"), 1 + F.monotonically_increasing_id() % 65536).otherwise(F.lit(0).cast("long"))
+    both = left.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).join(cold, [*keys, "salt"], "left")
+    return both.select(*left.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in values])
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 4, max_children: int = 50, alpha: float = 2.0, least: float = 0.5, z: float = 1.96) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity for every row of pages.
 
@@ -55,32 +76,36 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     shape = F.concat(form, F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
     rows = rows.select("*", rule.alias("rule"), verdict.alias("given"), F.array_join(shape, "/").alias("shape"))
 
-    leaf = rows.groupBy("host", "shape").agg(F.count("given").alias("n"), F.count_if(F.col("given") == "block").alias("b"))
-    tree = leaf.select("*", F.lit("").alias("template"))
+    leaf = rows.groupBy("host", "shape").agg(F.count("given").alias("n"), F.count_if(F.col("given") == "block").alias("b"), F.count("*").alias("pages"))
+    tree = materialize(leaf.withColumn("template", F.lit("")), "url-leaves")
+    shapes, n_pages = tree.agg(F.count("*"), F.coalesce(F.sum("pages"), F.lit(0))).first()
     for level in range(depth + 1):
         # siblings under one parent: if they are many, the segment at this level becomes a wildcard
         here = F.get(F.split("shape", "/"), F.lit(level))
-        kids = tree.select("host", "template", here.alias("s")).filter("s is not null").groupBy("host", "template").agg(F.count_distinct("s").alias("kids"))
-        kids = kids.filter(F.col("kids") > max_children).select("host", "template", F.lit(True).alias("many"))
+        kids = tree.groupBy("host", "template", here.alias("s")).agg(F.count("*").alias("w")).groupBy("host", "template").agg(F.count("s").alias("kids"), F.sum("w").alias("weight"))
+        kids = kids.filter(F.col("kids") > max_children).select("host", "template", "weight", F.lit(True).alias("many"))
         seg = F.when(F.col("many") & here.isNotNull(), F.lit("*")).otherwise(here)
-        tree = tree.join(kids, ["host", "template"], "left").select("host", "shape", "n", "b", F.concat("template", F.coalesce(F.concat(F.lit("/"), seg), F.lit(""))).alias("template"))
-    templates = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        grown = F.concat("template", F.coalesce(F.concat(F.lit("/"), seg), F.lit(""))).alias("template")
+        tree = materialize(spread_join(tree, kids, ["host", "template"], shapes).select("host", "shape", "n", "b", "pages", grown), f"url-level-{level}")
+    templates = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("shapes"))
+    templates = materialize(templates.withColumn("family", F.regexp_replace("template", "^/[^/]*", "/?")), "url-templates")
 
     # siblings (equal but for their first segment) that the test can't tell from their family share its counts
-    family = F.regexp_replace("template", "^/[^/]*", "/?")
-    summed = templates.groupBy("host", family.alias("family")).agg(F.sum("n").alias("fn"), F.sum("b").alias("fb"))
-    hosts = templates.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
+    summed = templates.groupBy("host", "family").agg(F.sum("n").alias("fn"), F.sum("b").alias("fb"), F.count("*").alias("weight"))
+    hosts = templates.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"), F.count("*").alias("weight"))
     total = templates.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0)).alias("prior"))
-    both = templates.withColumn("family", family).join(summed, ["host", "family"]).join(hosts, "host").join(F.broadcast(total))
+    n_templates = templates.count()
+    both = spread_join(spread_join(templates, summed, ["host", "family"], n_templates), hosts, ["host"], n_templates).join(F.broadcast(total))
     p, q = F.try_divide("b", "n"), F.try_divide(F.col("fb") - F.col("b"), F.col("fn") - F.col("n"))
     pooled = F.try_divide("fb", "fn")
     spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), F.col("fn") - F.col("n"))))
     alike = (F.col("n") > 0) & (F.col("fn") > F.col("n")) & (F.abs(p - q) <= z * spread)
     n, b = F.when(alike, F.col("fn")).otherwise(F.col("n")), F.when(alike, F.col("fb")).otherwise(F.col("b"))
     host_purity = (F.col("hb") + alpha * F.col("prior")) / (F.col("hn") + alpha)
-    purity = both.select("host", "template", ((b + alpha * host_purity) / (n + alpha)).alias("purity"))
-    by_shape = tree.select("host", "shape", "template").join(purity, ["host", "template"])
+    purity = materialize(both.select("host", "template", ((b + alpha * host_purity) / (n + alpha)).alias("purity"), F.col("shapes").alias("weight")), "url-purity")
+    leaves = tree.select("host", "shape", "template", F.col("pages").alias("weight"))
+    by_shape = materialize(spread_join(leaves, purity, ["host", "template"], shapes), "url-shapes")
 
-    judged = rows.join(by_shape, ["host", "shape"], "left")
+    judged = spread_join(rows, by_shape, ["host", "shape"], n_pages)
     learnt = F.when(F.col("purity") >= least, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("given", learnt).alias("verdict"), "template", "purity")
