@@ -12,6 +12,10 @@ first key of every block. `lookup` binary-searches the directory, reads the bloc
 records in their byte ranges; `read_all` goes through all blocks.
 
 Equal payloads are found by their digest with an aggregate; the payload itself is never a key.
+
+Both joins that carry payloads or archives are sort-merge joins at every size: the other side has a row per group of equal
+payloads or per file, which grows with the input, so it is never broadcast; a hot payload is split by adaptive execution.
+A file holds `file_records` records at most, so neither its content nor its list of records grows with the input.
 """
 
 from __future__ import annotations
@@ -107,7 +111,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, file_records: int = 5000) -> None:
     """Write a record for each page. Of pages with equal payloads of at least `least` bytes, that with the largest id is a
     response and the others revisit it; smaller payloads are all responses. Null html is empty. Pages that share the
     largest id are responses all; a null id is smaller than any other."""
@@ -115,9 +119,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"))
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")))
     groups = rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= least).groupBy(sha.alias("sha")).agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1 and last is not null")
-    joined = rows.withColumn("sha", sha).join(groups, "sha", "left").select("page_id", "url", "html", "copies", "last")
+    joined = rows.withColumn("sha", sha).join(groups.hint("merge"), "sha", "left").select("page_id", "url", "html", "copies", "last")
     records = map_batches(joined, _write, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", file_records).text(path)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +200,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(spark: SparkSession, archives: str, entries: DataFrame) -> DataFrame:
-    """The records at entries (path, at, n). A file's entries are bounded by the file, one writer task's share."""
+    """The records at entries (path, at, n). A file's entries are bounded by the records of a file."""
     wanted = entries.groupBy("path").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    return map_batches(files.join(wanted, "path").select("content", "wanted"), _ranges, "page_id long, url string, kind string, digest string, size long, refers_to long, payload binary")
+    return map_batches(files.join(wanted.hint("merge"), "path").select("content", "wanted"), _ranges, "page_id long, url string, kind string, digest string, size long, refers_to long, payload binary")
 
 
 def read_all(spark: SparkSession, archives: str, index: str) -> DataFrame:
