@@ -19,9 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import map_batches, pack
+from quillstream.llm.common import blocks, map_batches, utf8
 
 CACHE_WORDS = 200_000
+#: Whole texts of about so many bytes are encoded together, so that a run of long texts takes no more memory than others.
+BLOCK_BYTES = 1 << 20
+#: Characters of a text that are split into words at a time.
+STRETCH = 1 << 16
+
+_SPACE = regex.compile(r"\s")
 
 
 def byte_symbols() -> list[str]:
@@ -105,17 +111,26 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.uint32), np.bincount(word, minlength=len(words))
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Words and ids of added tokens, in order."""
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, a list for each stretch; no word holds white space, so stretches end there."""
+        text, at = self.normal(text), 0
+        while at < len(text):
+            gap = _SPACE.search(text, at + STRETCH)
+            end = gap.start() if gap else len(text)
+            yield self.split.findall(text[at:end])
+            at = end
+
+    def pieces(self, text: str) -> Iterator[list[str | int]]:
+        """Words and ids of added tokens, in order, in lists of bounded length."""
         if self.find_added is None or "<|" not in text:
-            return self.split.findall(self.normal(text))
-        out: list[str | int] = []
+            yield from self.words(text)
+            return
         at = 0
         for m in self.find_added.finditer(text):
-            out += self.split.findall(self.normal(text[at : m.start()]))
-            out.append(self.added[m[0]])
+            yield from self.words(text[at : m.start()])
+            yield [self.added[m[0]]]
             at = m.end()
-        return out + self.split.findall(self.normal(text[at:]))
+        yield from self.words(text[at:])
 
     def learn(self, words: set[str | int]) -> None:
         """Append the words' ids to the flat cache."""
@@ -127,10 +142,8 @@ class Vocabulary:
         self.cache.update(zip([*plain, *fixed], range(len(self.cache), len(self.size))))
         self.first = np.cumsum(self.size) - self.size
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and the number of ids of each."""
-        parts = [self.pieces(t) for t in texts]
-        words = [w for p in parts for w in p]
+    def lookup(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and the number of ids of each."""
         new = {w for w in words if w not in self.cache}
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.forget()
@@ -139,15 +152,39 @@ class Vocabulary:
             self.learn(new)
         k = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
         size = self.size[k]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.first[k] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[np.cumsum([len(p) for p in parts])]
-        return ids, np.diff(np.concatenate([[0], ends]))
+        total = np.cumsum(size) - size
+        return self.flat[np.repeat(self.first[k] - total, size) + np.arange(size.sum())], size
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of ids of each. Words are held for a few stretches only."""
+        ids, size = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        words: list[str | int] = []
+        owner: list[int] = []
+        ends: list[int] = []
+
+        def flush() -> None:
+            got, each = self.lookup(words)
+            ids.append(got)
+            total = np.concatenate([[0], np.cumsum(each)])[[0, *ends]]
+            np.add.at(size, owner, np.diff(total))
+            for held in (words, owner, ends):
+                held.clear()
+
+        for i, text in enumerate(texts):
+            for part in self.pieces(text):
+                words += part
+                owner.append(i)
+                ends.append(len(words))
+                if len(words) > STRETCH:
+                    flush()
+        if words:
+            flush()
+        return np.concatenate(ids), size
 
     def decode(self, ids: np.ndarray) -> str:
         """The file names no decoder: token strings with a space between."""
         text = self.text
-        return " ".join([text[i] for i in ids.tolist()])
+        return " ".join([" ".join([text[i] for i in ids[a : a + STRETCH].tolist()]) for a in range(0, len(ids), STRETCH)])
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -158,24 +195,28 @@ def _run(content: str, packed: bool):
         voc = _LOADED.setdefault(content, Vocabulary(content)) if content not in _LOADED else _LOADED[content]
         for batch in batches:
             texts = batch.column(1)
-            for a in range(0, len(batch), 200):
-                ids, size = voc.encode([t or "" for t in texts.slice(a, 200).to_pylist()])
+            _, start, end = utf8(texts)
+            for a, b in blocks(start, end, BLOCK_BYTES):
+                ids, size = voc.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 decoded = [voc.decode(ids[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4"))]) if packed else pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 200), pa.array(size.astype(np.int64)), column, pa.array(decoded, pa.string())], names=["row", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), column, pa.array(decoded, pa.string())], names=["row", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", packed: bool = False, keep_text: bool = True) -> DataFrame:
     """Each row of docs as `row` with n_tokens, ids and decoded (token strings joined by spaces) of its whole text.
 
     ids is an array of int or, packed, a binary of little-endian unsigned 32-bit integers. vocabulary: the content of
     the file (about 1.7 MB, part of the task); the library is not used. Null and empty texts have no ids; further
-    columns stay inside `row`; rows that repeat are encoded each; an empty table gives no rows.
+    columns stay inside `row`; rows that repeat are encoded each; an empty table gives no rows. Without keep_text, `row`
+    goes without the text, unless that is the only column, and a text crosses to Python once and doesn't come back.
     """
-    row = docs.schema.simpleString()
+    kept = docs.columns if keep_text else [c for c in docs.columns if c != text_col] or docs.columns
+    columns = [F.col(f"`{c}`") for c in kept]
+    row = docs.select(*columns).schema.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kind = "binary" if packed else "array<int>"
-    return map_batches(pack(docs, text.alias("text")), _run(vocabulary, packed), f"row {row}, n_tokens long, ids {kind}, decoded string")
+    return map_batches(docs.select(F.struct(*columns).alias("row"), text.alias("text")), _run(vocabulary, packed), f"row {row}, n_tokens long, ids {kind}, decoded string")

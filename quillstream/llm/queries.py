@@ -60,7 +60,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), packed=True)
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), packed=True, keep_text=False)
     return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -107,6 +107,22 @@ def test_bpe_equals_the_library(spark):
         assert got[i] == (ids, lib.decode(ids, skip_special_tokens=False))
     packed = {r.doc_id: bytes(r.ids) for r in bpe.encode(df, queries.vocabulary(), packed=True).select("row.doc_id", "ids").collect()}
     assert packed == {i: np.array(v[0], "<u4").tobytes() for i, v in got.items()}
+    lean = bpe.encode(df, queries.vocabulary(), keep_text=False).select("row.*", "ids")
+    assert lean.columns == ["doc_id", "ids"] and {r.doc_id: list(r.ids) for r in lean.collect()} == {i: v[0] for i, v in got.items()}
+
+
+def test_bpe_in_short_stretches(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    texts = ["", " \n ", "x" * 50, "one <|endoftext|> two's  three" * 9, *[t for t in corpus(9, 20) if t]]
+    voc = bpe.Vocabulary(queries.vocabulary())
+    ids, size = voc.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [voc.decode(x) for x in np.split(ids, np.cumsum(size)[:-1])] == [lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
 
 
 def test_decontamination_is_brute_force(spark):
