@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and what they decode to."""
-    out = bpe.encode(docs, vocabulary())
+    out = bpe.encode(docs, vocabulary(), keep_text=False)
     return out.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids", "decoded")
 
 
