@@ -6,8 +6,10 @@ l * ((m - m')**2 + (s - s')**2)). A query block meets a candidate block coarse t
 matrix product, and only pairs whose bound reaches the query's k-th best score so far go to the next level. Survivors
 get their exact integer score. Bounds are rounded outwards, so no pair is lost.
 
-The query set is stated by the caller and grows with the table; it is never broadcast. Query blocks are joined to the
-candidate blocks by number, each task keeps k results per query, and a window over those gives the k best.
+The query set is stated by the caller and grows with the table, so nothing forces a broadcast: Spark picks one only while
+its estimate of a side is below spark.sql.autoBroadcastJoinThreshold. Each query block goes to every slot, of which there
+are as many as shuffle partitions, and meets the candidate blocks there; each task keeps k results per query, and a window
+over those gives the k best.
 """
 
 from __future__ import annotations
