@@ -1,20 +1,18 @@
-"""SimHash near-duplicates by similarity: wide fingerprints, for texts whose word shingles overlap by `similarity` or more.
-
-At 64 bits a pair whose five-word shingles have Jaccard 0.8 differs in about ten bits, too many for pigeonhole blocks. So
-texts get two wide fingerprints made like the narrow one, each word of them from the shingles' hashes mixed with another
-seed. The first, over three-word shingles, is split into BLOCKS blocks of 24 bits; pairs that share a block are
-candidates (two texts at Jaccard 0.8 miss all of them in a few cases in a hundred, closer ones almost never). The
-second, over five-word shingles, verifies them: its share of differing bits estimates the angle, hence the similarity,
-within about 0.02. Blocks that occur once drop out before any join, and copies are one fingerprint.
-
-Inside a bucket members are compared with a pivot; what it reaches is one component, and only the rest is compared
-further, with all. So a bucket of near copies costs about its size, no pair is emitted, and components stay exact.
-A bucket of more than CHUNK members is dealt out as pairs of its chunks.
+"""Near-duplicates by exact Jaccard similarity of word shingles, kept one of each component.
+
+A text is the set of the 64-bit hashes of its five-word shingles; a shorter text is one shingle. Two sets of similarity
+s or more share one of the first n - ceil(s * n) + 1 shingles of both in any common order of all shingles (prefix
+filter), so pairs that meet there are all there are. The order puts shingles that chunks of the corpus repeat last:
+it only decides how few texts meet, not which links are found.
+
+Copies are one set. Of the pairs that meet, those whose sizes and places in the order rule the similarity out are
+dropped, and every other one is decided on the whole sets. First each member of a bucket is compared with the bucket's
+smallest; then, as links are closed to components, only pairs whose components still differ are compared. So a group
+of near copies costs about its size. A bucket of more than CHUNK members is dealt out as pairs of its chunks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,111 +22,216 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import map_batches, materialize, pack, partitions, utf8
-from quillstream.llm.decontaminate import mix
 from quillstream.llm.simhash import SEED, components
 
-BLOCKS = 48
-KEY_WORDS, KEY_SHINGLE = 18, 3
-CHECK_WORDS, CHECK_SHINGLE = 12, 5
-CHUNK = 1 << 15
-_FLUSH = 60_000
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
-
-
-def wide(hashes: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
-    """A row of `words` * 8 bytes for each text, from the hashes of its shingles (size of them each, one after another)."""
-    m = len(size)
-    row = np.repeat(np.arange(m) * 256, size)
-    out = np.zeros((m, words * 8), np.uint8)
-    for w in range(words):
-        planes = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8)
-        for b in range(8):
-            ones = np.bincount(row + planes[:, b], minlength=m * 256).reshape(m, 256).astype(np.float32) @ _BITS
-            out[:, w * 8 + b] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").ravel()
-    return out
-
-
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        data, start, end = utf8(batch.column(2))
-        done: list[list[bytes]] = [[], []]
-        held: tuple[list, list] = ([], [])
-        sizes: tuple[list, list] = ([], [])
+SHINGLE = 5
+CHUNK = 1 << 12
+#: A shingle that a chunk of so many repeats so often goes to the end of the order; at most MOST_COMMON do.
+SEEN, OFTEN, MOST_COMMON = 1 << 20, 8, 1 << 17
+_SLOTS = 1 << 24
+_PAIRS = 200_000
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a UTF-8 text."""
+    norm = b" ".join(text.lower().split())
+    if not norm:
+        return np.zeros(1, np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(norm)]])
+    n, view, digest = min(SHINGLE, len(first)), memoryview(norm), xxhash.xxh64_intdigest
+    hs = {digest(view[x:y], SEED) for x, y in zip(first[: len(first) - n + 1].tolist(), last[n - 1 :].tolist())}
+    return np.sort(np.fromiter(hs, np.uint64, len(hs)))
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that a chunk of texts repeats, with how many of its texts have them."""
+    held: list[np.ndarray] = []
 
-        def flush(done=done, held=held, sizes=sizes) -> None:
-            for k, words in enumerate((KEY_WORDS, CHECK_WORDS)):
-                if sizes[k]:
-                    done[k] += [r.tobytes() for r in wide(np.array(held[k], np.uint64), np.array(sizes[k]), words)]
-                held[k].clear(), sizes[k].clear()
+    def out() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h[c >= OFTEN].view(np.int64)), pa.array(c[c >= OFTEN])], names=["h", "c"])
 
+    seen = 0
+    for batch in batches:
+        data, start, end = utf8(batch.column(0))
         for a, b in zip(start.tolist(), end.tolist()):
-            norm = b" ".join(data[a:b].tobytes().lower().split())
-            gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
-            first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(norm)]])
-            view = memoryview(norm)
-            for k, n in enumerate((KEY_SHINGLE, CHECK_SHINGLE)):
-                n = min(n, len(first))
-                hs = {digest(view[x:y], SEED) for x, y in zip(first[: len(first) - n + 1].tolist(), last[n - 1 :].tolist())} if norm else {0}
-                held[k].extend(hs)
-                sizes[k].append(len(hs))
-            if len(held[0]) > _FLUSH:
-                flush()
-        flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done[0], pa.binary()), pa.array(done[1], pa.binary())], names=["did", "dx", "keys", "check"])
-
-
-def most_bits(similarity: float) -> int:
-    """Differing bits of the checking fingerprint at this Jaccard similarity, and one standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = CHECK_WORDS * 64
-    return math.floor(n * share + math.sqrt(n * share * (1 - share)))
-
-
-def bucket_forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges (member, member) that connect a bucket as its links do."""
-    near = lambda rows, i: np.bitwise_count(fp[rows] ^ fp[i]).sum(1, dtype=np.int64) <= most
-    edges: list[tuple[int, int]] = []
-    rest = np.arange(len(fp))
-    while len(rest) > 1:
-        frontier = [int(rest[0])]
-        rest = rest[1:]
-        while frontier and len(rest):  # what the component reaches; after the pivot only the few that are left are compared
-            i = frontier.pop()
-            hit = near(rest, i)
-            found = rest[hit].tolist()
-            edges += [(j, i) for j in found]
-            frontier += found
-            rest = rest[~hit]
-    return edges
-
-
-def _verify(most: int):
+            held.append(shingles(data[a:b].tobytes()))
+            seen += len(held[-1])
+            if seen > SEEN:
+                yield out()
+                seen = 0
+    if held:
+        yield out()
+
+
+def least_shared(n, similarity: float):
+    return np.ceil(n * similarity - 1e-9).astype(np.int64)
+
+
+def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, start, end = utf8(batch.column(2))
+            ids, sizes, keys = [], [], []
+            for a, b in zip(start.tolist(), end.tolist()):
+                hs = shingles(data[a:b].tobytes())
+                ids.append(xxhash.xxh64_intdigest(hs.tobytes(), SEED))
+                sizes.append(len(hs))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
+                    hs = hs[np.argsort(np.where(common[at] == hs, often[at], 0), kind="stable")]
+                keys.append(hs[: len(hs) - int(least_shared(len(hs), similarity)) + 1].tobytes())
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["did", "dx", "id", "n", "keys"])
+
+    return run
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix: its hash, the set, and n * 2**32 + place in the order."""
+    for batch in batches:
+        for lo in range(0, len(batch), 100):
+            part = batch.slice(lo, 100)
+            data, start, end = utf8(part.column(2))
+            m = (end - start) // 8
+            key = np.concatenate([data[a:b] for a, b in zip(start, end)]).view(np.int64)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(m) - m, m)
+            size = np.repeat(np.asarray(part.column(1)).astype(np.int64), m)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.asarray(part.column(0)), m)), pa.array(size << 32 | place)], names=["key", "id", "np"])
+
+
+def may_link(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes whose first common shingle is at these places (packed) can reach the similarity."""
+    n, m, p, q = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
+    return np.minimum(n - p, m - q) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and id those whose key occurs again, with the first of the bucket and its size."""
+    parts: list[list[np.ndarray]] = []
+
+    def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, i, x = cols
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(key)))
+        of, m = np.repeat(head, size), np.repeat(size, size)
+        on = m > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (key, i, x, i[of], x[of], m)], names=["key", "id", "np", "top", "top_np", "m"])
+
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        parts.append(cols)
+        if cols[0][-1] != parts[0][0][0] and sum(len(p[0]) for p in parts) > 50_000:
+            whole = [np.concatenate(c) for c in zip(*parts)]
+            cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1  # the last bucket may go on
+            yield out([c[:cut] for c in whole])
+            parts = [[c[cut:] for c in whole]]
+    if parts:
+        yield out([np.concatenate(c) for c in zip(*parts)])
+
+
+def _apart(similarity: float):
+    """Pairs of a cell (key, x, y) whose components differ and that can link; of two chunks only pairs across."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, ids, fps = None, [], []
+        held_key, rows = None, []
 
-        def out() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            fp = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
-            return [(ids[i], ids[j]) for i, j in bucket_forest(fp, most)]
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if len({r[2] for r in rows}) < 2:
+                return
+            i, x, label, mine = (np.array(c, np.int64) for c in zip(*rows))
+            us: list[np.ndarray] = []
+            vs: list[np.ndarray] = []
+            held = 0
+            for k in range(len(i) - 1):
+                ok = (label[k + 1 :] != label[k]) & may_link(x[k + 1 :], x[k], similarity)
+                if held_key[1] != held_key[2]:
+                    ok &= mine[k + 1 :] != mine[k]
+                hit = i[k + 1 :][ok]
+                us.append(np.full(len(hit), i[k]))
+                vs.append(hit)
+                held += len(hit)
+                if held > _PAIRS or k == len(i) - 2:
+                    u, v = np.concatenate(us), np.concatenate(vs)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                    us, vs, held = [], [], 0
 
         for batch in batches:
-            edges: list[tuple[int, int]] = []
-            for *key, i, f in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, i, x, label, mine in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != held_key:
-                    edges += out()
-                    held_key, ids, fps = key, [], []
-                ids.append(i)
-                fps.append(f)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
-        if edges := out():
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                    yield from pairs()
+                    held_key, rows = key, []
+                rows.append((i, x, label, mine))
+        yield from pairs()
 
     return run
 
 
+def _sets(wanted: np.ndarray):
+    """Whole sets of the rows (hash, text) whose hash falls in a wanted slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.asarray(batch.column(0)) & (_SLOTS - 1)
+            at = np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            data, start, end = utf8(batch.column(1))
+            for lo in range(0, len(at), 100):
+                hs = [shingles(data[start[k] : end[k]].tobytes()).tobytes() for k in at[lo : lo + 100]]
+                ids = np.array([xxhash.xxh64_intdigest(h, SEED) for h in hs], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def _exact(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = np.zeros(len(batch), bool)
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                on[k] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["u", "v"])
+
+    return run
+
+
+def links(docs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """Edges u, v between sets (id, n, keys, low) with the same components as all pairs of that similarity or more."""
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    keyed = map_batches(each.select("id", "n", "keys"), _explode, "key long, id long, np long")
+    met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, np long, top long, top_np long, m long")
+    met = materialize(met, "buckets")
+    members = met.select("id").distinct()
+    slots = members.join(each.select("id", "low"), "id").select(F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).cast("int").alias("slot")).distinct()
+    wanted = np.zeros(_SLOTS, np.uint8)
+    wanted[np.asarray(slots.toArrow().column(0))] = 1
+    sets = map_batches(docs, _sets(np.packbits(wanted, bitorder="little")), "id long, set binary")
+    sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")).join(members, "id", "left_semi"), "sets")
+
+    def exact(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+        return materialize(map_batches(both.select("u", "v", "a", "b"), _exact(similarity), "u long, v long"), name)
+
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    near = F.least(high("np") - low("np"), high("top_np") - low("top_np")) >= similarity / (1 + similarity) * (high("np") + high("top_np")) - 1e-6
+    stars = exact(met.filter(F.col("id") != F.col("top")).filter(near).select(F.col("top").alias("u"), F.col("id").alias("v")).distinct(), "stars")
+    roots = components(stars)
+    rest = met.join(roots, met["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    chunks = F.ceil(F.col("m") / CHUNK)
+    mine = F.pmod(F.col("id"), chunks)
+    rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "np", "label", mine.alias("mine"))
+    cells = ["key", "x", "y"]
+    pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(similarity), "u long, v long")
+    return stars.unionByName(exact(pairs.distinct(), "apart"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one of each component of similar texts: that with the smallest id (null ids last, then the hash
     of id and text).
@@ -136,23 +239,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Null and empty texts are alike; texts of fewer words than a shingle are one shingle. Rows equal in id and text are
     one row. An empty table gives no rows. Further columns are kept and may have any name.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
     dx = F.xxhash64(did, text)
-    made = map_batches(docs.select(did.alias("did"), dx.alias("dx"), text.alias("text")), _fingerprint, "did long, dx long, keys binary, check binary")
-    made = materialize(made.withColumn("id", F.xxhash64("keys", "check")), "wide")
-    each = materialize(made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), F.first("keys").alias("keys"), F.first("check").alias("check")), "distinct")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring(F.col("keys"), i * 3 + 1, F.lit(3)))
-    keyed = each.select("id", F.posexplode(blocks).alias("pos", "key"))
-    shared = keyed.groupBy("pos", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / CHUNK)
-    mine = F.pmod(F.col("id"), chunks)
-    met = keyed.join(shared, ["pos", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    met = met.select("pos", "key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id").join(each.select("id", "check"), "id")
-    cells = ["pos", "key", "x", "y"]
-    pairs = met.select(*cells, "id", "check").repartition(n, *cells).sortWithinPartitions(*cells, "id")
-    roots = components(map_batches(pairs, _verify(most_bits(similarity)), "u long, v long"))
+    rows = docs.select(did.alias("did"), dx.alias("dx"), text.alias("text"))
+    seen = map_batches(rows.select("text"), _common, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    h, c = (np.asarray(seen.column(k).combine_chunks()) for k in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    made = map_batches(rows, _prefix(similarity, h.view(np.uint64)[order], c[order]), "did long, dx long, id long, n int, keys binary")
+    made = materialize(made, "prefixes")
+    each = materialize(made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    roots = components(links(rows.select("dx", "text"), each, similarity))
     labelled = each.join(roots, each["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("label"), "low")
     kept = materialize(labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.did").alias("did"), F.col("low.dx").alias("dx")), "kept")
     rows = pack(docs, did.alias("did"), dx.alias("dx")).join(kept, ["did", "dx"])

@@ -45,3 +45,67 @@ def test_queries_give_a_row_each(spark, sf):
         assert queries.QUERIES[name](spark, sf).count() == n
     scores = queries.QUERIES["op3_quality"](spark, sf).agg(F.min("score"), F.max("score")).first()
     assert 0 <= scores[0] <= scores[1] <= 1
+
+
+def shingled(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def jaccard(a, b):
+    return len(shingled(a) & shingled(b)) / len(shingled(a) | shingled(b))
+
+
+def near_pairs(least, most, seed):
+    """Pairs of texts whose similarity is from least to most: a passage appended or swapped, words changed, short ones."""
+    import random
+
+    rng = random.Random(seed)
+    pairs = []
+    while len(pairs) < 80:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((8, 9, 30, 120, 400)))]
+        k, at = rng.randrange(1, max(2, len(w) // 3)), rng.randrange(len(w))
+        new = [f"v{rng.randrange(10**6)}" for _ in range(k)]
+        kind = len(pairs) % 3
+        other = [*w, *new] if kind == 0 else [*w[:at], *new, *w[at + k :]] if kind == 1 else [rng.choice(new) if rng.random() < 0.03 else x for x in w]
+        a, b = " ".join(w), " ".join(other)
+        if least <= jaccard(a, b) <= most:
+            pairs.append((a, b))
+    return pairs
+
+
+def kept_of(spark, texts, **named):
+    from quillstream.llm import simhash_wide
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash_wide.keep_one(df, **named).collect()}
+
+
+def test_near_copies_at_the_limit_all_go(spark):
+    texts = [t for p in near_pairs(0.8, 0.85, 1) for t in p]
+    assert kept_of(spark, texts) == set(range(0, len(texts), 2))
+
+
+def test_texts_below_the_limit_all_stay(spark):
+    texts = [t for p in near_pairs(0.74, 0.7999, 2) for t in p]
+    assert kept_of(spark, texts) == set(range(len(texts)))
+
+
+def test_near_copies_are_brute_force(spark, monkeypatch):
+    import random
+
+    from quillstream.llm import simhash_wide
+
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(50)}" for _ in range(rng.choice((6, 20, 60)))] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.02 else "x" for w in b[: len(b) - rng.randrange(4)]) for b in base for _ in range(25)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 12 < len(set(root)) < len(texts)
+    assert kept_of(spark, texts) == set(root)
+    monkeypatch.setattr(simhash_wide, "CHUNK", 3)
+    assert kept_of(spark, texts) == set(root)
