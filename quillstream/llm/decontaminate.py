@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import map_batches, pack
 
-#: Masks of six ones. Under the first two, any two substitutions in 13 tokens leave a hit; the third meets every fifth.
+#: Masks of six ones, for items of `min_tokens` or more; shorter ones have `whole_masks`. Under the first two, any two substitutions in 13 tokens leave a hit; the third meets every fifth.
 MASKS = ("111111", "11001010011", "1111011")
 BLOCK_CHARS = 8_000_000
 _TEXT_BYTES = 1 << 18
@@ -80,6 +81,15 @@ def stretch(equal: np.ndarray, least: int, identity: float) -> tuple[int, int]:
     return best if best[1] >= least else (0, 0)
 
 
+def whole_masks(n: int, identity: float) -> list[str]:
+    """Masks over a whole item of n tokens, one of which any match of that identity leaves as it is: the item falls into
+    two parts more than it may have substitutions, and each mask leaves out as many parts as that."""
+    most = n - math.ceil(n * identity - 1e-9)
+    part = [i * (most + 2) // n for i in range(n)]
+    masks = {"".join("0" if p in out else "1" for p in part) for out in combinations(range(most + 2), most)}
+    return sorted(masks)
+
+
 class Items:
     """The seeds and tokens of a block of test items."""
 
@@ -88,7 +98,7 @@ class Items:
         self.tok, who = tokens([t.lower().encode() for t in texts])
         self.first = np.searchsorted(who, np.arange(len(ids) + 1))
         size = np.diff(self.first)
-        short = {"1" * int(n) for n in size if 0 < n < min(map(len, MASKS))}  # items that no mask fits, as a whole
+        short = {m for n in np.unique(size).tolist() if 0 < n < min_tokens for m in whole_masks(n, identity)} - set(MASKS)
         self.masks = [*MASKS, *sorted(short)]
         hs, places = [], []
         for m in self.masks:

@@ -125,6 +125,18 @@ def test_bpe_in_short_stretches(monkeypatch):
     assert [voc.decode(x) for x in np.split(ids, np.cumsum(size)[:-1])] == [lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
 
 
+def test_short_items_with_substitutions_are_found():
+    from itertools import combinations
+
+    for n in range(1, 13):
+        item = [f"w{n}x{i}" for i in range(n)]
+        found = decontaminate.Items([n], [" ".join(item)], 13, 0.8)
+        for k in range(n // 5 + 2):
+            for out in combinations(range(n), min(k, n)):
+                text = "before it " + " ".join("other" if i in out else w for i, w in enumerate(item)) + " and after"
+                assert bool(found.find([text.encode()])) == (5 * len(out) <= n), (n, out)
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(4)
     items = {k: words(rng, n) for k, n in enumerate([3, 6, 12, 13, 15, 30, 45, 0])}
