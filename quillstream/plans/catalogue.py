@@ -188,6 +188,14 @@ def lineage(spark, sf):
     return stories.lineage(chain, 3)
 
 
+@query("WITH RECURSIVE c AS (SELECT o_orderkey AS key, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_key FROM orders), u(start, ancestor, depth) AS (SELECT key, parent_key, 1 FROM c WHERE parent_key IS NOT NULL UNION ALL SELECT u.start, c.parent_key, u.depth + 1 FROM u JOIN c ON c.key = u.ancestor WHERE c.parent_key IS NOT NULL AND u.depth < 7) SELECT start, ancestor, depth FROM u")
+def lineage_whole(spark, sf):
+    """As lineage, with the operator's own limit of 7 steps."""
+    o = table(spark, sf, "orders")
+    chain = o.select(F.col("o_orderkey").alias("key"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("parent_key"))
+    return stories.lineage(chain)
+
+
 _SIGNAL = {"purchase": "more", "signup": "deep_dive", "error": "irrelevant", "click": "less"}
 
 
