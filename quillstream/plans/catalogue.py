@@ -170,6 +170,25 @@ def tfidf_cosine_pairs(spark, sf):
     return stories.cosine_edges(stories.tfidf(b, "item_id", "words"), 0.02).select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
+def _stories(spark, sf, text) -> DataFrame:
+    """category, doc_id and words of the articles of each category; of equal word lists the smallest document."""
+    a = classified(spark, sf).filter("category is not null").withColumn("words", X.tokens(X.normalize(text)))
+    return a.groupBy("category", "words").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query()
+def article_containment_pairs(spark, sf):
+    t = _stories(spark, sf, F.col("title"))
+    return stories.containment_edges(t, "doc_id", "words", group=["category"]).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def article_tfidf_pairs(spark, sf):
+    t = _stories(spark, sf, F.concat_ws(" ", "title", F.substring("text", 1, 400)))
+    weights = stories.written(stories.tfidf(t, "doc_id", "words", ["category"]), "weights")
+    return stories.cosine_edges(weights, group=["category"]).withColumn("similarity", F.round("similarity", 5))
+
+
 @query(f"WITH RECURSIVE {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY ALL HAVING k / (na + nb - k) >= 0.35), c(a, r) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON p.a = c.r) SELECT a AS node, least(a, min(r)) AS root FROM c GROUP BY a")
 def story_components(spark, sf):
     return stories.components(stories.jaccard_edges(_titles(spark, sf), "doc_id", "words", 0.35))
