@@ -5,8 +5,8 @@ s or more share one of the first n - ceil(s * n) + 1 shingles of both in any com
 filter), so pairs that meet there are all there are. The order puts shingles that chunks of the corpus repeat last:
 it only decides how few texts meet, not which links are found.
 
-Copies are one set. Of the pairs that meet, those whose sizes and places in the order rule the similarity out are
-dropped, and every other one is decided on the whole sets. First each member of a bucket is compared with the bucket's
+Copies are one set. Of the pairs that meet, those whose sketches (how many shingles fall in each of 128 slots) differ
+by more than the sets may are dropped, which is exact too; every other one is decided on the whole sets. First each member of a bucket is compared with the bucket's
 smallest; then, as links are closed to components, only pairs whose components still differ are compared. So a group
 of near copies costs about its size. A bucket of more than CHUNK members is dealt out as pairs of its chunks.
 """
@@ -30,6 +30,7 @@ CHUNK = 1 << 12
 SEEN, OFTEN, MOST_COMMON = 1 << 20, 8, 1 << 17
 _SLOTS = 1 << 24
 _PAIRS = 200_000
+_SKETCH = 128
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -74,38 +75,30 @@ def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, start, end = utf8(batch.column(2))
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, sketches = [], [], [], []
             for a, b in zip(start.tolist(), end.tolist()):
                 hs = shingles(data[a:b].tobytes())
                 ids.append(xxhash.xxh64_intdigest(hs.tobytes(), SEED))
                 sizes.append(len(hs))
+                sketches.append(np.minimum(np.bincount((hs % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH), 255).astype(np.uint8).tobytes())
                 if len(common):
                     at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
                     hs = hs[np.argsort(np.where(common[at] == hs, often[at], 0), kind="stable")]
                 keys.append(hs[: len(hs) - int(least_shared(len(hs), similarity)) + 1].tobytes())
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["did", "dx", "id", "n", "keys"])
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["did", "dx", "id", "n", "keys", "sketch"])
 
     return run
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix: its hash, the set, and n * 2**32 + place in the order."""
+    """A row for each shingle of a prefix: its hash and the set."""
     for batch in batches:
         for lo in range(0, len(batch), 100):
             part = batch.slice(lo, 100)
-            data, start, end = utf8(part.column(2))
-            m = (end - start) // 8
+            data, start, end = utf8(part.column(1))
             key = np.concatenate([data[a:b] for a, b in zip(start, end)]).view(np.int64)
-            place = np.arange(len(key)) - np.repeat(np.cumsum(m) - m, m)
-            size = np.repeat(np.asarray(part.column(1)).astype(np.int64), m)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.asarray(part.column(0)), m)), pa.array(size << 32 | place)], names=["key", "id", "np"])
-
-
-def may_link(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes whose first common shingle is at these places (packed) can reach the similarity."""
-    n, m, p, q = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
-    return np.minimum(n - p, m - q) >= similarity / (1 + similarity) * (n + m) - 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.asarray(part.column(0)), (end - start) // 8))], names=["key", "id"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +106,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[list[np.ndarray]] = []
 
     def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, i, x = cols
+        key, i = cols
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(head, len(key)))
         of, m = np.repeat(head, size), np.repeat(size, size)
         on = m > 1
-        return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (key, i, x, i[of], x[of], m)], names=["key", "id", "np", "top", "top_np", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (key, i, i[of], m)], names=["key", "id", "top", "m"])
 
     for batch in batches:
         cols = [np.asarray(c) for c in batch.columns]
@@ -134,21 +127,21 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*parts)])
 
 
-def _apart(similarity: float):
-    """Pairs of a cell (key, x, y) whose components differ and that can link; of two chunks only pairs across."""
+def _apart():
+    """Pairs of a cell (key, x, y) whose components differ; of two chunks only pairs across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, rows = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            if len({r[2] for r in rows}) < 2:
+            if len({r[1] for r in rows}) < 2:
                 return
-            i, x, label, mine = (np.array(c, np.int64) for c in zip(*rows))
+            i, label, mine = (np.array(c, np.int64) for c in zip(*rows))
             us: list[np.ndarray] = []
             vs: list[np.ndarray] = []
             held = 0
             for k in range(len(i) - 1):
-                ok = (label[k + 1 :] != label[k]) & may_link(x[k + 1 :], x[k], similarity)
+                ok = label[k + 1 :] != label[k]
                 if held_key[1] != held_key[2]:
                     ok &= mine[k + 1 :] != mine[k]
                 hit = i[k + 1 :][ok]
@@ -161,11 +154,11 @@ def _apart(similarity: float):
                     us, vs, held = [], [], 0
 
         for batch in batches:
-            for *key, i, x, label, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, i, label, mine in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != held_key:
                     yield from pairs()
                     held_key, rows = key, []
-                rows.append((i, x, label, mine))
+                rows.append((i, label, mine))
         yield from pairs()
 
     return run
@@ -187,6 +180,20 @@ def _sets(wanted: np.ndarray):
     return run
 
 
+def _may_link(similarity: float):
+    """Pairs (u, v, sizes, sketches) whose sets can be that similar: their sketches differ by no more than the sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(batch.column(k)).astype(np.float64) for k in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _SKETCH).astype(np.int16) for k in (4, 5))
+            apart = np.abs(a - b).sum(1, dtype=np.int64)
+            on = np.maximum(apart, np.abs(n - m)) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["u", "v"])
+
+    return run
+
+
 def _exact(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,32 +210,34 @@ def _exact(similarity: float):
 def links(docs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
     """Edges u, v between sets (id, n, keys, low) with the same components as all pairs of that similarity or more."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    keyed = map_batches(each.select("id", "n", "keys"), _explode, "key long, id long, np long")
-    met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, np long, top long, top_np long, m long")
+    keyed = map_batches(each.select("id", "keys"), _explode, "key long, id long")
+    met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, top long, m long")
     met = materialize(met, "buckets")
-    members = met.select("id").distinct()
-    slots = members.join(each.select("id", "low"), "id").select(F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).cast("int").alias("slot")).distinct()
-    wanted = np.zeros(_SLOTS, np.uint8)
-    wanted[np.asarray(slots.toArrow().column(0))] = 1
-    sets = map_batches(docs, _sets(np.packbits(wanted, bitorder="little")), "id long, set binary")
-    sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")).join(members, "id", "left_semi"), "sets")
 
     def exact(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+        side = lambda k: each.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+        maybe = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+        maybe = materialize(map_batches(maybe, _may_link(similarity), "u long, v long"), f"{name}-maybe")
+        ids = maybe.select(F.col("u").alias("id")).union(maybe.select("v")).distinct()
+        slots = each.select("id", "low").join(ids, "id").select(F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
+        wanted = np.zeros(_SLOTS, np.uint8)
+        wanted[np.asarray(slots.column(0).combine_chunks())] = 1
+        # a set may come more than once, from texts of one slot: then so does an edge
+        sets = materialize(map_batches(docs, _sets(np.packbits(wanted, bitorder="little")), "id long, set binary"), f"{name}-sets")
+        both = maybe.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
         return materialize(map_batches(both.select("u", "v", "a", "b"), _exact(similarity), "u long, v long"), name)
 
-    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    near = F.least(high("np") - low("np"), high("top_np") - low("top_np")) >= similarity / (1 + similarity) * (high("np") + high("top_np")) - 1e-6
-    stars = exact(met.filter(F.col("id") != F.col("top")).filter(near).select(F.col("top").alias("u"), F.col("id").alias("v")).distinct(), "stars")
+    stars = exact(met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct(), "stars")
     roots = components(stars)
-    rest = met.join(roots, met["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
+    rest = met.filter("m > 2")  # two are settled by the first comparison
+    rest = rest.join(roots, rest["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     chunks = F.ceil(F.col("m") / CHUNK)
     mine = F.pmod(F.col("id"), chunks)
     rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "np", "label", mine.alias("mine"))
+    rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"))
     cells = ["key", "x", "y"]
-    pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(similarity), "u long, v long")
+    pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(), "u long, v long")
     return stars.unionByName(exact(pairs.distinct(), "apart"))
 
 
@@ -246,14 +255,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     seen = map_batches(rows.select("text"), _common, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
     h, c = (np.asarray(seen.column(k).combine_chunks()) for k in (0, 1))
     order = np.argsort(h.view(np.uint64))
-    made = map_batches(rows, _prefix(similarity, h.view(np.uint64)[order], c[order]), "did long, dx long, id long, n int, keys binary")
-    made = materialize(made, "prefixes")
-    each = materialize(made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    made = map_batches(rows, _prefix(similarity, h.view(np.uint64)[order], c[order]), "did long, dx long, id long, n int, keys binary, sketch binary")
+    each = made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch")])
+    each = materialize(each, "distinct")
     roots = components(links(rows.select("dx", "text"), each, similarity))
     labelled = each.join(roots, each["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("label"), "low")
     kept = materialize(labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.did").alias("did"), F.col("low.dx").alias("dx")), "kept")
     rows = pack(docs, did.alias("did"), dx.alias("dx")).join(kept, ["did", "dx"])
-    again = materialize(made.join(kept, ["did", "dx"]).groupBy("did", "dx").agg(F.count("*").alias("copies")).filter("copies > 1").select("did", "dx"), "copies")
+    again = materialize(docs.select(did.alias("did"), dx.alias("dx")).join(kept, ["did", "dx"]).groupBy("did", "dx").agg(F.count("*").alias("copies")).filter("copies > 1").select("did", "dx"), "copies")
     if not again.isEmpty():
         once = rows.join(again, ["did", "dx"], "left_semi").groupBy("did", "dx").agg(F.first("row").alias("row"))
         rows = rows.join(again, ["did", "dx"], "left_anti").select("row").unionByName(once.select("row"))
