@@ -5,7 +5,7 @@ s or more share one of the first n - ceil(s * n) + 1 shingles of both in any com
 filter), so pairs that meet there are all there are. The order puts shingles that chunks of the corpus repeat last:
 it only decides how few texts meet, not which links are found.
 
-Copies are one set. Of the pairs that meet, those whose sketches (how many shingles fall in each of 128 slots) differ
+Copies are one set. Of the pairs that meet, those whose sketches (how many shingles fall in each of 128, then of 1,024 slots) differ
 by more than the sets may are dropped, which is exact too; every other one is decided on the whole sets. First each member of a bucket is compared with the bucket's
 smallest; then, as links are closed to components, only pairs whose components still differ are compared. So a group
 of near copies costs about its size. A bucket of more than CHUNK members is dealt out as pairs of its chunks.
@@ -30,7 +30,7 @@ CHUNK = 1 << 12
 SEEN, OFTEN, MOST_COMMON = 1 << 20, 8, 1 << 17
 _SLOTS = 1 << 24
 _PAIRS = 200_000
-_SKETCH = 128
+_SKETCH, _FINER = 128, 1024
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -71,6 +71,10 @@ def least_shared(n, similarity: float):
     return np.ceil(n * similarity - 1e-9).astype(np.int64)
 
 
+def sketch(hs: np.ndarray, slots: int) -> bytes:
+    return np.minimum(np.bincount((hs % np.uint64(slots)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
+
+
 def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +84,7 @@ def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
                 hs = shingles(data[a:b].tobytes())
                 ids.append(xxhash.xxh64_intdigest(hs.tobytes(), SEED))
                 sizes.append(len(hs))
-                sketches.append(np.minimum(np.bincount((hs % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH), 255).astype(np.uint8).tobytes())
+                sketches.append(sketch(hs, _SKETCH))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
                     hs = hs[np.argsort(np.where(common[at] == hs, often[at], 0), kind="stable")]
@@ -180,13 +184,19 @@ def _sets(wanted: np.ndarray):
     return run
 
 
-def _may_link(similarity: float):
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s, _FINER) for s in sets], pa.binary())], names=["id", "n", "sketch"])
+
+
+def _may_link(similarity: float, slots: int):
     """Pairs (u, v, sizes, sketches) whose sets can be that similar: their sketches differ by no more than the sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (np.asarray(batch.column(k)).astype(np.float64) for k in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _SKETCH).astype(np.int16) for k in (4, 5))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, slots).astype(np.int16) for k in (4, 5))
             apart = np.abs(a - b).sum(1, dtype=np.int64)
             on = np.maximum(apart, np.abs(n - m)) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["u", "v"])
@@ -215,15 +225,21 @@ def links(docs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
     met = materialize(met, "buckets")
 
     def exact(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda k: each.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-        maybe = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
-        maybe = materialize(map_batches(maybe, _may_link(similarity), "u long, v long"), f"{name}-maybe")
+        side = lambda t, k: t.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+
+        def sifted(pairs: DataFrame, t: DataFrame, slots: int) -> DataFrame:
+            met = pairs.join(side(t, "u"), "u").join(side(t, "v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+            return materialize(map_batches(met, _may_link(similarity, slots), "u long, v long"), f"{name}-maybe")
+
+        maybe = sifted(pairs, each, _SKETCH)
         ids = maybe.select(F.col("u").alias("id")).union(maybe.select("v")).distinct()
         slots = each.select("id", "low").join(ids, "id").select(F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
         wanted = np.zeros(_SLOTS, np.uint8)
         wanted[np.asarray(slots.column(0).combine_chunks())] = 1
         # a set may come more than once, from texts of one slot: then so does an edge
         sets = materialize(map_batches(docs, _sets(np.packbits(wanted, bitorder="little")), "id long, set binary"), f"{name}-sets")
+        finer = materialize(map_batches(sets, _finer, "id long, n int, sketch binary"), f"{name}-finer")
+        maybe = sifted(maybe, finer, _FINER)
         both = maybe.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
         return materialize(map_batches(both.select("u", "v", "a", "b"), _exact(similarity), "u long, v long"), name)
 
