@@ -348,6 +348,12 @@ def feed_health(spark, sf):
     return feeds.feed_health(registry(spark, sf), articles(spark, sf).filter("doc_id % 13 <> 0 and source_slug <> 'src1'"))
 
 
+@query(f"WITH {ARTICLES}, {REGISTRY}, k AS (SELECT source_slug, count(*) AS entries FROM a GROUP BY 1) SELECT slug, coalesce(entries, 0) AS entries, CASE WHEN reg.n % 6 = 5 THEN 'skip' WHEN coalesce(entries, 0) = 0 THEN 'DEAD' ELSE 'ok' END AS status FROM reg LEFT JOIN k ON slug = source_slug")
+def feed_health_whole(spark, sf):
+    """As feed_health, over all articles."""
+    return feeds.feed_health(registry(spark, sf), articles(spark, sf))
+
+
 @query()
 def html_text(spark, sf):
     return feeds.pages_text(table(spark, sf, "pages"))

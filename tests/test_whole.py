@@ -53,3 +53,20 @@ def test_article_tfidf_is_brute_force(spark, sf):
 
 def test_lineage_whole_goes_seven_steps(spark, sf):
     assert max(r.depth for r in catalogue.QUERIES["lineage_whole"](spark, sf).collect()) == 7
+
+
+def test_feed_health_whole_counts_all_articles(spark, sf):
+    from quillstream.plans.adapters import articles, registry
+
+    known = {r.slug for r in registry(spark, sf).collect()}
+    n = sum(r.source_slug in known for r in articles(spark, sf).select("source_slug").collect())
+    got = catalogue.QUERIES["feed_health_whole"](spark, sf).collect()
+    assert sum(r.entries for r in got) == n and all(r.status != "DEAD" or r.entries == 0 for r in got)
+
+
+def test_feed_health_of_a_dead_feed(spark):
+    from quillstream.sources import feeds
+
+    registry = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "slug string, enabled boolean")
+    entries = spark.createDataFrame([("a",), ("a",), ("c",)], "source_slug string")
+    assert sorted(map(tuple, feeds.feed_health(registry, entries).collect())) == [("a", 2, "ok"), ("b", 0, "DEAD"), ("c", 1, "skip")]
