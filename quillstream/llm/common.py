@@ -37,12 +37,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_LOCAL: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; set here only where it is unset (tests)."""
+    """A new folder in the one that spark.checkpoint.dir names. Where it is unset, a local master gets a temporary folder
+    and any other an error, as its executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quillstream-"))
+        base = _LOCAL[0]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_delete, spark, path)
     return path
@@ -56,6 +63,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slot_bits(slots: DataFrame, n: int) -> np.ndarray:
+    """Bits of the slots (a column `slot`, 0 to n - 1) that occur, packed from the lowest: n / 8 bytes, whatever the rows."""
+    out = np.zeros((max(1, n >> 15), 4096), np.uint8)
+    at = F.col("slot").cast("long") + 1
+    for r in slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def has_bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

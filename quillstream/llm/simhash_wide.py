@@ -1,14 +1,20 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, kept one of each component.
-
-A text is the set of the 64-bit hashes of its five-word shingles; a shorter text is one shingle. Two sets of similarity
-s or more share one of the first n - ceil(s * n) + 1 shingles of both in any common order of all shingles (prefix
-filter), so pairs that meet there are all there are. The order puts shingles that chunks of the corpus repeat last:
-it only decides how few texts meet, not which links are found.
-
-Copies are one set. Of the pairs that meet, those whose sketches (how many shingles fall in each of 128, then of 1,024 slots) differ
-by more than the sets may are dropped, which is exact too; every other one is decided on the whole sets. First each member of a bucket is compared with the bucket's
-smallest; then, as links are closed to components, only pairs whose components still differ are compared. So a group
-of near copies costs about its size. A bucket of more than CHUNK members is dealt out as pairs of its chunks.
+"""SimHash near-duplicates on five-word shingles, decided by exact Jaccard similarity, kept one of each component.
+
+A text is the set of the 64-bit hashes of its five-word shingles; a shorter text is one shingle. Copies are one set.
+
+1. SimHash: the sets' fingerprints meet in the pigeonhole blocks of `simhash.links`; sets of equal or close fingerprints
+   are candidates. Most near copies are found here.
+2. Fingerprints of two sets of similarity 0.8 may differ in any number of bits, so an exact pass finds what the blocks
+   miss: two sets of similarity s or more share one of the first n - ceil(s * n) + 1 shingles of both in any common order
+   of all shingles (prefix filter). The order puts shingles that chunks of the corpus repeat last: it only decides how few
+   sets meet, not which links are found. Each member of a bucket is compared with the bucket's smallest, unless both are
+   in one component already; then, as links are closed to components, only pairs whose components still differ.
+
+Candidates whose sketches (how many shingles fall in each of 128, then of 1,024 slots) differ by more than the sets may
+are dropped, which is exact too. Every other one is decided on the whole sets, made anew from the two texts: a text takes
+a quarter of the room of its set. So a group of near copies costs about its size. A bucket of more than CHUNK members is
+dealt out as pairs of its chunks. Texts of rows that surely stay are not shuffled at the end: a bit table of fixed size
+tells which rows may go.
 """
 
 from __future__ import annotations
@@ -21,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import map_batches, materialize, pack, partitions, utf8
+from quillstream.llm.common import has_bit, map_batches, materialize, pack, partitions, slot_bits, utf8
 from quillstream.llm.simhash import SEED, components
+from quillstream.llm.simhash import links as near_fingerprints
 
 SHINGLE = 5
 CHUNK = 1 << 12
@@ -75,42 +82,69 @@ def sketch(hs: np.ndarray, slots: int) -> bytes:
     return np.minimum(np.bincount((hs % np.uint64(slots)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
 
 
+def fingerprint(hs: np.ndarray) -> int:
+    """Bits that more than half of the hashes have, as a signed long."""
+    ones = np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hs), bitorder="little").view(np.int64)[0])
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The id, size, fingerprint and sketch of each text's set."""
+    for batch in batches:
+        data, start, end = utf8(batch.column(2))
+        ids, sizes, fps, sketches = [], [], [], []
+        for a, b in zip(start.tolist(), end.tolist()):
+            hs = shingles(data[a:b].tobytes())
+            ids.append(xxhash.xxh64_intdigest(hs.tobytes(), SEED))
+            sizes.append(len(hs))
+            fps.append(fingerprint(hs))
+            sketches.append(sketch(hs, _SKETCH))
+        cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["did", "dx", "id", "n", "fp", "sketch"])
+
+
 def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
+    """A row for each shingle of a set's prefix: its hash and the set. A task says a set once; others may repeat it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[int] = set()
+        keys: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            cols = np.concatenate(keys).view(np.int64), np.concatenate(ids)
+            keys.clear(), ids.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id"])
+
         for batch in batches:
-            data, start, end = utf8(batch.column(2))
-            ids, sizes, keys, sketches = [], [], [], []
+            data, start, end = utf8(batch.column(0))
             for a, b in zip(start.tolist(), end.tolist()):
                 hs = shingles(data[a:b].tobytes())
-                ids.append(xxhash.xxh64_intdigest(hs.tobytes(), SEED))
-                sizes.append(len(hs))
-                sketches.append(sketch(hs, _SKETCH))
+                i = xxhash.xxh64_intdigest(hs.tobytes(), SEED)
+                if i in said:
+                    continue
+                said.add(i)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
                     hs = hs[np.argsort(np.where(common[at] == hs, often[at], 0), kind="stable")]
-                keys.append(hs[: len(hs) - int(least_shared(len(hs), similarity)) + 1].tobytes())
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["did", "dx", "id", "n", "keys", "sketch"])
+                keys.append(hs[: len(hs) - int(least_shared(len(hs), similarity)) + 1])
+                ids.append(np.full(len(keys[-1]), np.uint64(i)).view(np.int64))
+                if sum(map(len, keys[-50:])) > 20_000 or len(keys) > 2_000:
+                    yield out()
+        if keys:
+            yield out()
 
     return run
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix: its hash and the set."""
-    for batch in batches:
-        for lo in range(0, len(batch), 100):
-            part = batch.slice(lo, 100)
-            data, start, end = utf8(part.column(1))
-            key = np.concatenate([data[a:b] for a, b in zip(start, end)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.asarray(part.column(0)), (end - start) // 8))], names=["key", "id"])
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and id those whose key occurs again, with the first of the bucket and its size."""
     parts: list[list[np.ndarray]] = []
 
     def out(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, i = cols
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])])
+        key, i = key[once], i[once]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(head, len(key)))
         of, m = np.repeat(head, size), np.repeat(size, size)
@@ -168,28 +202,26 @@ def _apart():
     return run
 
 
-def _sets(wanted: np.ndarray):
-    """Whole sets of the rows (hash, text) whose hash falls in a wanted slot."""
+def _wanted(bits: np.ndarray, whole: bool):
+    """Of the rows (hash, text) whose hash falls in a marked slot the set's id with its whole text, or its size and finer
+    sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = np.asarray(batch.column(0)) & (_SLOTS - 1)
-            at = np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            at = np.flatnonzero(has_bit(bits, np.asarray(batch.column(0)) & (_SLOTS - 1)))
             data, start, end = utf8(batch.column(1))
             for lo in range(0, len(at), 100):
-                hs = [shingles(data[start[k] : end[k]].tobytes()).tobytes() for k in at[lo : lo + 100]]
-                ids = np.array([xxhash.xxh64_intdigest(h, SEED) for h in hs], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs, pa.binary())], names=["id", "set"])
+                texts = [data[start[k] : end[k]].tobytes() for k in at[lo : lo + 100]]
+                sets = [shingles(t) for t in texts]
+                ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary())], names=["id", "whole"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h, _FINER) for h in sets], pa.binary())], names=["id", "n", "sketch"])
 
     return run
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s, _FINER) for s in sets], pa.binary())], names=["id", "n", "sketch"])
-
-
 def _may_link(similarity: float, slots: int):
     """Pairs (u, v, sizes, sketches) whose sets can be that similar: their sketches differ by no more than the sets do."""
 
@@ -207,9 +239,11 @@ def _may_link(similarity: float, slots: int):
 def _exact(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = np.zeros(len(batch), bool)
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            on, last, y = np.zeros(len(batch), bool), None, None
+            for k, (v, a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+                x = shingles(a.as_py())
+                if v != last:
+                    last, y = v, shingles(b.as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 on[k] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["u", "v"])
@@ -217,12 +251,10 @@ def _exact(similarity: float):
     return run
 
 
-def links(docs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
-    """Edges u, v between sets (id, n, keys, low) with the same components as all pairs of that similarity or more."""
+def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarray, often: np.ndarray) -> DataFrame:
+    """Edges u, v between sets (each: id, n, fp, sketch, low) with the same components as all pairs of that similarity or
+    more. docs: dx and text of every row."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    keyed = map_batches(each.select("id", "keys"), _explode, "key long, id long")
-    met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, top long, m long")
-    met = materialize(met, "buckets")
 
     def exact(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda t, k: t.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
@@ -231,20 +263,38 @@ def links(docs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
             met = pairs.join(side(t, "u"), "u").join(side(t, "v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
             return materialize(map_batches(met, _may_link(similarity, slots), "u long, v long"), f"{name}-maybe")
 
+        def wanted(pairs: DataFrame) -> np.ndarray:
+            ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+            return slot_bits(each.select("id", F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).alias("slot")).join(ids, "id"), _SLOTS)
+
         maybe = sifted(pairs, each, _SKETCH)
-        ids = maybe.select(F.col("u").alias("id")).union(maybe.select("v")).distinct()
-        slots = each.select("id", "low").join(ids, "id").select(F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
-        wanted = np.zeros(_SLOTS, np.uint8)
-        wanted[np.asarray(slots.column(0).combine_chunks())] = 1
         # a set may come more than once, from texts of one slot: then so does an edge
-        sets = materialize(map_batches(docs, _sets(np.packbits(wanted, bitorder="little")), "id long, set binary"), f"{name}-sets")
-        finer = materialize(map_batches(sets, _finer, "id long, n int, sketch binary"), f"{name}-finer")
+        finer = materialize(map_batches(docs, _wanted(wanted(maybe), False), "id long, n int, sketch binary"), f"{name}-finer")
         maybe = sifted(maybe, finer, _FINER)
-        both = maybe.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+        texts = materialize(map_batches(docs, _wanted(wanted(maybe), True), "id long, whole binary"), f"{name}-texts")
+        both = maybe.join(texts.select(F.col("id").alias("u"), F.col("whole").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("whole").alias("b")), "v")
         return materialize(map_batches(both.select("u", "v", "a", "b"), _exact(similarity), "u long, v long"), name)
 
-    stars = exact(met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct(), "stars")
-    roots = components(stars)
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose components differ so far."""
+        root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r_{k}"))
+        both = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+        return both.filter(F.coalesce("r_u", "u") != F.coalesce("r_v", "v")).select("u", "v")
+
+    # SimHash: sets of one fingerprint meet at their smallest, close fingerprints by the smallest of both
+    first = materialize(each.groupBy("fp").agg(F.min("id").alias("low_id")), "fingerprints")
+    same = each.select("fp", "id").join(first, "fp").filter("id <> low_id").select(F.col("low_id").alias("u"), F.col("id").alias("v"))
+    close = near_fingerprints(first.select("fp")).toDF("fu", "fv")
+    close = close.join(first.toDF("fu", "u"), "fu").join(first.toDF("fv", "v"), "fv").select("u", "v")
+    found = exact(same.unionByName(close).distinct(), "simhash")
+    roots = components(found)
+
+    keyed = map_batches(docs.select("text"), _prefix(similarity, common, often), "key long, id long")
+    met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, top long, m long")
+    met = materialize(met, "buckets")
+    stars = exact(apart(met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct(), roots), "stars")
+    found = found.unionByName(stars)
+    roots = components(found)
     rest = met.filter("m > 2")  # two are settled by the first comparison
     rest = rest.join(roots, rest["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
@@ -254,7 +304,18 @@ def links(docs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
     rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"))
     cells = ["key", "x", "y"]
     pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(), "u long, v long")
-    return stars.unionByName(exact(pairs.distinct(), "apart"))
+    return found.unionByName(exact(pairs.distinct(), "apart"))
+
+
+def _marked(bits: np.ndarray, on: bool):
+    """The rows (row, did, dx) whose hash falls in a marked slot, or those whose hash doesn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array(has_bit(bits, np.asarray(batch.column(2)) & (_SLOTS - 1)) == on)
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=["row", "did", "dx"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -271,15 +332,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     seen = map_batches(rows.select("text"), _common, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
     h, c = (np.asarray(seen.column(k).combine_chunks()) for k in (0, 1))
     order = np.argsort(h.view(np.uint64))
-    made = map_batches(rows, _prefix(similarity, h.view(np.uint64)[order], c[order]), "did long, dx long, id long, n int, keys binary, sketch binary")
-    each = made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch")])
+    made = materialize(map_batches(rows, _describe, "did long, dx long, id long, n int, fp long, sketch binary"), "sets")
+    each = made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), *[F.first(c).alias(c) for c in ("n", "fp", "sketch")])
     each = materialize(each, "distinct")
-    roots = components(links(rows.select("dx", "text"), each, similarity))
+    found = links(rows.select("dx", "text"), each, similarity, h.view(np.uint64)[order], c[order])
+    roots = components(found)
     labelled = each.join(roots, each["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("label"), "low")
-    kept = materialize(labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.did").alias("did"), F.col("low.dx").alias("dx")), "kept")
-    rows = pack(docs, did.alias("did"), dx.alias("dx")).join(kept, ["did", "dx"])
-    again = materialize(docs.select(did.alias("did"), dx.alias("dx")).join(kept, ["did", "dx"]).groupBy("did", "dx").agg(F.count("*").alias("copies")).filter("copies > 1").select("did", "dx"), "copies")
-    if not again.isEmpty():
-        once = rows.join(again, ["did", "dx"], "left_semi").groupBy("did", "dx").agg(F.first("row").alias("row"))
-        rows = rows.join(again, ["did", "dx"], "left_anti").select("row").unionByName(once.select("row"))
-    return rows.select("row.*")
+    kept = labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.did").alias("did"), F.col("low.dx").alias("dx"), F.lit(True).alias("stays"))
+    counted = made.groupBy("did", "dx").agg(F.count("*").alias("copies")).join(kept, ["did", "dx"], "left")
+    counted = materialize(counted.select("did", "dx", "copies", F.coalesce("stays", F.lit(False)).alias("stays")), "kept")
+    may_go = slot_bits(counted.filter("not stays or copies > 1").select(F.col("dx").bitwiseAND(F.lit(_SLOTS - 1)).alias("slot")), _SLOTS)
+    keyed = pack(docs, did.alias("did"), dx.alias("dx"))
+    schema = f"row {docs.schema.simpleString()}, did long, dx long"
+    sure = map_batches(keyed, _marked(may_go, False), schema).select("row")
+    asked = map_batches(keyed, _marked(may_go, True), schema).join(counted.filter("stays").select("did", "dx", "copies"), ["did", "dx"])
+    once = asked.filter("copies > 1").groupBy("did", "dx").agg(F.first("row").alias("row")).select("row")
+    return sure.unionByName(asked.filter("copies = 1").select("row")).unionByName(once).select("row.*")
