@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch. Texts run to hundreds of KB, so the default of 10,000 rows would need too much worker memory.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch. Texts run to hundreds of KB, so the default of 10,000 rows would need too much worker
+#: memory; of very long ones a batch holds as many as fit, and one at least.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts; a smaller setting of the session stays."""
+    """Keep Arrow batches small enough for long texts; a smaller number of rows in the session's settings stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

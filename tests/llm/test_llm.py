@@ -180,13 +180,41 @@ def test_topk_is_brute_force(spark):
     assert got == want
 
 
+def test_topk_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [3.0, 0.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<float>, score string")
+    got = [tuple(r) for r in topk.search(df, F.col("id") % 50 == 0, k=3, scale=1).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 3), (0, 2, 1, 1), (0, 3, 1, 1)]
+    assert topk.search(df.limit(0), F.col("id") == 0).count() == 0
+
+
 def test_topk_bounds_hold_and_large_values():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(50, 30)) * 100, rng.normal(size=(60, 30)) * 100
-    for n in topk.levels(30):
-        assert (topk.stats(a, n) @ topk.stats(b, n).T >= a @ b.T - 1e-6).all()
+    for r in topk.levels(30):
+        assert (a[:, :r] @ b[:, :r].T + topk.stats(a, r) @ topk.stats(b, r).T >= a @ b.T - 1e-6).all()
+    turn = topk.turning(a)
+    assert np.allclose(turn @ turn.T, np.eye(30)) and np.allclose((a @ turn) @ (b @ turn).T, a @ b.T)
     big = np.array([[2.0**40, 1.0]])
-    assert topk.exact(big, big)[0, 0] == min(2**80 + 1, 2**63 - 1)
+    assert topk.exact(big, big)[0] == min(2**80 + 1, 2**63 - 1)
+
+
+def test_topk_bounds_exclude():
+    """Without the bounds every pair would get its exact product; with them few do, and the results are the same."""
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.normal(size=(4000, 64)) / 8)
+    ids = np.arange(len(x))
+    best = topk.Best(ids[:100], x[:100], topk.turning(x), 5)
+    for a in range(0, len(x), 500):
+        best.add(ids[a : a + 500], x[a : a + 500])
+    product = x[:100] @ x.T
+    product[np.arange(100), np.arange(100)] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, product.shape), -product), axis=1)[:, :5]
+    assert (best.found.reshape(100, 5) == want).all()
+    assert best.met == 400_000 and best.followed < 0.3 * best.met  # the first block has no floor yet
+    again = topk.Best(ids[:100], x[:100], topk.turning(x), 5, best.floor())
+    again.add(ids, x)
+    assert (again.found.reshape(100, 5) == want).all() and again.followed < 0.01 * again.met
 
 
 def test_chat_round_trip(spark):
