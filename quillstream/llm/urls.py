@@ -1,10 +1,12 @@
 """URL filters: rules by host suffix and path prefix, and a path-template tree for what no rule fits.
 
 Every url that a rule judges is a labelled example. Per host, the segments of its path become a template from the root
-down: a segment stays itself if it is one of few at its place, and becomes `*` if its siblings are many or it is a number
-or a long token. Sibling branches whose labelled shares of blocked urls don't differ (a two-proportion test) are merged
-and share their counts. A template is blocked if its purity, smoothed towards its host and the whole table, reaches the
-threshold.
+down. A segment that is a number or a long token is variable by its form, and so is any segment of a place that has more
+than `max_children` different ones: it becomes `*`. At every level the labelled sibling branches, by their share of blocked
+urls, are gone through once, and each joins the branch before it unless a two-proportion test tells the two apart; joined
+ones get one segment, `~` and a number, and from there on are one branch. A template is blocked if its purity, the labelled share of blocked urls, reaches the threshold. It is smoothed
+towards what its host's labels and those of its shape on all hosts say together (their odds multiplied over the table's):
+a template of few or no labels goes by them. Where neither host nor shape nor template has a label the verdict is `unknown`.
 
 All of it is aggregation and joins on (host, template). Counts are summed before they are shuffled. In the joins a host
 or a template may still hold a third of the rows: keys with over a thousandth of them, hence at most a thousand, meet by
@@ -23,6 +25,9 @@ from quillstream.llm.common import materialize
 #: Keys with a larger share of the rows than one in HOT are broadcast, so at most HOT of them.
 HOT = 1000
 
+#: Labels that the table's share is smoothed by; a quarter of them blocked.
+_FEW = 2.0
+
 #: The rules (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -60,52 +65,74 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -
     return both.select(*left.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in values])
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 4, max_children: int = 50, alpha: float = 2.0, least: float = 0.5, z: float = 1.96) -> DataFrame:
+def _odds(p: Column) -> Column:
+    return p / (1 - p)
+
+
+def _merged(siblings: Column, z: float) -> Column:
+    """Of a sorted array of siblings (share, s, n, b) a map from segment to the name that it shares with others."""
+    first = F.struct(F.array().cast("array<struct<s:string,g:int>>").alias("seen"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.lit(-1).alias("g"))
+
+    def step(a: Column, x: Column) -> Column:
+        pooled = (a["b"] + x["b"]) / (a["n"] + x["n"])
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), a["n"]) + F.try_divide(F.lit(1.0), x["n"])))
+        alike = F.coalesce(F.abs(a["b"] / F.nullif(a["n"], F.lit(0)) - x["b"] / x["n"]) <= z * spread + 1e-12, F.lit(False))
+        g = F.when(alike, a["g"]).otherwise(a["g"] + 1)
+        count = lambda k: x[k] + F.when(alike, a[k]).otherwise(0)
+        return F.struct(F.array_append(a["seen"], F.struct(x["s"].alias("s"), g.alias("g"))).alias("seen"), count("n").alias("n"), count("b").alias("b"), g.alias("g"))
+
+    seen = F.aggregate(siblings, first, step)["seen"]
+    several = F.filter(seen, lambda x: F.size(F.filter(seen, lambda y: y["g"] == x["g"])) > 1)
+    return F.map_from_entries(F.transform(several, lambda x: F.struct(x["s"].alias("s"), F.concat(F.lit("~"), x["g"].cast("string")).alias("name"))))
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 4, max_children: int = 50, alpha: float = 2.0, least: float = 0.5, z: float = 1.96, unknown: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity for every row of pages.
 
-    Null urls and urls without :// have an empty host and path, hence no rule. Templates never seen under a rule take
-    their host's purity, and hosts the table's; without any labelled url the purity is 0, so everything is allowed.
-    Ids may be null or repeat: rows are judged one by one. Further columns are not read. An empty table gives no rows.
+    Null urls and urls without :// have an empty host and path, hence no rule, and the verdict `unknown`; so have urls
+    about which no label says anything. Ids may be null or repeat: rows are judged one by one. Further columns are not
+    read. An empty table gives no rows.
     """
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     # segments of the path: the first `depth`, what follows as one; numbers and long tokens are variable by their form
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    form = F.transform(F.slice(parts, 1, depth), lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z]+)?$|^[0-9a-fA-F-]{16,}$") | (F.length(s) > 40), F.lit("*")).otherwise(s))
+    form = F.transform(F.slice(parts, 1, depth), lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z]+)?$|^[0-9a-fA-F-]{16,}$") | (F.length(s) > 40) | s.rlike("^([*]+|~[0-9]*)$"), F.lit("*")).otherwise(s))
     shape = F.concat(form, F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
     rows = rows.select("*", rule.alias("rule"), verdict.alias("given"), F.array_join(shape, "/").alias("shape"))
 
     leaf = rows.groupBy("host", "shape").agg(F.count("given").alias("n"), F.count_if(F.col("given") == "block").alias("b"), F.count("*").alias("pages"))
     tree = materialize(leaf.withColumn("template", F.lit("")), "url-leaves")
-    shapes, n_pages = tree.agg(F.count("*"), F.coalesce(F.sum("pages"), F.lit(0))).first()
+    shapes, n_pages, labels, blocked = tree.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("pages", "n", "b")]).first()
+    branch = ["host", "template"]
     for level in range(depth + 1):
-        # siblings under one parent: if they are many, the segment at this level becomes a wildcard
         here = F.get(F.split("shape", "/"), F.lit(level))
-        kids = tree.groupBy("host", "template", here.alias("s")).agg(F.count("*").alias("w")).groupBy("host", "template").agg(F.count("s").alias("kids"), F.sum("w").alias("weight"))
-        kids = kids.filter(F.col("kids") > max_children).select("host", "template", "weight", F.lit(True).alias("many"))
-        seg = F.when(F.col("many") & here.isNotNull(), F.lit("*")).otherwise(here)
+        kids = tree.groupBy(*branch, here.alias("s")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("w"))
+        kids = materialize(kids, f"url-branches-{level}")
+        over = kids.groupBy(*branch).agg(F.count("s").alias("kids"), F.sum("w").alias("weight"))
+        many = over.filter(F.col("kids") > max_children).select(*branch, "weight", F.lit(True).alias("many"), F.lit(None).cast("map<string,string>").alias("names"))
+        # at most max_children siblings are gathered
+        some = kids.filter("n > 0 and s is not null").join(over.filter(F.col("kids").between(2, max_children)), branch)
+        some = some.groupBy(*branch, "weight").agg(F.array_sort(F.collect_list(F.struct((F.col("b") / F.col("n")).alias("share"), "s", "n", "b"))).alias("siblings"))
+        some = some.select(*branch, "weight", F.lit(False).alias("many"), _merged(F.col("siblings"), z).alias("names")).filter(F.size("names") > 0)
+        seg = F.when(F.col("many") & here.isNotNull(), F.lit("*")).otherwise(F.coalesce(F.try_element_at("names", here), here))
         grown = F.concat("template", F.coalesce(F.concat(F.lit("/"), seg), F.lit(""))).alias("template")
-        tree = materialize(spread_join(tree, kids, ["host", "template"], shapes).select("host", "shape", "n", "b", "pages", grown), f"url-level-{level}")
-    templates = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("shapes"))
-    templates = materialize(templates.withColumn("family", F.regexp_replace("template", "^/[^/]*", "/?")), "url-templates")
-
-    # siblings (equal but for their first segment) that the test can't tell from their family share its counts
-    summed = templates.groupBy("host", "family").agg(F.sum("n").alias("fn"), F.sum("b").alias("fb"), F.count("*").alias("weight"))
-    hosts = templates.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"), F.count("*").alias("weight"))
-    total = templates.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0)).alias("prior"))
-    n_templates = templates.count()
-    both = spread_join(spread_join(templates, summed, ["host", "family"], n_templates), hosts, ["host"], n_templates).join(F.broadcast(total))
-    p, q = F.try_divide("b", "n"), F.try_divide(F.col("fb") - F.col("b"), F.col("fn") - F.col("n"))
-    pooled = F.try_divide("fb", "fn")
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), F.col("fn") - F.col("n"))))
-    alike = (F.col("n") > 0) & (F.col("fn") > F.col("n")) & (F.abs(p - q) <= z * spread)
-    n, b = F.when(alike, F.col("fn")).otherwise(F.col("n")), F.when(alike, F.col("fb")).otherwise(F.col("b"))
-    host_purity = (F.col("hb") + alpha * F.col("prior")) / (F.col("hn") + alpha)
-    purity = materialize(both.select("host", "template", ((b + alpha * host_purity) / (n + alpha)).alias("purity"), F.col("shapes").alias("weight")), "url-purity")
-    leaves = tree.select("host", "shape", "template", F.col("pages").alias("weight"))
-    by_shape = materialize(spread_join(leaves, purity, ["host", "template"], shapes), "url-shapes")
+        tree = materialize(spread_join(tree, many.unionByName(some), branch, shapes).select("host", "shape", "n", "b", "pages", grown), f"url-level-{level}")
+
+    def summed(keys: list[str], n: str, b: str) -> DataFrame:
+        return tree.groupBy(*keys).agg(F.sum("n").alias(n), F.sum("b").alias(b), F.count("*").alias("weight"))
+
+    leaves = tree.select("host", "shape", "template", "pages")
+    for keys, n, b in ((branch, "n", "b"), (["host"], "hn", "hb"), (["shape"], "sn", "sb")):
+        leaves = spread_join(leaves, summed(keys, n, b), keys, shapes)
+    share = F.lit((blocked + _FEW / 4) / (labels + _FEW))
+    of_host, of_shape = ((F.col(b) + alpha * share) / (F.col(n) + alpha) for n, b in (("hn", "hb"), ("sn", "sb")))
+    odds = _odds(of_host) * _odds(of_shape) / _odds(share)
+    purity = (F.col("b") + alpha * odds / (1 + odds)) / (F.col("n") + alpha)
+    told = F.when((F.col("host") != "") & (F.col("hn") + F.col("sn") > 0), purity)
+    by_shape = materialize(leaves.select("host", "shape", F.when(F.col("host") != "", F.col("template")).alias("template"), told.alias("purity"), F.col("pages").alias("weight")), "url-shapes")
 
     judged = spread_join(rows, by_shape, ["host", "shape"], n_pages)
-    learnt = F.when(F.col("purity") >= least, "block").otherwise("allow")
+    learnt = F.when(F.col("purity").isNull(), unknown).when(F.col("purity") >= least, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("given", learnt).alias("verdict"), "template", "purity")
