@@ -78,6 +78,22 @@ def has_bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def rows_in(df: DataFrame, hash_col: str, bits: np.ndarray, on: bool = True) -> DataFrame:
+    """The rows whose hash (a long) falls in a marked slot, by its lowest bits; or, without `on`, all the others."""
+    at, mask = df.columns.index(hash_col), bits.size * 8 - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits, np.asarray(batch.column(at)) & mask) == on))
+
+    return map_batches(df, run, df.schema)
+
+
+def slots_of(df: DataFrame, hash_col: str, n: int) -> np.ndarray:
+    """The marked slots, of n, for rows_in()."""
+    return slot_bits(df.select(F.col(hash_col).bitwiseAND(F.lit(n - 1)).alias("slot")), n)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import has_bit, map_batches, materialize, pack, partitions, slot_bits, utf8
+from quillstream.llm.common import has_bit, map_batches, materialize, pack, partitions, rows_in, slots_of, utf8
 from quillstream.llm.simhash import SEED, components
 from quillstream.llm.simhash import links as near_fingerprints
 
@@ -265,7 +265,7 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
 
         def wanted(pairs: DataFrame) -> np.ndarray:
             ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-            return slot_bits(each.select("id", F.col("low.dx").bitwiseAND(F.lit(_SLOTS - 1)).alias("slot")).join(ids, "id"), _SLOTS)
+            return slots_of(each.select("id", F.col("low.dx").alias("dx")).join(ids, "id"), "dx", _SLOTS)
 
         maybe = sifted(pairs, each, _SKETCH)
         # a set may come more than once, from texts of one slot: then so does an edge
@@ -307,17 +307,6 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
     return found.unionByName(exact(pairs.distinct(), "apart"))
 
 
-def _marked(bits: np.ndarray, on: bool):
-    """The rows (row, did, dx) whose hash falls in a marked slot, or those whose hash doesn't."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = pa.array(has_bit(bits, np.asarray(batch.column(2)) & (_SLOTS - 1)) == on)
-            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=["row", "did", "dx"])
-
-    return run
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one of each component of similar texts: that with the smallest id (null ids last, then the hash
     of id and text).
@@ -341,10 +330,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     kept = labelled.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.did").alias("did"), F.col("low.dx").alias("dx"), F.lit(True).alias("stays"))
     counted = made.groupBy("did", "dx").agg(F.count("*").alias("copies")).join(kept, ["did", "dx"], "left")
     counted = materialize(counted.select("did", "dx", "copies", F.coalesce("stays", F.lit(False)).alias("stays")), "kept")
-    may_go = slot_bits(counted.filter("not stays or copies > 1").select(F.col("dx").bitwiseAND(F.lit(_SLOTS - 1)).alias("slot")), _SLOTS)
+    may_go = slots_of(counted.filter("not stays or copies > 1"), "dx", _SLOTS)
     keyed = pack(docs, did.alias("did"), dx.alias("dx"))
-    schema = f"row {docs.schema.simpleString()}, did long, dx long"
-    sure = map_batches(keyed, _marked(may_go, False), schema).select("row")
-    asked = map_batches(keyed, _marked(may_go, True), schema).join(counted.filter("stays").select("did", "dx", "copies"), ["did", "dx"])
+    sure = rows_in(keyed, "dx", may_go, False).select("row")
+    asked = rows_in(keyed, "dx", may_go).join(counted.filter("stays").select("did", "dx", "copies"), ["did", "dx"])
     once = asked.filter("copies > 1").groupBy("did", "dx").agg(F.first("row").alias("row")).select("row")
     return sure.unionByName(asked.filter("copies = 1").select("row")).unionByName(once).select("row.*")

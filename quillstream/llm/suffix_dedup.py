@@ -4,18 +4,21 @@ Every window of `min_len` bytes is assigned to one anchor: the smallest hash amo
 equals. The choice depends on the window's content alone, so equal windows have equal anchors at equal offsets. The
 windows of one anchor lie next to each other; together they span a *snippet* of the text.
 
-1. Anchors of all texts are written once as (gram hash, snippet hash, place); grams that occur once drop out.
-2. A snippet whose hash occurs twice repeats as a whole, whatever the number of copies: one aggregated row decides it.
-3. Among different snippets of one gram only some windows repeat. One representative of each is cut from its text, and
-   the collection transform of these snippets is built from right to left: every round inserts one symbol of each
-   document, sorts stably by it (the LF mapping) and updates the common prefixes with range minima over those of the
-   last round. Snippets are aligned at their anchor and equal windows start in the same column, so the segments of
-   different columns need not be interleaved: a segment depends only on the one before. The columns come from the
-   sorted shuffle files of Spark, read sequentially in blocks of bounded size.
+1. Anchors of all texts are written once as (gram hash, snippet hash, place); grams that occur once drop out. A bit table
+   of fixed size tells the others; where it is too small for a corpus some single grams stay, which changes no result.
+2. Equal snippets of a gram (by hash) are one, with their number; two of them are kept as representatives, of others one.
+   They are cut from their texts, and the collection transform of a gram's representatives is built from right to left:
+   every round inserts one symbol of each document, sorts stably by it (the LF mapping) and updates the common prefixes
+   with range minima over those of the last round. Snippets are aligned at their anchor and equal windows start in the same
+   column, so the segments of different columns need not be interleaved: a segment depends only on the one before. The
+   columns come from the sorted shuffle files of Spark, read sequentially in blocks of bounded size.
+3. Windows whose common prefix with a neighbour reaches `min_len` repeat. If both representatives of equal snippets repeat
+   in all windows, so do all their copies: they are looked up, never sent through the transform.
 4. A gram with more than `max_group` different snippets has its windows counted by a 128-bit hash instead, with partial
    sums before the shuffle, so that no task holds an unbounded group.
 
-Text reaches Python once for anchors and is shuffled once for both later joins. Links are never formed in pairs.
+Text reaches Python once for anchors; texts of documents that have nothing to cut, by another bit table, are not shuffled.
+Links are never formed in pairs.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import blocks, map_batches, materialize, pack, partitions, utf8
+from quillstream.llm.common import blocks, map_batches, materialize, pack, partitions, rows_in, slots_of, utf8
 
 GRAM = 32
 BLOCK = 1 << 18
+#: Bits of the tables that tell grams and documents apart from those that need no further work.
+_GRAM_SLOTS, _DOC_SLOTS = 1 << 27, 1 << 24
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -115,13 +120,15 @@ def _cut(min_len: int):
             want = batch.column(1)
             rows = want.flatten()
             doc = np.repeat(np.arange(len(batch)), np.diff(np.asarray(want.offsets)))
-            did, dx, p, lo, nw, ah, n = (np.asarray(rows.field(k)) for k in ("did", "dx", "p", "lo", "nw", "ah", "n"))
+            did, dx, p, lo, nw, ah, sh, n = (np.asarray(rows.field(k)) for k in ("did", "dx", "p", "lo", "nw", "ah", "sh", "n"))
             for a in range(0, len(p), 4000):
                 s = slice(a, a + 4000)
                 x = start[doc[s]] + p[s] - lo[s]
-                y = x + nw[s] + min_len - 1
-                snip = [data[u:v].tobytes() for u, v in zip(x.tolist(), y.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c[s]) for c in (ah, did, dx, p, lo, nw)] + [pa.array(n[s] == 1), pa.array(snip, pa.binary())], names=["ah", "did", "dx", "p", "lo", "nw", "alone", "snip"])
+                size = nw[s].astype(np.int64) + min_len - 1
+                ends = np.cumsum(size)
+                at = np.arange(ends[-1]) + np.repeat(x - (ends - size), size)
+                snip = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[at])])
+                yield pa.RecordBatch.from_arrays([pa.array(c[s]) for c in (ah, sh, did, dx, p, lo, nw)] + [pa.array(n[s] == 1), snip], names=["ah", "sh", "did", "dx", "p", "lo", "nw", "alone", "snip"])
 
     return run
 
@@ -147,12 +154,12 @@ def repeated_windows(snips: list[bytes], lo: np.ndarray, nw: np.ndarray, group:
     the same window there. `group` ascends; snippets are aligned at their anchors (lo bytes in)."""
     m, left = len(snips), int(lo.max())
     right = max(len(s) - int(o) for s, o in zip(snips, lo))
-    text = np.zeros((left + right, m), np.int64)  # 0: no symbol in this column
+    text = np.zeros((left + right, m), np.int16)  # 0: no symbol in this column
     size = np.array([len(s) for s in snips])
     flat = np.frombuffer(b"".join(snips), np.uint8)
     who = np.repeat(np.arange(m), size)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left - lo, size)
-    text[at, who] = flat.astype(np.int64) + 1
+    text[at, who] = flat.astype(np.int16) + 1
     order, common = np.arange(m), np.zeros(m + 1, np.int64)
     base = group.astype(np.int64) * 512  # order stays sorted by group, so the place decides the group
     found = np.zeros((left + 1, m), bool)
@@ -176,30 +183,36 @@ def repeated_windows(snips: list[bytes], lo: np.ndarray, nw: np.ndarray, group:
 
 
 def _transform(min_len: int, block_rows: int):
-    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        ah, did, dx, p, lo, nw, alone, snip = zip(*rows)
+    names, kinds = ["did", "dx", "s", "e", "ah", "sh"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Repeated spans of snippets that stand alone, and the equal snippets that repeat as a whole."""
+        ah, sh, did, dx, p, lo, nw, alone, snip = zip(*rows)
         lo, nw, p = np.array(lo, np.int64), np.array(nw, np.int64), np.array(p, np.int64)
         group = np.cumsum(np.concatenate([[0], np.diff(np.array(ah)) != 0])).astype(np.int64)
-        found = repeated_windows(list(snip), lo, nw, group, min_len) & np.array(alone)
+        found, alone = repeated_windows(list(snip), lo, nw, group, min_len), np.array(alone)
+        whole = sorted({(ah[k], sh[k]) for k in np.flatnonzero((found.sum(0) == nw) & ~alone).tolist()})
+        if whole:
+            none = pa.nulls(len(whole))
+            yield pa.RecordBatch.from_arrays([none.cast(t) for t in kinds[:4]] + [pa.array(c, pa.int64()) for c in zip(*whole)], names=names)
+        found &= alone
         edge = np.diff(np.vstack([np.zeros((1, len(rows)), np.int8), found.astype(np.int8), np.zeros((1, len(rows)), np.int8)]), axis=0).T
         who, a = np.nonzero(edge == 1)
         _, b = np.nonzero(edge == -1)
-        if not len(who):
-            return None
-        shift = p[who] - int(lo.max())
-        return pa.RecordBatch.from_arrays([pa.array(np.array(did)[who]), pa.array(np.array(dx)[who]), pa.array((shift + a).astype(np.int32)), pa.array((shift + b - 1 + min_len).astype(np.int32))], names=["did", "dx", "s", "e"])
+        if len(who):
+            shift, none = p[who] - int(lo.max()), pa.nulls(len(who), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(did)[who]), pa.array(np.array(dx)[who]), pa.array((shift + a).astype(np.int32)), pa.array((shift + b - 1 + min_len).astype(np.int32)), none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if len(rows) >= block_rows and row[0] != rows[-1][0]:
-                    if (out := flush(rows)) is not None:
-                        yield out
+                    yield from flush(rows)
                     rows = []
                 rows.append(row)
-        if rows and (out := flush(rows)) is not None:
-            yield out
+        if rows:
+            yield from flush(rows)
 
     return run
 
@@ -232,7 +245,7 @@ def _keep(decode: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(end - start, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string() if decode else pa.binary())], names=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, max_group: int = 1 << 16, block_rows: int = 20_000, decode: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, max_group: int = 1 << 14, block_rows: int = 20_000, decode: bool = False) -> DataFrame:
     """Each row of docs as `row` with n_bytes, n_removed, spans (maximal removed byte ranges, ascending) and kept (the
     remaining bytes). A byte goes if a string of min_len bytes that covers it starts anywhere else, in its own text or
     another; this is judged on the input. With decode, kept is text, without the rest of characters cut in two.
@@ -250,30 +263,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = partitions(docs.sparkSession)
 
     found = materialize(map_batches(keyed.select(*key, inner), _find(min_len), "did long, dx long, p int, lo short, nw short, ah long, sh long"), "anchors")
-    often = found.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
-    again = materialize(found.join(often, "ah", "left_semi"), "repeated")
-    each = again.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("did", "dx", "p", "lo", "nw")).alias("r"))
-    groups = each.groupBy("ah").agg(F.count("*").alias("d"), F.count_if(F.col("n") == 1).alias("alone")).filter("d > 1 and alone > 0")
-    whole = again.join(each.filter("n > 1").select("ah", "sh"), ["ah", "sh"], "left_semi").select(*key, (F.col("p") - F.col("lo")).alias("s"), (F.col("p") - F.col("lo") + F.col("nw") + (min_len - 1)).alias("e"))
-    mixed = materialize(each.join(groups, "ah").select("r.*", "ah", "n", "d"), "mixed")
+    often = found.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1")
+    again = materialize(rows_in(found, "ah", slots_of(often, "ah", _GRAM_SLOTS)), "repeated")
+    # the tables below are written before they are joined, so that adaptive execution can split a hot gram
+    place = F.struct("did", "dx", "p", "lo", "nw")
+    each = materialize(again.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(place).alias("r"), F.max(place).alias("r2")), "snippets")
+    groups = each.groupBy("ah").agg(F.count("*").alias("d"), F.max("n").alias("most")).filter("d > 1 or most > 1")
+    groups = materialize(groups.select("ah", "d"), "grams")
+    mixed = each.join(groups, "ah").withColumn("r", F.explode(F.when(F.col("n") > 1, F.array("r", "r2")).otherwise(F.array("r"))))
+    mixed = materialize(mixed.select("r.*", "ah", "sh", "n", "d"), "mixed")
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """text and the rows asked of it."""
+        want = rows.groupBy(*key).agg(F.collect_list(F.struct(*key, "p", "lo", "nw", "ah", "sh", "n")).alias("want"))
+        texts = rows_in(keyed.select(*key, inner), "dx", slots_of(rows, "dx", _DOC_SLOTS))
+        return texts.join(materialize(want, "asked"), key).select("text", "want")
 
-    texts = keyed.select(*key, "row")
-    ask = lambda rows: rows.groupBy(*key).agg(F.collect_list(F.struct(*key, "p", "lo", "nw", "ah", "n")).alias("want"))
     bounded, hot = mixed.filter(F.col("d") <= max_group), mixed.filter(F.col("d") > max_group)
-    snips = map_batches(texts.join(ask(bounded), key).select(inner, "want"), _cut(min_len), "ah long, did long, dx long, p int, lo short, nw short, alone boolean, snip binary")
-    spans = map_batches(snips.repartition(n, "ah").sortWithinPartitions("ah"), _transform(min_len, block_rows), "did long, dx long, s int, e int")
-    parts = [whole, spans]
+    snips = map_batches(texts_of(bounded), _cut(min_len), "ah long, sh long, did long, dx long, p int, lo short, nw short, alone boolean, snip binary")
+    spans = map_batches(snips.repartition(n, "ah").sortWithinPartitions("ah"), _transform(min_len, block_rows), "did long, dx long, s int, e int, ah long, sh long")
+    spans = materialize(spans, "spans")
+    parts, whole = [spans.filter("ah is null").select(*key, "s", "e")], spans.filter("ah is not null").select("ah", "sh")
     if not hot.isEmpty():
-        w = materialize(map_batches(texts.join(ask(hot), key).select(inner, "want"), _windows(min_len), "w binary, did long, dx long, s int, n long"), "windows")
+        w = materialize(map_batches(texts_of(hot), _windows(min_len), "w binary, did long, dx long, s int, n long"), "windows")
         twice = w.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-        parts.append(w.filter("n = 1").join(twice, "w", "left_semi").select(*key, "s", (F.col("s") + min_len).alias("e")))
+        parts.append(w.filter("n = 1").join(materialize(twice, "twice"), "w", "left_semi").select(*key, "s", (F.col("s") + min_len).alias("e")))
+        whole = whole.unionByName(hot.filter("n > 1").select("ah", "sh").distinct())
+    whole = materialize(whole, "whole")
+    copies = rows_in(again, "sh", slots_of(whole, "sh", _GRAM_SLOTS)).join(whole, ["ah", "sh"], "left_semi")
+    parts.append(copies.select(*key, (F.col("p") - F.col("lo")).alias("s"), (F.col("p") - F.col("lo") + F.col("nw") + (min_len - 1)).alias("e")))
     cuts = parts[0]
     for part in parts[1:]:
         cuts = cuts.unionByName(part)
-    cuts = cuts.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    cuts = materialize(cuts.groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("cuts")), "cuts")
+    has = slots_of(cuts, "dx", _DOC_SLOTS)
+    texts = keyed.select(*key, "row")
+    none = F.lit(None).cast("array<struct<s:int,e:int>>").alias("cuts")
+    out = rows_in(texts, "dx", has, False).select("row", inner, none).unionByName(rows_in(texts, "dx", has).join(cuts, key, "left").select("row", inner, "cuts"))
     row = docs.schema.simpleString()
     kind = "string" if decode else "binary"
-    return map_batches(texts.join(cuts, key, "left").select("row", inner, "cuts"), partial(_keep, decode), f"row {row}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept {kind}")
+    return map_batches(out, partial(_keep, decode), f"row {row}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept {kind}")
 
 
 def brute_force(texts: list[str | None], min_len: int) -> list[tuple[int, int, int, str]]:
