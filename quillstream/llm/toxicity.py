@@ -4,12 +4,14 @@ A unit is a token of a sentence (white-space separated, also with its punctuatio
 joined), cut into overlapping windows if it is long. The kernel of two units sums, over all triples of letters that
 occur in both in order, decay**span of each occurrence, so letters put in between or left out lower it but don't hide an
 insult; it is normalised. Its feature space has one axis per triple, so the machine in the Nyström space of `landmarks`
-units folds into one weight per triple, and a unit is scored exactly in time linear in its triples.
+units folds into one weight per triple, and a unit is scored exactly in time linear in its triples. Letters are told
+apart within their script, and every script has triples of its own.
 
 Labels are those of documents. Sentences of documents labelled 0 are negative in all their units; of a document labelled
 1 some sentence is toxic: its witness is the unit that scores highest, at first by how much likelier its own or its
 first letters' occurrence is under label 1. Machine and witnesses are refitted in turn, with the worst false alarms
-added to the negatives each time. A logistic curve on the best unit of each labelled document gives the score.
+added to the negatives each time. The cut on the best unit of each labelled document is where the shares of toxic and of
+clean ones beyond it differ most, in the widest gap there; a logistic curve through it gives the score, 0.3 at the cut.
 """
 
 from __future__ import annotations
@@ -64,13 +66,36 @@ def windows(unit: str) -> list[str]:
     return [unit] if len(unit) <= WINDOW else [unit[a : a + WINDOW] for a in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
 
 
-def codes(words: list[str]) -> np.ndarray:
-    """Letters as numbers below CODES, a column for each word (of one length): a to z, others by their code point."""
+#: First and last code point and first letter of the scripts with an alphabet of their own; all others are one.
+SCRIPTS = ((0x41, 0x24F, ord("a")), (0x400, 0x4FF, 0x430), (0x370, 0x3FF, 0x3B1), (0x530, 0x58F, 0x561), (0x590, 0x5FF, 0x5D0), (0x600, 0x6FF, 0x627))
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """Code points, a column for each word (of one length)."""
     flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
-    flat = np.where((flat >= 97) & (flat <= 122), flat - 97, 26 + flat % (CODES - 26)).astype(np.int32)
     return np.ascontiguousarray(flat.reshape(len(words), -1).T)
 
 
+def scripts(c: np.ndarray) -> np.ndarray:
+    """The script that most letters of each word (column) have; of equally many the first."""
+    of = np.full(c.shape, len(SCRIPTS))
+    for k, (low, high, _) in enumerate(SCRIPTS):
+        of[(c >= low) & (c <= high)] = k
+    return np.stack([(of == k).sum(0) for k in range(len(SCRIPTS) + 1)]).argmax(0)
+
+
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters as numbers below CODES, a column for each word (of one length), and each word's script. An alphabet's
+    first 26 letters have a number each (32 in Cyrillic and in what has no alphabet here), other letters share the rest."""
+    c = letters(words)
+    script = scripts(c)
+    first = np.array([s[2] for s in SCRIPTS] + [0])[script]
+    own = np.array([32 if k in (1, len(SCRIPTS)) else 26 for k in range(len(SCRIPTS) + 1)])[script]
+    at = c - first
+    out = np.where((at >= 0) & (at < own), at, np.where(own < CODES, 26 + c % (CODES - 26), c % CODES))
+    return np.ascontiguousarray(out.astype(np.int32)), script
+
+
 def triples(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """The triples of letters at each choice of three places, as numbers, and the decay of the choice."""
     for j, k in combinations(range(1, len(c)), 2):
@@ -98,35 +123,47 @@ def norms(c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.float32(DECAY**2) * total, 1e-12))
 
 
-def by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+def by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for at in groups.values():
         for a in range(0, len(at), 4000):
-            yield at[a : a + 4000], codes([words[i] for i in at[a : a + 4000]])
+            yield at[a : a + 4000], *codes([words[i] for i in at[a : a + 4000]])
 
 
-def dense(words: list[str]) -> np.ndarray:
-    """Normalised features of each word (of WINDOW letters at most), one column per triple."""
-    out = np.zeros((len(words), CODES**3), np.float32)
-    for at, c in by_length(words):
-        rows = np.array(at)
-        for key, d in triples(c):
-            out[rows, key] += d
-        out[rows] /= norms(c)[:, None]
+def scripts_of(words: list[str]) -> list[int]:
+    return sorted({int(k) for _, _, script in by_length(words) for k in np.unique(script)})
+
+
+def dense(words: list[str], known: list[int]) -> np.ndarray:
+    """Normalised features of each word (of WINDOW letters at most), one column per triple of each known script."""
+    out = np.zeros((len(words), CODES**3 * len(known)), np.float32)
+    place = np.array([known.index(k) if k in known else -1 for k in range(len(SCRIPTS) + 1)])
+    for at, c, script in by_length(words):
+        on = place[script] >= 0
+        rows, offset = np.array(at)[on], place[script[on]] * CODES**3
+        for key, d in triples(np.ascontiguousarray(c[:, on])):
+            out[rows, key + offset] += d
+        out[at] /= norms(c)[:, None]
     return out
 
 
-def linear(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Sum of the table over each word's normalised features (table: a weight per triple, or a row of them)."""
+def linear(words: list[str], table: np.ndarray, known: list[int]) -> np.ndarray:
+    """Sum of the table over each word's normalised features (table: a weight per triple and known script, or a row of
+    them). A word of another script has none."""
     out = np.zeros((len(words), *table.shape[1:]), np.float32)
-    for at, c in by_length(words):
-        total = np.zeros((len(at), *table.shape[1:]), np.float32)
+    place = np.array([known.index(k) if k in known else -1 for k in range(len(SCRIPTS) + 1)])
+    for at, c, script in by_length(words):
+        on = place[script] >= 0
+        c, rows, offset = np.ascontiguousarray(c[:, on]), np.array(at)[on], (place[script[on]] * CODES**3).astype(np.int32)
+        if not len(rows):
+            continue
+        total = np.zeros((len(rows), *table.shape[1:]), np.float32)
         for key, d in triples(c):
-            total += np.float32(d) * table[key]
+            total += np.float32(d) * table[key + offset]
         length = norms(c)
-        out[at] = total / (length if table.ndim == 1 else length[:, None])
+        out[rows] = total / (length if table.ndim == 1 else length[:, None])
     return out
 
 
@@ -156,6 +193,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    known: list[int] = field(default_factory=lambda: [0])
     cache: dict[str, float] = field(default_factory=dict)
 
     def best(self, texts: list[str]) -> np.ndarray:
@@ -172,7 +210,7 @@ class Model:
             new = list(words)
         if new:
             part = [windows(w) for w in new]
-            value = linear([x for p in part for x in p], self.table) + self.bias
+            value = linear([x for p in part for x in p], self.table, self.known) + self.bias
             ends = np.cumsum([len(p) for p in part])
             self.cache.update(zip(new, np.maximum.reduceat(value, ends - [len(p) for p in part]).tolist()))
 
@@ -180,20 +218,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts) + self.shift, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, clean: float = 3.0) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by damped Newton steps with a small ridge. Rows labelled 0 weigh `clean`
-    times as much: they are rarer in the sample than in the corpus."""
-    c = np.where(y > 0, 1.0, clean)
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([(c * (p - y) * x).sum() + 0.01 * a, (c * (p - y)).sum()])
-        w = c * p * (1 - p) + 1e-9
-        h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-        a, b = a - step[0], b - step[1]
-    return float(a), float(b)
+def curve(x: np.ndarray, y: np.ndarray, at_cut: float = 0.3) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over decision values. Labels may be wrong, and a toxic document may show no
+    sign, so the curve isn't fitted to all: it is `at_cut` where the shares of both labels beyond differ most (within a
+    hundredth, in the middle of the widest gap), and 0.9 at the median of the documents labelled 1 beyond that."""
+    v = np.unique(x)
+    beyond = lambda some: 1 - np.searchsorted(np.sort(some), v[:-1], "right") / len(some)
+    if len(v) < 2:
+        return 1.0, -float(v[0])
+    apart = beyond(x[y > 0]) - beyond(x[y <= 0])
+    gap = np.where(apart >= apart.max() - 0.01, np.diff(v), -1)
+    k = int(gap.argmax())
+    cut = float(v[k] + v[k + 1]) / 2
+    logit = lambda p: math.log(p / (1 - p))
+    sure = x[(y > 0) & (x > cut)]
+    slope = (logit(0.9) - logit(at_cut)) / max(0.05, float(np.median(sure)) - cut if len(sure) else 1.0)
+    return slope, logit(at_cut) - slope * cut
 
 
 def without_copies(documents: list[tuple[set[str], int]], slots: int = 8, alike: int = 3) -> list[tuple[set[str], int]]:
@@ -221,21 +261,24 @@ def without_copies(documents: list[tuple[set[str], int]], slots: int = 8, alike:
 
 def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: int = 4, negatives: int = 6_000) -> Model:
     """A model from (units, label) of labelled documents."""
-    documents = without_copies(documents)
-    toxic, clean = [sorted(u) for u, y in documents if y == 1], [u for u, y in documents if y != 1]
+    # words of a text copied often would look like signs of its label: copies go where the label is rare
+    clean = [u for u, y in documents if y != 1]
+    toxic = [sorted(u) for u, _ in without_copies([d for d in documents if d[1] == 1], 16, 2)]
+    documents = [(set(u), 1) for u in toxic] + [(u, 0) for u in clean]
     if not toxic or not clean:
-        return Model(np.zeros(CODES**3, np.float32), -1.0, 1.0, 40.0 if toxic else -40.0)
+        return Model(np.zeros(CODES**3, np.float32), -1.0, 1.0, 40.0 if toxic else -40.0)  # one label only: no score but 0 or 1
     keys = lambda u: {u, *(u[:n] + "*" for n in (4, 5) if len(u) > n)}
     in_toxic = Counter(k for u in toxic for k in set().union(*map(keys, u), set()))
     in_clean = Counter(k for u in clean for k in set().union(*map(keys, u), set()))
-    odds_of = lambda k: math.log((in_toxic[k] + 0.5) / (len(toxic) + 1)) - math.log((in_clean[k] + 0.5) / (len(clean) + 1)) if in_toxic[k] >= 5 else -9.0
+    some = min(5.0, max(2.0, len(toxic) / 12))  # documents that a sign must be seen in
+    odds_of = lambda k: math.log((in_toxic[k] + 0.5) / (len(toxic) + 1)) - math.log((in_clean[k] + 0.5) / (len(clean) + 1)) if in_toxic[k] >= some else -9.0
     table = {k: odds_of(k) for k in in_toxic}
-    odds = table.__getitem__
+    odds = lambda k: table.get(k, -9.0)
     first = [max(((max(map(odds, keys(u))), u) for u in us), default=(-9.0, "")) for us in toxic]
     witness = [w for o, w in first if o > 1.5]
     if not witness:
         witness = [w for _, w in first if w]
-    sure = [u for us in toxic for u in us if any(in_toxic[k] >= 8 and odds(k) > 2.5 for k in keys(u))]
+    sure = [u for us in toxic for u in us if any(in_toxic[k] >= 1.6 * some and odds(k) > 2.5 for k in keys(u))]
     witness += sure
     rng = np.random.default_rng(3)
     clean_units = sorted(set().union(*clean))
@@ -253,8 +296,9 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
             model.cache.clear()
         return scores
 
+    known = scripts_of([w for u in toxic for w in u])
     for step in range(rounds):
-        phi = dense(marks)
+        phi = dense(marks, known)
         value, vector = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         good = value > 1e-5 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
@@ -264,11 +308,11 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
             for k in range(1, min(len(w), WINDOW - 1)):
                 pos[w[:k] + "xiea"[int(rng.integers(4))] + w[k:]] += 1
         neg = [x for w in {*base, *hard} - set(witness) for x in windows(w)]
-        z = np.vstack([linear(list(pos), axes), linear(neg, axes)])
+        z = np.vstack([linear(list(pos), axes, known), linear(neg, axes, known)])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         weight = np.concatenate([np.sqrt(np.array(list(pos.values()), float)), np.full(len(neg), max(1.0, sum(map(math.sqrt, pos.values())) / len(neg)))])
         w, bias = svm(z, y, weight)
-        model = Model((axes @ w).astype(np.float32), bias, 1.0, 0.0)
+        model = Model((axes @ w).astype(np.float32), bias, 1.0, 0.0, known)
         scores = scored()
         if step + 1 < rounds:
             worst = sorted(clean_units, key=lambda u: -scores[u])[:3000]
@@ -277,7 +321,7 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
             common = [w for w, _ in Counter(witness).most_common(landmarks * 2 // 3)]
             marks = [windows(x)[0] for x in dict.fromkeys([*common, *worst[: landmarks - len(common)]])]
     x = [max(map(scores.__getitem__, us), default=model.bias) for us, _ in documents]
-    model.slope, model.shift = logistic(np.array(x), np.array([float(y == 1) for _, y in documents]))
+    model.slope, model.shift = curve(np.array(x), np.array([float(y == 1) for _, y in documents]))
     return model
 
 
@@ -327,5 +371,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of docs that score below `least`."""
+    """The rows of docs that score below `least`, with their columns, whatever their names. Null and empty texts have no
+    unit and stay, unless the model knows no label but 1; repeated rows stay or go together; an empty table stays empty."""
     return _scored(model, docs, text_col, least).select("row.*")

@@ -388,6 +388,43 @@ def test_quality_held_out():
     assert ((s[:-1] >= 0.5) == (y[80:] == 1)).all() and 0 <= s[-1] <= 1
 
 
+def test_quality_votes_are_brute_force(spark):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randint(1, 60)) if i % 2 else " | ".join(words(rng, 20).split()).upper() for i in range(60)]
+    texts += [texts[0], texts[2], "", None]
+    rows = [(i, t, i % 2 if i < 40 else None, "c") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int, score string")
+    model = quality.fit(df, "label", dims=8, neighbours=5)
+    got = {r.doc_id: r.score for r in quality.score(df.unionByName(df), model).select("row.doc_id", "score").distinct().collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        if not t:
+            assert got[i] == model.labels.mean()
+            continue
+        data = np.frombuffer(t.encode(), np.uint8)
+        v = model.project(quality.features(data, np.array([0]), np.array([len(data)])))[0]
+        near = sorted(((round(float(np.dot(v, u)), 5), y) for u, y in zip(model.vectors, model.labels)), key=lambda p: -p[0])
+        kth = near[4][0]
+        sure, ties = [p for p in near if p[0] > kth], [p for p in near if p[0] == kth]
+        part = (5 - len(sure)) / len(ties)
+        weights = [(max(c, 1e-3) ** 8, y) for c, y in sure] + [(part * max(c, 1e-3) ** 8, y) for c, y in ties]
+        assert abs(got[i] - sum(w * y for w, y in weights) / sum(w for w, _ in weights)) < 1e-3
+    assert quality.score(df.limit(0), model).count() == 0
+    none = quality.fit(df.limit(0), "label")
+    assert {r.score for r in quality.score(df, none).collect()} == {0.5}
+    one = quality.fit(df.filter("label = 1"), "label")
+    assert {r.score for r in quality.score(df, one).collect()} == {1.0}
+
+
+def test_quality_sees_words_of_other_scripts():
+    texts = ["правителството прие бюджета на страната днес", "ъъъъ щщщщ ъъщъ щъщъ ъщъщ ьььь", "κυβέρνηση και βουλή"]
+    blob = [t.encode() for t in texts]
+    ends = np.cumsum([len(b) for b in blob])
+    x = quality.features(np.frombuffer(b"".join(blob), np.uint8), ends - [len(b) for b in blob], ends)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (unit @ unit.T)[0, 1] < 0.5 and (unit @ unit.T)[0, 2] < 0.5
+
+
 def test_toxicity_tolerates_gaps():
     rng = random.Random(7)
     plain = [f"w{rng.choice('aeiou')}{rng.choice('rtnl')}{rng.choice('aeiou')}{rng.choice('dgst')}{rng.choice('aeiou')}" for _ in range(400)]
@@ -408,9 +445,49 @@ def test_toxicity_kernel_is_brute_force():
         return sum(toxicity.DECAY ** (a[2] - a[0] + b[2] - b[0] + 2) for a in combinations(range(len(s)), 3) for b in combinations(range(len(t)), 3) if all(s[x] == t[y] for x, y in zip(a, b)))
 
     ws = ["banana", "ananab", "naanna"]
-    d = toxicity.dense(ws)
+    d = toxicity.dense(ws, [0])
     want = [[k3(a, b) / (k3(a, a) * k3(b, b)) ** 0.5 for b in ws] for a in ws]
     assert np.allclose(d @ d.T, want, atol=1e-5)
+    table = np.random.default_rng(1).normal(size=toxicity.CODES**3).astype(np.float32)
+    assert np.allclose(toxicity.linear(ws, table, [0]), d @ table, atol=1e-4)
+
+
+def test_toxicity_learns_other_scripts():
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(400)]
+    bad = ["идиот", "глупак", "боклук"]
+    docs = [(toxicity.units(" ".join([rng.choice(plain) for _ in range(30)] + ([rng.choice(bad)] if i % 3 == 0 else []))), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train(docs, landmarks=48, negatives=300)
+    s = model.score(["ти си идиот", "и.д.и.о.т", "глуупак", "боклук", *plain[:40], "an english text"])
+    assert (s[:4] >= 0.3).all() and (s[4:] < 0.3).mean() > 0.9 and s[-1] < 0.3
+    assert toxicity.codes(["абв"])[0].T.tolist() == [[0, 1, 2]] and toxicity.codes(["abв"])[1].tolist() == [0]
+
+
+def test_toxicity_edge_cases(spark):
+    rows = [(1, "a b", None), (2, None, 1), (3, "", 1), (4, "you utter moron", 1), (5, "plain words here", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("score", F.lit("s")).withColumn("row", F.lit(1))
+    model = toxicity.fit(df, "label")
+    out = toxicity.score(df.unionByName(df), model).select("row.doc_id", "score").collect()
+    assert len(out) == 10 and all(0 <= r.score <= 1 for r in out) and len({(r.doc_id, r.score) for r in out}) == 5
+    assert toxicity.drop_toxic(df, model).columns == df.columns
+    assert toxicity.score(df.limit(0), model).count() == 0 and toxicity.drop_toxic(df.limit(0), model).count() == 0
+    for only, score in ((0, 0.0), (1, 1.0)):
+        one = toxicity.fit(df.filter(F.col("label") == only), "label")
+        assert {round(r.score, 6) for r in toxicity.score(df, one).collect()} == {score}
+    assert 0 <= toxicity.fit(df.limit(0), "label").score(["x", ""]).max() <= 1
+
+
+def held_out_rates(spark, sf, name, label):
+    rows = queries.QUERIES[name](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    rate = lambda y: np.mean([r.predicted == y for r in rows if r[label] == y])
+    return rate(0), rate(1)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    assert min(held_out_rates(spark, sf, "op3_quality", "quality")) >= 0.97
+    clean, toxic = held_out_rates(spark, sf, "op8_toxicity", "toxic")
+    assert clean >= 0.95 and toxic >= 0.84  # a few labels are wrong in these tables, too
 
 
 def test_folds(spark):
