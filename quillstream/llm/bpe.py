@@ -3,12 +3,14 @@
 The distinct words of a batch lie in one flat array of symbol ids. A round looks up every adjacent pair of a word by
 binary search in the sorted pair keys (left * n + right), takes each word's lowest rank by a segmented minimum and
 merges all places of that pair from left to right; words without a mergeable pair leave. A pair that a merge creates
-has a later rank than the merge itself, so this equals one merge at a time. Finished words go to a bounded cache.
+has a later rank than the merge itself, so this equals one merge at a time. Finished words go to a bounded cache. A word
+of over LONG bytes would take a round for each kind of pair in it, so its merges are taken from a heap instead.
 Texts are normalised and split as the vocabulary file says; its added tokens are found in the raw text first.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -24,6 +26,8 @@ from quillstream.llm.common import blocks, map_batches, utf8
 CACHE_WORDS = 200_000
 #: Whole texts of about so many bytes are encoded together, so that a run of long texts takes no more memory than others.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a word beyond which its merges come from a heap.
+LONG = 1000
 #: Characters of a text that are split into words at a time.
 STRETCH = 1 << 16
 
@@ -58,6 +62,7 @@ class Vocabulary:
         key = np.array([self.ids[a] * int(self.n) + self.ids[b] for a, b in pairs], np.int64)
         _, first = np.unique(key, return_index=True)
         self.keys, self.ranks = key[first], first.astype(np.int64)
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
         self.made = np.array([self.ids[a + b] for a, b in pairs], np.int64)
         self.forget()
 
@@ -70,9 +75,38 @@ class Vocabulary:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # no rule for a final sigma
 
+    def merge_long(self, raw: bytes) -> list[int]:
+        """Token ids of one word: the pair of lowest rank first, of equal ones the leftmost."""
+        data = np.frombuffer(raw, np.uint8)
+        sym = [*self.inner[data[:-1]].tolist(), int(self.final[data[-1]])]
+        n, big, rank_of, made = len(sym), int(self.n), self.rank_of, self.made
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of.get(sym[i] * big + sym[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j < 0 or rank_of.get(sym[i] * big + sym[j]) != r:
+                continue  # one of the two is gone
+            sym[i], sym[j] = int(made[r]), -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank_of.get(sym[i] * big + sym[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of.get(sym[h] * big + sym[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return [s for s in sym if s >= 0]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words, one after another, and the number of ids of each."""
         raw = [w.encode() for w in words]
+        if any(len(r) > LONG for r in raw):
+            short = [w for w, r in zip(words, raw) if len(r) <= LONG]
+            ids, size = self.merge(short) if short else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            rest = iter(np.split(ids, np.cumsum(size)[:-1]))
+            parts = [np.array(self.merge_long(r), np.uint32) if len(r) > LONG else next(rest) for r in raw]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         size = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         sym = self.inner[data]

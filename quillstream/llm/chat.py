@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import map_batches, partitions, utf8
+from quillstream.llm.common import blocks, map_batches, partitions, utf8
 
+#: Rows are assembled in parts of about so many bytes of text; the indices of a part take some forty times as much.
+PART_BYTES = 1 << 20
+#: Longer texts are copied whole, without indices.
+LONG = 1 << 14
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 _TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
@@ -48,16 +52,20 @@ def assemble(parts: list[bytes | pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(c, bytes):
             out[(begins[:, k, None] + np.arange(len(c))).ravel()] = np.tile(np.frombuffer(c, np.uint8), n)
         else:
-            data, start, _ = c
-            within = np.arange(int(lengths[:, k].sum())) - np.repeat(np.cumsum(lengths[:, k]) - lengths[:, k], lengths[:, k])
-            out[np.repeat(begins[:, k], lengths[:, k]) + within] = data[np.repeat(start, lengths[:, k]) + within]
+            data, start, end = c
+            for i in np.flatnonzero(lengths[:, k] > LONG):
+                out[begins[i, k] : begins[i, k] + lengths[i, k]] = data[start[i] : end[i]]
+            size = np.where(lengths[:, k] > LONG, 0, lengths[:, k])
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(begins[:, k], size) + within] = data[np.repeat(start, size) + within]
     return out, np.concatenate([[0], ends.reshape(n, -1)[:, -1]]) if n else np.zeros(1, np.int64)
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, len(batch), 200):
-            part = batch.slice(a, 200)
+        (_, r0, r1), (_, t0, t1) = utf8(batch.column(2)), utf8(batch.column(3))
+        for a, b in blocks(np.zeros(len(batch), np.int64), (r1 - r0) + (t1 - t0) + 40, PART_BYTES):
+            part = batch.slice(a, b - a)
             out, offsets = assemble([START, part.column(2), MIDDLE, part.column(3), END])
             size = lambda c: (lambda x: x[2] - x[1])(utf8(c))
             begin = len(START) + size(part.column(2)) + len(MIDDLE)
@@ -121,5 +129,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation of format_turns()."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation of format_turns(), in
+    the order of its rows, which must be as they came. A null conversation id is one conversation; repeated turns count
+    each; empty texts have digests of nothing; an empty table gives no rows."""
     return map_batches(formatted, _read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -4,7 +4,9 @@ Texts become lower-case word tokens. A seed is a fixed mask over consecutive tok
 and ignores the others, so a substituted word under a zero leaves the hash as it is. The seeds of the test items, a
 sorted table, meet those of the training texts by binary search behind a bit table. Every hit names a diagonal (item,
 text position less item position); there the tokens are compared, and an overlap counts if some aligned stretch has
-`min_tokens` tokens (or the whole item, if it is shorter) and at least `identity` of them are equal.
+`min_tokens` tokens (or the whole item, if it is shorter) and at least `identity` of them are equal. Items of fewer than
+`least_item` tokens would match half a corpus and match nothing; `short_items` lists them. Where one hash has many places
+in a text and in an item, as in runs of one word, all diagonals between the outermost are taken instead of all pairs.
 
 Items are sent to the tasks in blocks of a bounded size; a larger test set takes several passes. Texts aren't shuffled.
 """
@@ -26,6 +28,8 @@ from quillstream.llm.common import map_batches, pack
 MASKS = ("111111", "11001010011", "1111011")
 BLOCK_CHARS = 8_000_000
 _TEXT_BYTES = 1 << 18
+#: Pairs of places of one hash in one text and the items beyond which diagonals are taken as an interval.
+_MANY = 4096
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 _POW = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
@@ -93,11 +97,16 @@ def whole_masks(n: int, identity: float) -> list[str]:
 class Items:
     """The seeds and tokens of a block of test items."""
 
-    def __init__(self, ids: list, texts: list[str], min_tokens: int, identity: float) -> None:
+    def __init__(self, ids: list, texts: list[str], min_tokens: int, identity: float, least_item: int = 1) -> None:
         self.ids, self.min_tokens, self.identity = ids, min_tokens, identity
         self.tok, who = tokens([t.lower().encode() for t in texts])
         self.first = np.searchsorted(who, np.arange(len(ids) + 1))
         size = np.diff(self.first)
+        if (size < least_item).any():  # as if they were empty
+            keep = (size >= least_item)[who]
+            self.tok, who = self.tok[keep], who[keep]
+            self.first = np.searchsorted(who, np.arange(len(ids) + 1))
+            size = np.diff(self.first)
         short = {m for n in np.unique(size).tolist() if 0 < n < min_tokens for m in whole_masks(n, identity)} - set(MASKS)
         self.masks = [*MASKS, *sorted(short)]
         hs, places = [], []
@@ -126,7 +135,24 @@ class Items:
                 continue
             h, at = h[hit], at[hit]
             a, b = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            k = np.repeat(np.arange(len(h)), b - a)
+            h, at, a, b = (x[b > a] for x in (h, at, a, b))
+            if not len(h):
+                continue
+            order = np.lexsort((at, h, who[at]))
+            h, at, a, b = h[order], at[order], a[order], b[order]
+            run = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (who[at[1:]] != who[at[:-1]])]))
+            count = np.diff(np.append(run, len(h)))
+            many = count * (b - a)[run] > _MANY
+            for i, c in zip(run[many].tolist(), count[many].tolist()):
+                doc, lo, hi = int(who[at[i]]), int(at[i]), int(at[i + c - 1])
+                items, place = self.item[a[i] : b[i]], self.place[a[i] : b[i]]
+                for k in np.unique(items).tolist():
+                    p = place[items == k]
+                    base = int(self.first[k] - start[doc])
+                    pairs.update((doc, k, g) for g in range(lo - int(p.max()) + base, hi - int(p.min()) + base + 1))
+            few = np.repeat(~many, count)
+            at, a, b = at[few], a[few], b[few]
+            k = np.repeat(np.arange(len(at)), b - a)
             if not len(k):
                 continue
             e = np.arange(len(k)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[k]
@@ -137,6 +163,8 @@ class Items:
         for d, k, g in pairs:
             a, b, n = int(start[d]), int(start[d + 1]), int(self.first[k + 1] - self.first[k])
             x, y = max(0, -g), min(n, b - a - g)
+            if y <= x:
+                continue
             equal = tok[a + g + x : a + g + y] == self.tok[self.first[k] + x : self.first[k] + y]
             s, length = stretch(equal, min(self.min_tokens, n), self.identity)
             if length:
@@ -146,12 +174,12 @@ class Items:
         return [(d, k, *v) for (d, k), v in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, min_tokens: int, identity: float) -> Iterator[Items]:
+def item_blocks(items: DataFrame, item_col: str, text_col: str, min_tokens: int, identity: float, least_item: int) -> Iterator[Items]:
     rows = items.select(F.col(f"`{item_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     n = max(1, math.ceil((rows.agg(F.sum(F.length("t"))).first()[0] or 0) / BLOCK_CHARS))
     for b in range(n):
         got = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()
-        yield Items([r.i for r in got], [r.t for r in got], min_tokens, identity)
+        yield Items([r.i for r in got], [r.t for r in got], min_tokens, identity, least_item)
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -166,7 +194,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 13, identity: float = 0.8) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 13, identity: float = 0.8, least_item: int = 5) -> DataFrame:
     """doc_id, item_id, n_tokens, n_equal, at: for each row of docs and item that overlap, the longest aligned stretch
     (its tokens, the equal ones among them, its first token in the text).
 
@@ -176,7 +204,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     out = None
-    for block in item_blocks(items, item_col, item_text_col, min_tokens, identity):
+    for block in item_blocks(items, item_col, item_text_col, min_tokens, identity, least_item):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -193,9 +221,10 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 13, identity: float = 0.8) -> DataFrame:
-    """The rows of docs that overlap with no item."""
-    for block in item_blocks(items, item_col, item_text_col, min_tokens, identity):
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 13, identity: float = 0.8, least_item: int = 5) -> DataFrame:
+    """The rows of docs that overlap with no item, with their columns, whatever their names. Null and empty texts overlap
+    with nothing and stay; repeated rows stay or go together; without items, or with none of `least_item` tokens, all stay."""
+    for block in item_blocks(items, item_col, item_text_col, min_tokens, identity, least_item):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -209,7 +238,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     return docs
 
 
-def brute_force(docs: dict[int, str], items: dict[int, str], min_tokens: int = 13, identity: float = 0.8) -> set[tuple[int, int]]:
+def short_items(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least_item: int = 5) -> DataFrame:
+    """item_id and n_tokens of the items that are too short to be looked for; null texts have no token."""
+    kind = items.schema[item_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([len(tokens([(t or "").lower().encode()])[0]) for t in batch.column(1).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(n < least_item)), pa.array(n[n < least_item])], names=["item_id", "n_tokens"])
+
+    return map_batches(items.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")), run, f"item_id {kind}, n_tokens long")
+
+
+def brute_force(docs: dict[int, str], items: dict[int, str], min_tokens: int = 13, identity: float = 0.8, least_item: int = 5) -> set[tuple[int, int]]:
     """Pairs that have such a stretch on any diagonal, with seeds or without: for tests."""
     import re
 
@@ -218,6 +259,8 @@ def brute_force(docs: dict[int, str], items: dict[int, str], min_tokens: int = 1
     for d, t in docs.items():
         for k, u in items.items():
             x, y = word(t), word(u)
+            if len(y) < least_item:
+                continue
             for g in range(-len(y), len(x)):
                 e = [x[g + j] == y[j] for j in range(max(0, -g), min(len(y), len(x) - g))]
                 n = min(min_tokens, len(y))

@@ -111,6 +111,26 @@ def test_bpe_equals_the_library(spark):
     assert lean.columns == ["doc_id", "ids"] and {r.doc_id: list(r.ids) for r in lean.collect()} == {i: v[0] for i, v in got.items()}
 
 
+def test_bpe_of_long_words_and_edge_cases(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import time
+
+    import public_tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrd") for _ in range(3000)), "a" * 2001, "ab" * 700 + " x " + "é" * 900, "word " * 10]
+    voc = bpe.Vocabulary(queries.vocabulary())
+    ids, size = voc.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    began = time.perf_counter()
+    voc.encode(["".join(rng.choice("etaoinshrd") for _ in range(100_000))])
+    assert time.perf_counter() - began < 10
+    df = spark.createDataFrame([(1, "x", 1), (1, "x", 2)], "doc_id long, text string, ids int")
+    assert [list(r.ids) for r in bpe.encode(df, queries.vocabulary()).collect()] == [lib.encode("x").ids] * 2
+    assert bpe.encode(df.limit(0), queries.vocabulary()).count() == 0
+
+
 def test_bpe_in_short_stretches(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
@@ -128,7 +148,7 @@ def test_bpe_in_short_stretches(monkeypatch):
 def test_short_items_with_substitutions_are_found():
     from itertools import combinations
 
-    for n in range(1, 13):
+    for n in range(1, 13):  # of any length, if so wanted
         item = [f"w{n}x{i}" for i in range(n)]
         found = decontaminate.Items([n], [" ".join(item)], 13, 0.8)
         for k in range(n // 5 + 2):
@@ -137,6 +157,38 @@ def test_short_items_with_substitutions_are_found():
                 assert bool(found.find([text.encode()])) == (5 * len(out) <= n), (n, out)
 
 
+def test_too_short_items_match_nothing(spark):
+    docs = spark.createDataFrame([(i, f"the {i} cat sat on the mat", "x") for i in range(10)] + [(None, None, "x"), (11, "", "x")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(1, "the"), (2, None), (3, "on the mat"), (4, "3 cat sat on the mat")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(docs, items).count() == 2 and decontaminate.drop_contaminated(docs, items).columns == docs.columns
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()} == {(i, 4) for i in range(10)}  # five of six tokens
+    assert decontaminate.drop_contaminated(docs, items.filter("item_id < 4")).count() == 12
+    assert {(r.item_id, r.n_tokens) for r in decontaminate.short_items(items).collect()} == {(1, 1), (2, 0), (3, 3)}
+    assert decontaminate.overlaps(docs.limit(0), items).count() == 0
+
+
+def test_runs_of_one_word():
+    import time
+
+    found = decontaminate.Items([1], [" ".join(["the"] * 400)], 13, 0.8)
+    began = time.perf_counter()
+    assert found.find([b" ".join([b"the"] * 8000), b"the cat " * 20]) == [(0, 0, 400, 400, 0)]
+    assert time.perf_counter() - began < 5
+
+
+def test_recall_at_a_fifth_of_substitutions():
+    rng = random.Random(14)
+    met = of = 0
+    for _ in range(300):
+        n = rng.randint(13, 50)
+        item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        out = set(rng.sample(range(n), n // 5))
+        text = " ".join("x" if i in out else w for i, w in enumerate(item))
+        of += 1
+        met += bool(decontaminate.Items([1], [" ".join(item)], 13, 0.8).find([f"before {text} after".encode()]))
+    assert met >= 0.98 * of
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(4)
     items = {k: words(rng, n) for k, n in enumerate([3, 6, 12, 13, 15, 30, 45, 0])}
@@ -233,6 +285,15 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_of_long_texts(spark):
+    import pyarrow as pa
+
+    rows = ["x" * 3_000_000, "", "é" * 20_000, "short", "y" * 1_200_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5), pa.array(range(5)), pa.array(["user"] * 5), pa.array(rows), pa.array([False] * 5)], names=list("abcde"))
+    parts = list(chat._assemble([batch]))
+    assert len(parts) >= 3 and [t for p in parts for t in p.column(2).to_pylist()] == [f"<|im_start|>user\n{t}<|im_end|>\n" for t in rows]
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://A.example.com/x?q#f", "<p>é</p>"), (2, "http://b.example.com/", "<p>é</p>"), (3, None, None), (4, "", ""), (5, "http://c.org/\r\nX: y", "WARC/1.1\r\n\r\n\r\n\r\n"), (6, "http://d.org", "\x00" * 5), (7, "http://b.example.com/", "z" * 100_000)]
     df = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, copies string")
