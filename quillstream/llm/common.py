@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,7 +70,8 @@ def slot_bits(slots: DataFrame, n: int) -> np.ndarray:
     """Bits of the slots (a column `slot`, 0 to n - 1) that occur, packed from the lowest: n / 8 bytes, whatever the rows."""
     out = np.zeros((max(1, n >> 15), 4096), np.uint8)
     at = F.col("slot").cast("long") + 1
-    for r in slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+    dealt = slots.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).repartition(partitions(slots.sparkSession), "b")
+    for r in dealt.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():  # no bitmaps in the shuffle
         out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
@@ -104,9 +106,23 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def pack(df: DataFrame, *keep: str) -> DataFrame:

@@ -7,11 +7,11 @@ A text is the set of the 64-bit hashes of its five-word shingles; a shorter text
 2. Fingerprints of two sets of similarity 0.8 may differ in any number of bits, so an exact pass finds what the blocks
    miss: two sets of similarity s or more share one of the first n - ceil(s * n) + 1 shingles of both in any common order
    of all shingles (prefix filter). The order puts shingles that chunks of the corpus repeat last: it only decides how few
-   sets meet, not which links are found. Each member of a bucket is compared with the bucket's smallest, unless both are
-   in one component already; then, as links are closed to components, only pairs whose components still differ.
+   sets meet, not which links are found. Each member of a bucket is compared with the bucket's smallest; then, as links
+   (those of SimHash, too) are closed to components, only pairs whose components still differ.
 
 Candidates whose sketches (how many shingles fall in each of 128, then of 1,024 slots) differ by more than the sets may
-are dropped, which is exact too. Every other one is decided on the whole sets, made anew from the two texts: a text takes
+are dropped, in the bucket already where all pairs of it are gone through; that is exact too. Every other one is decided on the whole sets, made anew from the two texts: a text takes
 a quarter of the room of its set. So a group of near copies costs about its size. A bucket of more than CHUNK members is
 dealt out as pairs of its chunks. Texts of rows that surely stay are not shuffled at the end: a bit table of fixed size
 tells which rows may go.
@@ -34,7 +34,7 @@ from quillstream.llm.simhash import links as near_fingerprints
 SHINGLE = 5
 CHUNK = 1 << 12
 #: A shingle that a chunk of so many repeats so often goes to the end of the order; at most MOST_COMMON do.
-SEEN, OFTEN, MOST_COMMON = 1 << 20, 8, 1 << 17
+SEEN, OFTEN, MOST_COMMON = 1 << 21, 3, 1 << 17
 _SLOTS = 1 << 24
 _PAIRS = 200_000
 _SKETCH, _FINER = 128, 1024
@@ -52,32 +52,15 @@ def shingles(text: bytes) -> np.ndarray:
     return np.sort(np.fromiter(hs, np.uint64, len(hs)))
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that a chunk of texts repeats, with how many of its texts have them."""
-    held: list[np.ndarray] = []
-
-    def out() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h[c >= OFTEN].view(np.int64)), pa.array(c[c >= OFTEN])], names=["h", "c"])
-
-    seen = 0
-    for batch in batches:
-        data, start, end = utf8(batch.column(0))
-        for a, b in zip(start.tolist(), end.tolist()):
-            held.append(shingles(data[a:b].tobytes()))
-            seen += len(held[-1])
-            if seen > SEEN:
-                yield out()
-                seen = 0
-    if held:
-        yield out()
-
-
 def least_shared(n, similarity: float):
     return np.ceil(n * similarity - 1e-9).astype(np.int64)
 
 
+def may_differ(both, similarity: float):
+    """How many shingles two sets of that similarity, of `both` together, may not share."""
+    return (1 - similarity) / (1 + similarity) * both + 1e-6
+
+
 def sketch(hs: np.ndarray, slots: int) -> bytes:
     return np.minimum(np.bincount((hs % np.uint64(slots)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
 
@@ -89,7 +72,19 @@ def fingerprint(hs: np.ndarray) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The id, size, fingerprint and sketch of each text's set."""
+    """The id, size, fingerprint and sketch of each text's set; and, with a size of -1, shingles (as id) that a chunk of
+    texts repeats, with how many of its texts have them (as dx)."""
+    names = ["did", "dx", "id", "n", "fp", "sketch"]
+    held: list[np.ndarray] = []
+    seen = 0
+
+    def common() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        h, c = h[c >= OFTEN], c[c >= OFTEN]
+        zero = np.zeros(len(h), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(zero), pa.array(c), pa.array(h.view(np.int64)), pa.array((zero - 1).astype(np.int32)), pa.array(zero), pa.nulls(len(h), pa.binary())], names=names)
+
     for batch in batches:
         data, start, end = utf8(batch.column(2))
         ids, sizes, fps, sketches = [], [], [], []
@@ -99,8 +94,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(hs))
             fps.append(fingerprint(hs))
             sketches.append(sketch(hs, _SKETCH))
+            held.append(hs)
+            seen += len(hs)
+            if seen > SEEN:
+                yield common()
+                seen = 0
         cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["did", "dx", "id", "n", "fp", "sketch"])
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+    if held:
+        yield common()
 
 
 def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
@@ -165,38 +167,43 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*parts)])
 
 
-def _apart():
-    """Pairs of a cell (key, x, y) whose components differ; of two chunks only pairs across."""
+def _apart(similarity: float):
+    """Pairs of a cell (key, x, y) whose components differ and whose sketches don't exclude a link; of two chunks only
+    pairs across. A task says a pair once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, rows = None, []
+        said: set[tuple[int, int]] = set()
 
         def pairs() -> Iterator[pa.RecordBatch]:
             if len({r[1] for r in rows}) < 2:
                 return
-            i, label, mine = (np.array(c, np.int64) for c in zip(*rows))
-            us: list[np.ndarray] = []
-            vs: list[np.ndarray] = []
-            held = 0
+            i, label, mine, n = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+            sk = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, _SKETCH).astype(np.int16)
+            new = []
             for k in range(len(i) - 1):
-                ok = label[k + 1 :] != label[k]
+                ok = (label[k + 1 :] != label[k]) & (np.abs(n[k + 1 :] - n[k]) <= may_differ(n[k + 1 :] + n[k], similarity))
                 if held_key[1] != held_key[2]:
                     ok &= mine[k + 1 :] != mine[k]
-                hit = i[k + 1 :][ok]
-                us.append(np.full(len(hit), i[k]))
-                vs.append(hit)
-                held += len(hit)
-                if held > _PAIRS or k == len(i) - 2:
-                    u, v = np.concatenate(us), np.concatenate(vs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-                    us, vs, held = [], [], 0
+                at = k + 1 + np.flatnonzero(ok)
+                for lo in range(0, len(at), 4096):
+                    some = at[lo : lo + 4096]
+                    near = np.abs(sk[some] - sk[k]).sum(1, dtype=np.int64) <= may_differ(n[some] + n[k], similarity)
+                    new += [p for o in i[some[near]].tolist() if (p := (min(o, rows[k][0]), max(o, rows[k][0]))) not in said]
+                if len(new) > _PAIRS or k == len(i) - 2:
+                    if len(said) > _PAIRS:
+                        said.clear()
+                    said.update(new)
+                    u, v = zip(*sorted(set(new))) if new else ((), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    new = []
 
         for batch in batches:
-            for *key, i, label, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, i, label, mine, n, sk in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != held_key:
                     yield from pairs()
                     held_key, rows = key, []
-                rows.append((i, label, mine))
+                rows.append((i, label, mine, n, sk))
         yield from pairs()
 
     return run
@@ -230,7 +237,7 @@ def _may_link(similarity: float, slots: int):
             n, m = (np.asarray(batch.column(k)).astype(np.float64) for k in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, slots).astype(np.int16) for k in (4, 5))
             apart = np.abs(a - b).sum(1, dtype=np.int64)
-            on = np.maximum(apart, np.abs(n - m)) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+            on = np.maximum(apart, np.abs(n - m)) <= may_differ(n + m, similarity)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["u", "v"])
 
     return run
@@ -275,25 +282,17 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
         both = maybe.join(texts.select(F.col("id").alias("u"), F.col("whole").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("whole").alias("b")), "v")
         return materialize(map_batches(both.select("u", "v", "a", "b"), _exact(similarity), "u long, v long"), name)
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose components differ so far."""
-        root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r_{k}"))
-        both = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
-        return both.filter(F.coalesce("r_u", "u") != F.coalesce("r_v", "v")).select("u", "v")
-
     # SimHash: sets of one fingerprint meet at their smallest, close fingerprints by the smallest of both
     first = materialize(each.groupBy("fp").agg(F.min("id").alias("low_id")), "fingerprints")
     same = each.select("fp", "id").join(first, "fp").filter("id <> low_id").select(F.col("low_id").alias("u"), F.col("id").alias("v"))
     close = near_fingerprints(first.select("fp")).toDF("fu", "fv")
     close = close.join(first.toDF("fu", "u"), "fu").join(first.toDF("fv", "v"), "fv").select("u", "v")
-    found = exact(same.unionByName(close).distinct(), "simhash")
-    roots = components(found)
 
     keyed = map_batches(docs.select("text"), _prefix(similarity, common, often), "key long, id long")
     met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, top long, m long")
     met = materialize(met, "buckets")
-    stars = exact(apart(met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct(), roots), "stars")
-    found = found.unionByName(stars)
+    stars = met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct()
+    found = exact(same.unionByName(close).unionByName(stars).distinct(), "stars")
     roots = components(found)
     rest = met.filter("m > 2")  # two are settled by the first comparison
     rest = rest.join(roots, rest["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
@@ -302,8 +301,9 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
     mine = F.pmod(F.col("id"), chunks)
     rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"))
+    rest = rest.join(each.select("id", "n", "sketch"), "id").select("key", "x", "y", "id", "label", "mine", "n", "sketch")
     cells = ["key", "x", "y"]
-    pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(), "u long, v long")
+    pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(similarity), "u long, v long")
     return found.unionByName(exact(pairs.distinct(), "apart"))
 
 
@@ -318,10 +318,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
     dx = F.xxhash64(did, text)
     rows = docs.select(did.alias("did"), dx.alias("dx"), text.alias("text"))
-    seen = map_batches(rows.select("text"), _common, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    whole = materialize(map_batches(rows, _describe, "did long, dx long, id long, n int, fp long, sketch binary"), "sets")
+    made = whole.filter("n >= 0")
+    seen = whole.filter("n < 0").groupBy("id").agg(F.sum("dx").alias("c")).orderBy(F.desc("c"), "id").limit(MOST_COMMON).toArrow()
     h, c = (np.asarray(seen.column(k).combine_chunks()) for k in (0, 1))
     order = np.argsort(h.view(np.uint64))
-    made = materialize(map_batches(rows, _describe, "did long, dx long, id long, n int, fp long, sketch binary"), "sets")
     each = made.groupBy("id").agg(F.min(F.struct("did", "dx")).alias("low"), *[F.first(c).alias(c) for c in ("n", "fp", "sketch")])
     each = materialize(each, "distinct")
     found = links(rows.select("dx", "text"), each, similarity, h.view(np.uint64)[order], c[order])

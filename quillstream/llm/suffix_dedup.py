@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import blocks, map_batches, materialize, pack, partitions, rows_in, slots_of, utf8
+from quillstream.llm.common import blocks, has_bit, map_batches, materialize, pack, partitions, rows_in, slots_of, utf8
 
 GRAM = 32
 BLOCK = 1 << 18
 #: Bits of the tables that tell grams and documents apart from those that need no further work.
-_GRAM_SLOTS, _DOC_SLOTS = 1 << 27, 1 << 24
+_GRAM_SLOTS, _DOC_SLOTS = 1 << 25, 1 << 24
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -217,10 +217,18 @@ def _transform(min_len: int, block_rows: int):
     return run
 
 
-def _keep(decode: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(decode: bool, has: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and what is left of their texts without the cuts; or, where `has` marks the documents with cuts, all others."""
     names = ["row", "n_bytes", "n_removed", "spans", "kept"]
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     for batch in batches:
+        if has is not None:
+            batch = batch.filter(pa.array(~has_bit(has, np.asarray(batch.column(2)) & (_DOC_SLOTS - 1))))
+            none = [[]] * len(batch)
+            _, start, end = utf8(batch.column(1))
+            text = batch.column(1) if decode else batch.column(1).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(end - start, pa.int64()), pa.array(np.zeros(len(batch), np.int64)), pa.array(none, span), text], names=names)
+            continue
         data, start, end = utf8(batch.column(1))
         spans, kept, gone = [], [], []
         offsets = batch.column(2)
@@ -298,11 +306,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = materialize(cuts.groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("cuts")), "cuts")
     has = slots_of(cuts, "dx", _DOC_SLOTS)
     texts = keyed.select(*key, "row")
-    none = F.lit(None).cast("array<struct<s:int,e:int>>").alias("cuts")
-    out = rows_in(texts, "dx", has, False).select("row", inner, none).unionByName(rows_in(texts, "dx", has).join(cuts, key, "left").select("row", inner, "cuts"))
-    row = docs.schema.simpleString()
-    kind = "string" if decode else "binary"
-    return map_batches(out, partial(_keep, decode), f"row {row}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept {kind}")
+    schema = f"row {docs.schema.simpleString()}, n_bytes long, n_removed long, spans array<struct<s:int,e:int>>, kept {'string' if decode else 'binary'}"
+    whole_ones = map_batches(texts.select("row", inner, "dx"), partial(_keep, decode, has), schema)
+    cut = map_batches(rows_in(texts, "dx", has).join(cuts, key, "left").select("row", inner, "cuts"), partial(_keep, decode, None), schema)
+    return whole_ones.unionByName(cut)
 
 
 def brute_force(texts: list[str | None], min_len: int) -> list[tuple[int, int, int, str]]:

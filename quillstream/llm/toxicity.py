@@ -34,7 +34,7 @@ from quillstream.llm.common import map_batches, pack, partitions
 WINDOW = 12
 CODES = 32
 DECAY = 0.65
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 _OTHER = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S{1,3}\s+\S{1,3}\s+\S{1,3}(?!\S)")
 
@@ -302,7 +302,8 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
         value, vector = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         good = value > 1e-5 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
-        axes = (phi.T @ root).astype(np.float32)
+        axes = phi.T @ root.astype(np.float32)
+        del phi
         pos = Counter(windows(w)[0] for w in witness)
         for w, _ in pos.most_common(100):  # as an insult with a letter put in would be written
             for k in range(1, min(len(w), WINDOW - 1)):
@@ -335,11 +336,14 @@ def fit(labelled: DataFrame, label_col: str, text_col: str = "text", max_toxic:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(units(t))) for t in batch.column(1).to_pylist()], pa.string())], names=["y", "u"])
 
-    documents = []
+    documents: list[tuple[set[str], int]] = []
+    shared: dict[str, str] = {}
     for label, most in ((1, max_toxic), (0, max_clean)):
         some = rows.filter(F.col("y") == label).orderBy("h").limit(most).select("y", "text").repartition(partitions(labelled.sparkSession))
-        documents += sorted((r.u, r.y) for r in map_batches(some, run, "y int, u string").collect())
-    return train([(set(u.split()), y) for u, y in documents], **options)
+        rows_of = sorted((r.u, r.y) for r in map_batches(some, run, "y int, u string").collect())
+        documents += [({shared.setdefault(x, x) for x in u.split()}, y) for u, y in rows_of]
+    del shared, rows_of
+    return train(documents, **options)
 
 
 def _scored(model: Model, docs: DataFrame, text_col: str, least: float | None):
