@@ -142,15 +142,22 @@ def tone(direction: Column) -> Column:
 
 
 def chunks(text: str | None, most: int = DEFAULT.message_chars) -> list[str]:
-    """Paragraphs packed greedily into messages of at most `most` characters; a longer paragraph is cut."""
-    out: list[str] = []
-    for paragraph in re.split(r"\n\n+", text or ""):
-        for piece in [paragraph[i : i + most] for i in range(0, len(paragraph), most)]:
-            if out and len(piece) == len(paragraph) and len(out[-1]) + 2 + len(piece) <= most:
-                out[-1] += "\n\n" + piece
-            else:
-                out.append(piece)
-    return out
+    """A text within the limit as it is, also an empty one; a longer one by paragraphs, as many to a message as fit with
+    the blank line between and behind them. A longer paragraph is cut, and its last piece may be followed by others."""
+    whole = text or ""
+    if len(whole) <= most:
+        return [whole]
+    done: list[str] = []
+    open_ = ""
+    for paragraph in re.split(r"\n\n+", whole):
+        if open_ and len(open_) + len(paragraph) + 2 <= most:
+            open_ += "\n\n" + paragraph
+            continue
+        done += [open_] if open_ else []
+        cuts = max(0, (len(paragraph) - 1) // most)
+        done += [paragraph[i * most : (i + 1) * most] for i in range(cuts)]
+        open_ = paragraph[cuts * most :]
+    return done + ([open_] if open_ else [])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -23,12 +23,17 @@ def is_noise(url: Column, title: Column, segments: list[str], terms: list[str])
     return section_noise(url, segments) | F.lower(title).rlike(vocabulary_pattern(terms))
 
 
-def category(text: Column, lang: Column, allowed: Column, vocab: dict[str, list[str]], cfg=DEFAULT) -> Column:
-    """Category of a lower-cased text by its hits in the vocabularies civic, foreign, tech and domestic; null if none.
+def hits(text: Column, vocab: dict[str, list[str]]) -> Column:
+    """Distinct terms of each vocabulary in a lower-cased text, as a struct."""
+    return F.struct(*[vocabulary_hits(text, vocab[k]).alias(k) for k in ("civic", "foreign", "tech", "domestic")])
+
+
+def category(h: Column, lang: Column, allowed: Column, cfg=DEFAULT) -> Column:
+    """Category by a text's hits(); null if none.
 
     allowed: categories of the source, null for an unknown source, which may be any.
     """
-    civic, foreign, tech, home = (vocabulary_hits(text, vocab[k]) for k in ("civic", "foreign", "tech", "domestic"))
+    civic, foreign, tech, home = (h[k] for k in ("civic", "foreign", "tech", "domestic"))
     politics = F.when((civic > 0) | (foreign >= 2), civic + foreign).otherwise(0)
     may = lambda c: F.coalesce(F.array_contains(allowed, c), F.lit(True))
     two, one = cfg.cross_category_min, cfg.min_signal
@@ -42,6 +47,13 @@ def category(text: Column, lang: Column, allowed: Column, vocab: dict[str, list[
     )
 
 
+def classify(df: DataFrame, text: Column, lang: Column, allowed: Column, vocab: dict[str, list[str]], cfg=DEFAULT) -> DataFrame:
+    """df with its category. The hits are the one element of an array, so that no branch or filter on the category makes
+    the optimizer search the text again."""
+    once = df.withColumn("_hits", F.explode(F.array(hits(text, vocab))))
+    return once.withColumn("category", category(F.col("_hits"), lang, allowed, cfg)).drop("_hits")
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark cuts each task's groups before the shuffle (window group limit)."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)

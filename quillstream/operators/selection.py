@@ -2,48 +2,54 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.config import DEFAULT
+from quillstream.operators.tables import written
 
 
-def greedy(rows: list[dict], used: set[str], picks: int, crowding: float) -> list[dict]:
-    """Picks of one category, best total first (ties by key). With more than four candidates, one whose entities were used
-    is passed over if an unpicked one without any scores more than its total less the crowding penalty per overlap."""
-    order = sorted(rows, key=lambda r: (-r["total"], r["key"]))
-    names = {r["key"]: {e.lower() for e in (r["entities"] or [])[:3]} for r in order}
-    out: list[dict] = []
-    for r in order:
-        if len(out) == picks:
-            break
-        overlap = len(names[r["key"]] & used)
-        if overlap and len(order) > 4:
-            chosen = {x["key"] for x in out} | {r["key"]}
-            if any(x["key"] not in chosen and not names[x["key"]] & used and x["total"] > r["total"] - crowding * overlap for x in order):
-                continue
-        out.append({**r, "rank": len(out) + 1})
-        used |= names[r["key"]]
-    return out
+def select_top(candidates: DataFrame, categories: list[str], group: str = "digest_date", cfg=DEFAULT) -> DataFrame:
+    """Candidates (group, category, key, total, entities) picked for each digest, with their rank.
 
+    Categories in their fixed order share the used entities (a candidate's first three). Candidates are taken by total, ties
+    by key. If a category has more than one candidate beyond the picks, one whose entities were used is passed over for
+    good while any left without used ones scores more than its total less the crowding penalty per overlap.
 
-def select_top(candidates: DataFrame, categories: list[str], group: str = "digest_date", cfg=DEFAULT) -> DataFrame:
-    """Candidates (group, category, key, total, entities) picked for each digest: categories in their fixed order share the
-    used entities. Each category is cut to its best 12 first, so a group has a bounded number of rows."""
-    best = Window.partitionBy(group, "category").orderBy(F.desc("total"), "key")
-    few = candidates.filter(F.col("category").isin(categories)).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= cfg.candidates_per_category)
-    few = few.select(group, "category", "key", "total", "entities")
-    kind = candidates.schema[group].dataType.simpleString()
+    A pick is an aggregate over the candidates behind the last pick: of those without overlap, and of those with one, two
+    and three, only the best can be next, and it is if the best without overlap doesn't beat it. So no group is gathered.
+    """
+    names = F.transform(F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, 3), lambda e: F.lower(e))
+    kept = written(candidates.filter(F.col("category").isin(categories)).select(group, "category", "key", "total", F.array_distinct(names).alias("names")), "candidates")
+    state = kept.select(group).distinct().withColumn("used", F.array().cast("array<string>"))
+    picks = None
+    for category in categories:
+        mine = kept.filter(F.col("category") == category)
+        state = state.withColumns({"last_total": F.lit(None).cast("double"), "last_key": F.lit(None).cast("string")})
+        many = mine.groupBy(group).agg((F.count("*") > cfg.picks_per_category + 1).alias("many"))
+        mine = mine.join(many, group)
+        for rank in range(1, cfg.picks_per_category + 1):
+            behind = F.col("last_total").isNull() | (F.col("total") < F.col("last_total")) | ((F.col("total") == F.col("last_total")) & (F.col("key") > F.col("last_key")))
+            overlap = F.when(F.col("many"), F.size(F.array_intersect("names", "used"))).otherwise(0)
+            row = F.struct((-F.col("total")).alias("minus"), "key", "names")
+            best = [F.min(F.when(overlap == o, row)).alias(f"b{o}") for o in range(4)]
+            found = mine.join(state, group).filter(behind).groupBy(group).agg(*best)
+            free = -F.col("b0.minus")
+            fits = lambda o: F.when(free.isNull() | (-F.col(f"b{o}.minus") - cfg.penalties["crowding"] * o >= free), F.col(f"b{o}"))
+            next_ = F.array_min(F.array_compact(F.array("b0", fits(1), fits(2), fits(3))))
+            found = written(found.select(group, next_.alias("p")).filter("p is not null"), "picks")
+            one = found.select(group, F.lit(category).alias("category"), F.col("p.key").alias("key"), (-F.col("p.minus")).alias("total"), F.lit(rank).alias("rank"))
+            picks = one if picks is None else picks.unionByName(one)
+            # a digest without a next pick has none after it either
+            state = state.join(found, group, "left").select(group, F.array_union("used", F.coalesce("p.names", F.array().cast("array<string>"))).alias("used"), F.coalesce(-F.col("p.minus"), F.lit(float("-inf"))).alias("last_total"), F.coalesce("p.key", "last_key").alias("last_key"))
+    return picks
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        rows = []
-        for c in categories:
-            rows += greedy(pdf[pdf["category"] == c].assign(entities=lambda d: d["entities"].map(lambda e: list(e) if e is not None else [])).to_dict("records"), used, cfg.picks_per_category, cfg.penalties["crowding"])
-        return pd.DataFrame(rows, columns=[group, "category", "key", "total", "rank"])
 
-    return few.groupBy(group).applyInPandas(run, f"{group} {kind}, category string, key string, total double, rank int")
+def underfilled(picks: DataFrame, categories: list[str], group: str = "digest_date", cfg=DEFAULT) -> DataFrame:
+    """(group, category, picks) of the categories with fewer picks than there should be; those without any count 0."""
+    every = picks.select(group).distinct().withColumn("category", F.explode(F.array(*map(F.lit, categories))))
+    n = picks.groupBy(group, "category").agg(F.count("*").alias("picks"))
+    return every.join(n, [group, "category"], "left").withColumn("picks", F.coalesce("picks", F.lit(0))).filter(F.col("picks") < cfg.picks_per_category)
 
 
 def deep_dive(items: DataFrame, group: str = "digest_date", cfg=DEFAULT) -> DataFrame:
@@ -53,11 +59,13 @@ def deep_dive(items: DataFrame, group: str = "digest_date", cfg=DEFAULT) -> Data
 
 
 def daily_summary(items: DataFrame, group: str = "digest_date") -> DataFrame:
-    """Counts and means of each digest; the means are null if nothing in it is relevant."""
-    d = F.when(F.col("relevant"), F.col("direction"))
+    """Counts and means of each digest. Without a relevant item the net direction is 0, and the last three are null."""
+    d, relevant = F.when(F.col("relevant"), F.col("direction")), F.count_if("relevant")
+    some = lambda c: F.when(relevant > 0, c)
     return items.groupBy(group).agg(
-        F.count("*").alias("stories"), F.count_if("relevant").alias("democracy_relevant"), F.count_if(d <= -0.3).alias("eroding"), F.count_if(d >= 0.3).alias("strengthening"),
-        F.round(F.avg(d), 4).alias("net_direction"), F.round(F.avg(F.when(F.col("relevant"), F.col("significance"))), 4).alias("mean_significance"),
+        F.count("*").alias("stories"), relevant.alias("democracy_relevant"), F.coalesce(F.round(F.avg(d), 3), F.lit(0.0)).alias("net_direction"),
+        some(F.count_if(d < -0.3)).alias("erosion_stories"), some(F.count_if(d > 0.3)).alias("strengthening_stories"),
+        F.round(F.avg(F.when(F.col("relevant"), F.col("significance"))), 3).alias("mean_significance"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,60 @@ def replace_items(old: DataFrame, new: DataFrame, digest: str = "digest_date") -
     return old.join(new.select(digest).distinct(), digest, "left_anti").unionByName(new)
 
 
+def upsert_clusters(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Clusters by key: the new headline, last_seen and counts win, category and first_seen stay, and a parent_key that was
+    known stays where the new one is null."""
+    merged = upsert(old, new, ["key"], keep=["category", "first_seen"])
+    was = old.select("key", F.col("parent_key").alias("_was"))
+    return merged.join(was, "key", "left").withColumn("parent_key", F.coalesce("parent_key", "_was")).drop("_was").select(*old.columns)
+
+
+def point_members(articles: DataFrame, members: DataFrame) -> DataFrame:
+    """Articles with the cluster_key of their cluster (members: url, key); others keep theirs. Of several clusters of one
+    url the largest key."""
+    to = members.groupBy("url").agg(F.max("key").alias("_to"))
+    return articles.join(to, "url", "left").withColumn("cluster_key", F.coalesce("_to", "cluster_key")).select(*articles.columns)
+
+
+def analysis_rows(analyses: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Analyses of known clusters, with what is sorted and filtered by as columns; irrelevant ones have significance 0."""
+    known = analyses.join(clusters.select(F.col("key").alias("cluster_key")), "cluster_key", "left_semi")
+    return known.withColumns({"democracy_significance": F.when(F.col("relevant"), F.col("significance")).otherwise(0.0), "democracy_net": F.col("net_direction")})
+
+
+def save_items(old: DataFrame, new: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Items of the digests in new replace those of their dates; an item of an unknown cluster is skipped."""
+    known = new.join(clusters.select("key"), "key", "left_semi").select(*old.columns)
+    return old.join(new.select("digest_date").distinct(), "digest_date", "left_anti").unionByName(known)
+
+
+#: Signals that readers may send.
+SIGNALS = ("more", "less", "deep_dive", "irrelevant")
+
+
+def add_feedback(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Feedback appended; an unknown or missing signal is an error."""
+    bad = F.raise_error(F.concat(F.lit("unknown signal "), F.coalesce("signal", F.lit("null"))))
+    return old.unionByName(new.withColumn("signal", F.when(F.col("signal").isin(*SIGNALS), F.col("signal")).otherwise(bad)).select(*old.columns))
+
+
+def to_translate(items: DataFrame, done: DataFrame) -> DataFrame:
+    """Items (digest_date, key) that aren't translated yet: a run that was cut off is taken up where it ended."""
+    return items.join(done.select("digest_date", "key"), ["digest_date", "key"], "left_anti")
+
+
+def translation_complete(items: DataFrame, done: DataFrame) -> DataFrame:
+    """digest_date, items, translated and whether none is missing."""
+    n, t = (d.groupBy("digest_date").agg(F.count_distinct("key").alias(k)) for d, k in ((items, "items"), (done, "translated")))
+    return n.join(t, "digest_date", "left").withColumn("translated", F.coalesce("translated", F.lit(0))).withColumn("complete", F.col("translated") >= F.col("items"))
+
+
+def within_budget(calls: DataFrame, budget: int, order: list[str], tokens: str = "tokens") -> DataFrame:
+    """Calls in order while the tokens of those before are below the budget. One task adds them up."""
+    before = F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return calls.withColumn("_b", F.coalesce(before, F.lit(0))).filter(F.col("_b") < budget).drop("_b")
+
+
 def append_once(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new that aren't in old, each once."""
     return new.dropDuplicates().join(old, old.columns, "left_anti")
@@ -104,9 +159,14 @@ def parse_contract(df: DataFrame, column: str, schema: T.StructType, checks: Cal
     return parsed.withColumn("violations", bad).withColumn("record", F.when(F.size("violations") == 0, p)).drop("_p")
 
 
-def enrich(df: DataFrame, client: Callable[[dict], dict], schema: str, attempts: int = 3, parallel: int | None = None) -> DataFrame:
-    """Each row through a client, with a column error; a failing row is retried, then kept with its error. The client is
-    pickled; `parallel` bounds the tasks that call it at once."""
+class Refused(Exception):
+    """A client's answer that asking again won't change."""
+
+
+def enrich(df: DataFrame, client: Callable[[dict], dict], schema: str, attempts: int = 3, parallel: int | None = None, wait: float = 0.0) -> DataFrame:
+    """Each row through a client, with a column error; a failing row is retried after wait, 2 * wait, ... seconds (30 at
+    most), a refused one is not; then it is kept with its error. The client is pickled; `parallel` bounds the tasks that
+    call it at once."""
     out = T._parse_datatype_string(schema)
     names = [f.name for f in out]
     spread = df.repartition(parallel) if parallel else df
@@ -116,12 +176,16 @@ def enrich(df: DataFrame, client: Callable[[dict], dict], schema: str, attempts:
             rows = []
             for row in pdf.to_dict("records"):
                 error, got = None, {}
-                for _ in range(attempts):
+                for attempt in range(attempts):
                     try:
                         got, error = client(row), None
                         break
                     except Exception as e:  # a failed call is a result
                         error = f"{type(e).__name__}: {e}"
+                        if isinstance(e, Refused):
+                            break
+                        if attempt + 1 < attempts:
+                            time.sleep(min(30.0, wait * 2**attempt))
                 rows.append({**row, **{n: got.get(n) for n in names}, "error": error})
             yield pd.DataFrame(rows, columns=[*pdf.columns, *names, "error"])
 

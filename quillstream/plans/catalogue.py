@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import scoring as S
 from quillstream.functions import text as X
-from quillstream.operators import routing, selection, store, stories
+from quillstream.operators import reads, routing, selection, store, stories
+from quillstream.operators.tables import written
 from quillstream.plans.adapters import ARTICLES, REGISTRY, VOCAB, articles, registry
 from quillstream.session import table
 from quillstream.sources import feeds
@@ -19,7 +20,11 @@ CATEGORIES = [routing.BG, routing.GLOBAL, routing.TECH]
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark, sf):
+            df = f(spark, sf)
+            return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t == "date"})
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -33,7 +38,7 @@ def _hits(name: str) -> str:
     return " + ".join(f"(len(list_filter(toks, lambda t: {test(t)})) > 0)::INT" for t in terms)
 
 
-_TOKS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS toks"
+_TOKS = r"regexp_split_to_array(lower(concat_ws(' ', nullif(title, ''), nullif(substr(text, 1, 1500), ''))), '[^\p{L}\p{N}_]+') AS toks"
 CLASSIFIED = f"""{ARTICLES}, t AS (SELECT *, {_TOKS} FROM a), h AS (SELECT *, {", ".join(f"{_hits(k)} AS {k}" for k in VOCAB)} FROM t),
  p AS (SELECT *, CASE WHEN civic > 0 OR "foreign" >= 2 THEN civic + "foreign" ELSE 0 END AS politics FROM h),
  c AS (SELECT *, CASE WHEN politics < 1 AND tech < 1 THEN NULL WHEN tech > politics THEN 'ai_tech_business'
@@ -42,8 +47,8 @@ CLASSIFIED = f"""{ARTICLES}, t AS (SELECT *, {_TOKS} FROM a), h AS (SELECT *, {"
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anything = F.lit(None).cast("array<string>")
-    return articles(spark, sf_dir).withColumn("category", routing.category(F.lower("text"), F.col("lang"), anything, VOCAB))
+    none = F.lit(None).cast("string")
+    return routing.classify(articles(spark, sf_dir), X.haystack(F.col("title"), none, F.col("text")), F.col("lang"), F.lit(None).cast("array<string>"), VOCAB)
 
 
 @query("SELECT page_id, (lower(url) LIKE '%/de/%' OR lower(url) LIKE '%ref=%' OR lower(url) LIKE '%casino%') AS noise FROM pages")
@@ -58,8 +63,9 @@ def title_noise(spark, sf):
 
 @query(f"WITH {CLASSIFIED} SELECT doc_id, civic::BIGINT AS civic, \"foreign\"::BIGINT AS foreign_hits, tech::BIGINT AS tech, domestic::BIGINT AS domestic FROM h")
 def vocab_hits(spark, sf):
-    h = lambda k: X.vocabulary_hits(F.lower("text"), VOCAB[k]).cast("long")
-    return articles(spark, sf).select("doc_id", h("civic").alias("civic"), h("foreign").alias("foreign_hits"), h("tech").alias("tech"), h("domestic").alias("domestic"))
+    h = routing.hits(X.haystack(F.col("title"), F.lit(None).cast("string"), F.col("text")), VOCAB)
+    each = articles(spark, sf).select("doc_id", F.explode(F.array(h)).alias("h"))
+    return each.select("doc_id", *[F.col(f"h.{k}").cast("long").alias("foreign_hits" if k == "foreign" else k) for k in VOCAB])
 
 
 @query(f"WITH {CLASSIFIED} SELECT doc_id, category FROM c WHERE category IS NOT NULL")
@@ -185,7 +191,7 @@ def article_containment_pairs(spark, sf):
 @query()
 def article_tfidf_pairs(spark, sf):
     t = _stories(spark, sf, F.concat_ws(" ", "title", F.substring("text", 1, 400)))
-    weights = stories.written(stories.tfidf(t, "doc_id", "words", ["category"]), "weights")
+    weights = written(stories.tfidf(t, "doc_id", "words", ["category"]), "weights")
     return stories.cosine_edges(weights, group=["category"]).withColumn("similarity", F.round("similarity", 5))
 
 
@@ -200,16 +206,8 @@ def continuity_best_match(spark, sf):
     return stories.best_match(t.filter("key % 2 = 1"), t.filter("key % 2 = 0")).select("key", "parent_key", F.round("similarity", 6).alias("similarity"))
 
 
-@query("WITH RECURSIVE c AS (SELECT o_orderkey AS key, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_key FROM orders), u(start, ancestor, depth) AS (SELECT key, parent_key, 1 FROM c WHERE parent_key IS NOT NULL UNION ALL SELECT u.start, c.parent_key, u.depth + 1 FROM u JOIN c ON c.key = u.ancestor WHERE c.parent_key IS NOT NULL AND u.depth < 3) SELECT start, ancestor, depth FROM u")
-def lineage(spark, sf):
-    o = table(spark, sf, "orders")
-    chain = o.select(F.col("o_orderkey").alias("key"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("parent_key"))
-    return stories.lineage(chain, 3)
-
-
 @query("WITH RECURSIVE c AS (SELECT o_orderkey AS key, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_key FROM orders), u(start, ancestor, depth) AS (SELECT key, parent_key, 1 FROM c WHERE parent_key IS NOT NULL UNION ALL SELECT u.start, c.parent_key, u.depth + 1 FROM u JOIN c ON c.key = u.ancestor WHERE c.parent_key IS NOT NULL AND u.depth < 7) SELECT start, ancestor, depth FROM u")
-def lineage_whole(spark, sf):
-    """As lineage, with the operator's own limit of 7 steps."""
+def lineage(spark, sf):
     o = table(spark, sf, "orders")
     chain = o.select(F.col("o_orderkey").alias("key"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("parent_key"))
     return stories.lineage(chain)
@@ -228,16 +226,16 @@ def interest_weights(spark, sf):
 _DIMS = ["rule_of_law", "media_freedom", "minority_rights", "other"]
 _RUBRIC = """b AS (SELECT d.doc_id, l.toxic = 1 OR d.doc_id % 3 = 0 AS relevant, (d.doc_id % 11) / 10.0::DOUBLE AS significance, (d.doc_id % 7) / 7.0::DOUBLE AS novelty, l.quality::DOUBLE AS credibility,
    (d.doc_id % 5 - 2)::INT AS d1, ((d.doc_id // 5) % 5 - 2)::INT AS d2, (d.doc_id % 10) / 10.0::DOUBLE AS c1, ((d.doc_id // 10) % 10) / 10.0::DOUBLE AS c2, [1.0, 0.9, 0.7, 0.6][d.doc_id % 4 + 1]::DOUBLE AS w1, [1.0, 0.9, 0.7, 0.6][(d.doc_id + 1) % 4 + 1]::DOUBLE AS w2 FROM documents d JOIN labels l USING (doc_id)),
- g AS (SELECT *, CASE WHEN relevant AND w1 * c1 + w2 * c2 > 0 THEN (d1 * w1 * c1 + d2 * w2 * c2) / (w1 * c1 + w2 * c2) ELSE 0.0 END AS direction FROM b)"""
+ g AS (SELECT *, CASE WHEN relevant AND doc_id % 13 <> 0 AND w1 * c1 + w2 * c2 > 0 THEN (d1 * w1 * c1 + d2 * w2 * c2) / (w1 * c1 + w2 * c2) ELSE 0.0 END AS direction FROM b)"""
 
 
 def rubric(spark, sf) -> DataFrame:
     i = F.col("doc_id")
     dim = lambda k: F.element_at(F.array(*map(F.lit, _DIMS)), ((i + k) % 4 + 1).cast("int"))
-    impact = lambda k, d, c: F.struct(dim(k).alias("dimension"), d.cast("int").alias("direction"), c.alias("confidence"), F.lit("a rationale of six words here").alias("rationale"))
+    impact = lambda k, d, c: F.struct(dim(k).alias("dimension"), d.cast("int").alias("direction"), c.alias("confidence"), F.when(i % 5 == 0, "too short").otherwise("a rationale of six words here").alias("rationale"))
     d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id")
     impacts = F.array(impact(0, i % 5 - 2, (i % 10) / 10.0), impact(1, F.floor(i / 5) % 5 - 2, (F.floor(i / 10) % 10) / 10.0))
-    d = d.select("doc_id", ((F.col("toxic") == 1) | (i % 3 == 0)).alias("relevant"), ((i % 11) / 10.0).alias("significance"), ((i % 7) / 7.0).alias("novelty"), F.col("quality").cast("double").alias("credibility"), impacts.alias("impacts"))
+    d = d.select("doc_id", ((F.col("toxic") == 1) | (i % 3 == 0)).alias("relevant"), ((i % 11) / 10.0).alias("significance"), ((i % 7) / 7.0).alias("novelty"), F.col("quality").cast("double").alias("credibility"), (i % 5 - 2).cast("int").alias("net_direction"), F.when(i % 2 == 0, "another reading").alias("contrarian"), F.filter(impacts, lambda _: i % 13 != 0).alias("impacts"))
     return d.withColumn("direction", S.weighted_direction(F.col("relevant"), F.col("impacts")))
 
 
@@ -251,25 +249,54 @@ def democracy_score(spark, sf):
     return rubric(spark, sf).select("doc_id", S.democracy_score(F.col("relevant"), F.col("significance"), F.col("direction")).alias("democracy"), X.tone(F.col("direction")).alias("tone"))
 
 
-@query(f"WITH {_RUBRIC} SELECT doc_id, concat_ws(',', CASE WHEN significance > 0.7 AND credibility < 0.5 THEN 'significance_without_credibility' END, CASE WHEN abs(d1) >= 2 AND novelty < 0.4 THEN 'strong_claim_narrow_sources' END, CASE WHEN relevant THEN 'no_contrarian_read' END) AS flags FROM g")
+_FLAGGED = f"""{_RUBRIC}, fl AS (SELECT *, list_filter([
+   CASE WHEN relevant AND significance > 0.7 AND credibility < 0.5 THEN 'high_significance_low_credibility' END, CASE WHEN relevant AND doc_id % 13 = 0 THEN 'relevant_but_no_dimensions' END,
+   CASE WHEN relevant AND abs(d1) >= 2 AND novelty < 0.4 THEN 'strong_verdict_thin_sourcing' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 5 = 0 THEN 'thin_rationale' END,
+   CASE WHEN relevant AND doc_id % 2 <> 0 THEN 'no_counterview' END], lambda x: x IS NOT NULL) AS flags FROM g),
+ sc AS (SELECT fl.*, source, lang, DATE '2026-01-01' + (doc_id % 30)::INT AS digest_date, ['bg_politics', 'global_politics', 'ai_tech_business'][doc_id % 3 + 1] AS category,
+   CASE WHEN relevant THEN round(0.65::DOUBLE * significance + 0.35::DOUBLE * least(abs(direction) / 2, 1.0), 4) ELSE 0.0 END AS democracy,
+   round(0.5::DOUBLE * credibility + 0.5::DOUBLE * round(0.6::DOUBLE * (CASE substr(source, 4)::INT % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.45 ELSE 0.15 END)::DOUBLE + 0.1::DOUBLE, 4), 4) AS believed,
+   CASE WHEN lang = 'en' THEN 0.5::DOUBLE + 0.25::DOUBLE WHEN lang = 'de' THEN 0.5::DOUBLE - 0.75::DOUBLE + 0.25::DOUBLE ELSE 0.5::DOUBLE END AS mine,
+   (CASE WHEN doc_id % 2 = 0 THEN 0.08 ELSE 0.06 END)::DOUBLE + 0.05::DOUBLE * len(flags) + (CASE WHEN doc_id % 4 = 0 AND novelty < 0.4 THEN 0.1 ELSE 0 END)::DOUBLE AS penalty FROM fl JOIN documents USING (doc_id))"""
+
+
+def scored(spark, sf) -> DataFrame:
+    """Rubric, flags, penalties and total of every labelled document, with a digest date and a category."""
+    i = F.col("doc_id")
+    n = F.substring("source", 4, 9).cast("int")
+    reliability = F.element_at(F.array(*map(F.lit, ["high", "medium", "low", "propaganda"])), n % 4 + 1)
+    r = rubric(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    flags = S.sanity_flags(F.col("significance"), F.col("credibility"), F.col("relevant"), F.col("impacts"), F.col("net_direction"), F.col("novelty"), F.col("contrarian"))
+    r = r.withColumn("flags", flags)
+    inputs = (F.when(i % 2 == 0, 1).otherwise(2), F.array(F.lit("center")), F.col("flags"), i % 4 == 0, F.col("novelty"))
+    interests = F.create_map(F.lit("en"), F.lit(0.25), F.lit("de"), F.lit(-0.5))
+    r = r.withColumns({
+        "digest_date": F.date_add(F.lit("2026-01-01").cast("date"), (i % 30).cast("int")), "key": i.cast("string"), "category": F.element_at(F.array(*map(F.lit, CATEGORIES)), (i % 3 + 1).cast("int")),
+        "democracy": S.democracy_score(F.col("relevant"), F.col("significance"), F.col("direction")),
+        "believed": S.blended_credibility(F.col("credibility"), S.source_credibility(F.array(reliability), F.array("source"))),
+        "mine": S.personal(F.array("lang", "source"), interests), "penalty": S.penalties(*inputs), "reasons": S.penalty_reasons(*inputs),
+    })
+    return r.withColumn("total", S.selection_total(F.col("democracy"), F.col("significance"), F.col("novelty"), F.col("believed"), F.col("mine"), F.col("penalty")))
+
+
+@query(f"WITH {_FLAGGED} SELECT doc_id, array_to_string(flags, ',') AS flags FROM fl")
 def sanity_flags(spark, sf):
-    net = F.element_at("impacts", 1)["direction"]
-    flags = S.sanity_flags(F.col("significance"), F.col("credibility"), F.col("relevant"), F.col("impacts"), net, F.col("novelty"), F.lit(None).cast("string"))
-    return rubric(spark, sf).select("doc_id", F.array_join(flags, ",").alias("flags"))
+    return scored(spark, sf).select("doc_id", F.array_join("flags", ",").alias("flags"))
 
 
-@query(f"WITH {_RUBRIC}, s AS (SELECT *, CASE WHEN relevant THEN round(0.65::DOUBLE * significance + 0.35::DOUBLE * least(abs(direction) / 2, 1.0), 4) ELSE 0.0 END AS democracy FROM g) SELECT doc_id, round(round(0.3::DOUBLE * democracy + 0.25::DOUBLE * significance + 0.2::DOUBLE * novelty + 0.15::DOUBLE * credibility + 0.05::DOUBLE - (CASE WHEN doc_id % 2 = 0 THEN 0.08::DOUBLE ELSE 0.06::DOUBLE END + CASE WHEN doc_id % 4 = 0 AND novelty < 0.4 THEN 0.1::DOUBLE ELSE 0.0 END), 4), 3) AS total FROM s")
+@query(f"WITH {_FLAGGED} SELECT doc_id, believed, round(penalty, 6) AS penalty, round(0.3::DOUBLE * democracy + 0.25::DOUBLE * significance + 0.2::DOUBLE * novelty + 0.15::DOUBLE * believed + 0.1::DOUBLE * mine - penalty, 4) AS total FROM sc".replace("0.5::DOUBLE - 0.75::DOUBLE + 0.25::DOUBLE", "0.0::DOUBLE"))
 def selection_score(spark, sf):
-    r = rubric(spark, sf)
-    dem = S.democracy_score(F.col("relevant"), F.col("significance"), F.col("direction"))
-    count = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2)
-    pen = S.penalties(count, F.array(F.lit("center"), F.lit("center")), F.array().cast("array<string>"), F.col("doc_id") % 4 == 0, F.col("novelty"))
-    return r.select("doc_id", F.round(S.selection_total(dem, F.col("significance"), F.col("novelty"), F.col("credibility"), F.lit(0.5), pen), 3).alias("total"))
+    return scored(spark, sf).select("doc_id", "believed", F.round("penalty", 6).alias("penalty"), "total")
+
+
+@query(f"WITH {_FLAGGED} SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 2 = 0 THEN 'single source' ELSE 'one editorial lean' END, CASE WHEN len(flags) > 0 THEN 'flags: ' || array_to_string(flags, ', ') END, CASE WHEN doc_id % 4 = 0 AND novelty < 0.4 THEN 'ran yesterday, little new' END) AS reasons FROM sc")
+def penalty_reasons(spark, sf):
+    return scored(spark, sf).select("doc_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(f"WITH {_RUBRIC} SELECT doc_id % 30 AS day, count(*) AS stories, count(*) FILTER (relevant) AS democracy_relevant, count(*) FILTER (relevant AND direction <= -0.3) AS eroding, count(*) FILTER (relevant AND direction >= 0.3) AS strengthening, round(avg(CASE WHEN relevant THEN direction END), 4) AS net_direction, round(avg(CASE WHEN relevant THEN significance END), 4) AS mean_significance FROM g GROUP BY 1")
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_FLAGGED} SELECT digest_date, count(*) AS stories, count(*) FILTER (relevant) AS democracy_relevant, coalesce(round(avg(direction) FILTER (relevant), 3), 0.0) AS net_direction, CASE WHEN count(*) FILTER (relevant) > 0 THEN count(*) FILTER (relevant AND direction < -0.3) END AS erosion_stories, CASE WHEN count(*) FILTER (relevant) > 0 THEN count(*) FILTER (relevant AND direction > 0.3) END AS strengthening_stories, round(avg(significance) FILTER (relevant), 3) AS mean_significance FROM sc GROUP BY 1)")
 def daily_summary(spark, sf):
-    return selection.daily_summary(rubric(spark, sf).withColumn("day", F.col("doc_id") % 30), "day")
+    return selection.daily_summary(scored(spark, sf))
 
 
 @query("WITH d AS (SELECT ts::DATE::VARCHAR AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) SELECT * FROM (SELECT * FROM d ORDER BY day DESC LIMIT 10) ORDER BY day")
@@ -284,12 +311,12 @@ def deep_dive_pick(spark, sf):
     return selection.deep_dive(r, "day").select("day", "key", "democracy")
 
 
-@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / 10.0::DOUBLE AS p, sum(n / 10.0::DOUBLE) OVER (PARTITION BY user_id) AS s FROM c) SELECT user_id, event_type, round(CASE WHEN abs(s - 1) > 0.15 AND s > 0 THEN round(least(p / s, 1.0), 3) ELSE p END, 3) AS p FROM p")
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / 16.0::DOUBLE AS p, sum(n / 16.0::DOUBLE) OVER (PARTITION BY user_id) AS s FROM c) SELECT user_id, event_type, CASE WHEN abs(s - 1) > 0.15 AND s > 0 THEN round(least(p / s, 1.0::DOUBLE)::DECIMAL(18, 12), 3)::DOUBLE ELSE p END AS p FROM p")
 def normalize_probs(spark, sf):
-    c = table(spark, sf, "events").groupBy("user_id", "event_type").agg((F.count("*") / 10.0).alias("p"))
+    c = table(spark, sf, "events").groupBy("user_id", "event_type").agg((F.count("*") / 16.0).alias("p"))  # sums are exact
     g = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "p"))).alias("x"))
     g = g.select("user_id", F.arrays_zip(F.col("x.event_type").alias("event_type"), S.normalize_probabilities(F.col("x.p")).alias("p")).alias("x"))
-    return g.select("user_id", F.inline("x").alias("event_type", "p")).withColumn("p", F.round("p", 3))
+    return g.select("user_id", F.inline("x").alias("event_type", "p"))
 
 
 @query("SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
@@ -329,8 +356,8 @@ def map_deep_merge(spark, sf):
 
 @query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')")
 def contested_filter(spark, sf):
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role")).alias("c"))
-    return g.filter(F.exists("c", lambda x: x["role"].isin("system"))).select("conv_id", F.size("c").cast("long").alias("turns"))
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.bool_or(F.col("role") == "system").alias("hit"))
+    return g.filter("hit").select("conv_id", "turns")
 
 
 @query(f"WITH {_TITLES} SELECT DISTINCT doc_id, unnest(s) AS entity FROM t")
@@ -343,14 +370,8 @@ def run_stats(spark, sf):
     return table(spark, sf, "pages").agg(F.count("*").alias("fetched"), F.count_if(routing.section_noise(F.col("url"), ["/de/"])).alias("noise"), F.count_distinct("url").alias("urls"))
 
 
-@query(f"WITH {ARTICLES}, {REGISTRY}, n AS (SELECT source_slug, count(*) AS entries FROM a WHERE doc_id % 13 <> 0 AND source_slug <> 'src1' GROUP BY 1) SELECT slug, coalesce(entries, 0) AS entries, CASE WHEN n % 6 = 5 THEN 'skip' WHEN coalesce(entries, 0) = 0 THEN 'DEAD' ELSE 'ok' END AS status FROM reg LEFT JOIN n ON slug = source_slug".replace("CASE WHEN n % 6", "CASE WHEN reg.n % 6"))
-def feed_health(spark, sf):
-    return feeds.feed_health(registry(spark, sf), articles(spark, sf).filter("doc_id % 13 <> 0 and source_slug <> 'src1'"))
-
-
 @query(f"WITH {ARTICLES}, {REGISTRY}, k AS (SELECT source_slug, count(*) AS entries FROM a GROUP BY 1) SELECT slug, coalesce(entries, 0) AS entries, CASE WHEN reg.n % 6 = 5 THEN 'skip' WHEN coalesce(entries, 0) = 0 THEN 'DEAD' ELSE 'ok' END AS status FROM reg LEFT JOIN k ON slug = source_slug")
-def feed_health_whole(spark, sf):
-    """As feed_health, over all articles."""
+def feed_health(spark, sf):
     return feeds.feed_health(registry(spark, sf), articles(spark, sf))
 
 
@@ -368,10 +389,135 @@ def chunk_messages(spark, sf):
 def constrained_top3(spark, sf):
     c = classified(spark, sf).filter("category is not null")
     words = F.slice(X.tokens(X.normalize(F.col("title"))), 1, 3)
-    day = (F.col("doc_id") % 30).alias("digest_date")
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("digest_date")
     return selection.select_top(c.select(day, "category", F.col("doc_id").cast("string").alias("key"), ((F.col("doc_id") % 97) / 97.0).alias("total"), words.alias("entities")), CATEGORIES)
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(substr(split_part(text, chr(10), 1), 1, 160)), '[^a-z0-9]+', '-', 'g'), '-') [1:48] AS slug FROM documents")
 def slugs(spark, sf):
     return articles(spark, sf).select("doc_id", X.slug(F.col("title")).alias("slug"))
+
+
+def _told(spark, sf) -> DataFrame:
+    """Articles with what clustering reads: title, the text's first 400 characters as summary, weight and order."""
+    a = routing.with_registry(classified(spark, sf).filter("category is not null"), registry(spark, sf))
+    return a.select("category", "title", F.substring("text", 1, 400).alias("summary"), "url", "source_slug", "published_at", "weight", F.col("doc_id").alias("ordinal"), "lang")
+
+
+@query()
+def cluster_articles(spark, sf):
+    """Stories of a forward pass in every category, at the production thresholds."""
+    members = written(stories.cluster_articles(_told(spark, sf)), "members")
+    return stories.story_rows(members).select("category", "root", "key", "headline", "article_count", "source_count")
+
+
+@query()
+def cluster_by_category(spark, sf):
+    """Stories after the merge across languages: every document with its story's key."""
+    members, merged = stories.cluster_by_category(_told(spark, sf), lambda title: X.normalize(title))
+    return members.join(merged.select("category", "root", "key"), ["category", "root"]).select("category", "key", F.col("ordinal").alias("doc_id"))
+
+
+_ITEMS = f"{_FLAGGED}, it AS (SELECT *, doc_id::VARCHAR AS key, row_number() OVER (PARTITION BY digest_date, category ORDER BY doc_id) AS place FROM sc)"
+
+
+def _items(spark, sf) -> DataFrame:
+    return scored(spark, sf).select("doc_id", "digest_date", "category", "key", "relevant", "net_direction", "direction", "significance", "novelty", "believed", "democracy", "total", F.array("lang", "source").alias("tags"), F.array(F.struct(F.when(F.col("doc_id") % 4 == 0, "contested").otherwise("established").alias("status"))).alias("claims"))
+
+
+@query(f"WITH {_ITEMS} SELECT key, category FROM it WHERE digest_date = (SELECT max(digest_date) FROM it)")
+def latest_digest(spark, sf):
+    return reads.latest_digest(_items(spark, sf)).select("key", "category")
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS} SELECT DISTINCT digest_date FROM it ORDER BY 1 DESC LIMIT 7)")
+def digest_dates(spark, sf):
+    return reads.digest_dates(_items(spark, sf), 7)
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS} SELECT DISTINCT digest_date + 1 AS digest_date, key FROM it WHERE digest_date + 1 IN (SELECT digest_date FROM it))")
+def previous_keys(spark, sf):
+    return reads.previous_keys(_items(spark, sf), _items(spark, sf))
+
+
+@query(f"WITH {_ITEMS} SELECT doc_id FROM it WHERE doc_id % 4 = 0 UNION ALL SELECT -doc_id FROM it WHERE relevant AND d1 < 0")
+def dashboard_views(spark, sf):
+    i = _items(spark, sf)
+    return reads.dashboard(i, "contested").select("doc_id").unionByName(reads.dashboard(i, "erosion").select((-F.col("doc_id")).alias("doc_id")))
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS}, t AS (SELECT DISTINCT digest_date, unnest([lang, source]) AS tag FROM it), r AS (SELECT *, row_number() OVER (PARTITION BY digest_date ORDER BY tag) AS r FROM t) SELECT digest_date, string_agg(tag, ',' ORDER BY tag) AS tags FROM r WHERE r <= 12 GROUP BY 1)")
+def top_tags(spark, sf):
+    return reads.top_tags(_items(spark, sf)).select("digest_date", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {_ITEMS} SELECT doc_id, category, CASE WHEN doc_id % 5 = 0 THEN 'cluster ' || key ELSE 'said ' || key END AS headline FROM it WHERE category = 'global_politics' ORDER BY doc_id DESC LIMIT 50")
+def stories_read(spark, sf):
+    i = _items(spark, sf)
+    clusters = i.select("key", "category", F.concat(F.lit("cluster "), "key").alias("headline"), F.lit(1).alias("source_count"))
+    said = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("said "), "key"))
+    a = i.select(F.col("key").alias("cluster_key"), said.alias("headline"), F.col("significance").alias("democracy_significance"), F.col("net_direction").alias("democracy_net"), "novelty", F.col("believed").alias("credibility"), F.timestamp_seconds("doc_id").alias("created_at"))
+    return reads.stories_read(clusters, a, "global_politics").select(F.col("key").cast("long").alias("doc_id"), "category", "headline")
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS}, d AS (SELECT digest_date, count(*) FILTER (relevant) AS n, round(avg(significance), 6) AS m FROM it GROUP BY 1) SELECT digest_date, CASE WHEN n % 2 = 0 THEN m ELSE 0.0 END AS net_direction, n::DOUBLE AS relevant FROM (SELECT * FROM d ORDER BY digest_date DESC LIMIT 10))")
+def democracy_trend(spark, sf):
+    d = _items(spark, sf).groupBy("digest_date").agg(F.count_if("relevant").cast("double").alias("n"), F.round(F.avg("significance"), 6).alias("m"))
+    both, one = F.create_map(F.lit("democracy_relevant"), "n", F.lit("net_direction"), "m"), F.create_map(F.lit("democracy_relevant"), F.col("n"))
+    return reads.trend(d.select("digest_date", F.when(F.col("n") % 2 == 0, both).otherwise(one).alias("stats")), 10).select("digest_date", "net_direction", "relevant")
+
+
+@query(f"WITH {ARTICLES}, {REGISTRY} SELECT doc_id, coalesce(slug, '?') AS source_slug, coalesce(name, '?') AS source_name, coalesce(lean, 'unknown') AS lean, coalesce(reliability, 'medium') AS reliability FROM a LEFT JOIN reg ON slug = source_slug WHERE doc_id % 3 = 0")
+def refs_of(spark, sf):
+    a = articles(spark, sf).withColumn("cluster_key", (F.col("doc_id") % 3).cast("string"))
+    refs = reads.refs_of(spark.createDataFrame([("0",)], "key string"), a, registry(spark, sf))
+    return refs.select(F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "source_slug", "source_name", "lean", "reliability")
+
+
+_CLUSTERS = "o AS (SELECT c_custkey AS k, c_name AS headline, c_nationkey AS seen, CASE WHEN c_custkey % 4 = 0 THEN 'p' END AS parent FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, 'new' AS headline, c_nationkey + 100 AS seen, CASE WHEN c_custkey % 6 = 0 THEN 'q' END AS parent FROM customer WHERE c_custkey % 2 = 0)"
+
+
+@query(f"WITH {_CLUSTERS} SELECT k::VARCHAR AS key, coalesce(n.headline, o.headline) AS headline, coalesce(o.seen, n.seen) AS first_seen, coalesce(n.seen, o.seen) AS last_seen, coalesce(n.parent, o.parent) AS parent_key FROM o FULL JOIN n USING (k)")
+def cluster_upsert(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    row = lambda d, headline, seen, parent: d.select(k.cast("string").alias("key"), F.lit("x").alias("category"), headline.alias("headline"), seen.alias("first_seen"), seen.alias("last_seen"), parent.alias("parent_key"))
+    old = row(c.filter(k % 3 != 0), F.col("c_name"), F.col("c_nationkey"), F.when(k % 4 == 0, "p"))
+    new = row(c.filter(k % 2 == 0), F.lit("new"), F.col("c_nationkey") + 100, F.when(k % 6 == 0, "q"))
+    return store.upsert_clusters(old, new).drop("category")
+
+
+@query(f"WITH {ARTICLES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source_slug ELSE 'old' END AS cluster_key FROM a")
+def member_repoint(spark, sf):
+    a = articles(spark, sf).withColumn("cluster_key", F.lit("old"))
+    members = a.filter("doc_id % 2 = 0").select("url", F.col("source_slug").alias("key"))
+    return store.point_members(a, members).select("doc_id", "cluster_key")
+
+
+@query(f"WITH {_ITEMS} SELECT key, CASE WHEN relevant THEN significance ELSE 0.0 END AS democracy_significance, d1 AS democracy_net FROM it WHERE doc_id % 2 = 0")
+def analysis_upsert(spark, sf):
+    a = _items(spark, sf).withColumn("cluster_key", F.col("key"))
+    return store.analysis_rows(a, a.filter("doc_id % 2 = 0").select("key")).select("key", "democracy_significance", "democracy_net")
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS} SELECT digest_date, key FROM it WHERE digest_date < DATE '2026-01-10' UNION ALL SELECT digest_date, 'n' || key FROM it WHERE digest_date >= DATE '2026-01-10' AND doc_id % 2 = 0)")
+def digest_replace(spark, sf):
+    i = _items(spark, sf).select("doc_id", "digest_date", "key")
+    new = i.filter("digest_date >= date'2026-01-10'").withColumn("key", F.concat(F.lit("n"), "key"))
+    return store.save_items(i, new, new.filter("doc_id % 2 = 0").select("key")).select("digest_date", "key")
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS}, n AS (SELECT digest_date, count(*) AS items, count(*) FILTER (doc_id % 7 <> 0) AS translated FROM it GROUP BY 1) SELECT *, translated >= items AS complete FROM n)")
+def translation_complete(spark, sf):
+    i = _items(spark, sf)
+    return store.translation_complete(i, i.filter("doc_id % 7 <> 0"))
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS}, n AS (SELECT digest_date, category, count(*) AS picks FROM it WHERE doc_id % 50 = 0 GROUP BY ALL), e AS (SELECT * FROM (SELECT DISTINCT digest_date FROM it WHERE doc_id % 50 = 0), (SELECT unnest(['bg_politics', 'global_politics', 'ai_tech_business']) AS category)) SELECT digest_date, category, coalesce(picks, 0) AS picks FROM e LEFT JOIN n USING (digest_date, category) WHERE coalesce(picks, 0) < 3)")
+def underfilled(spark, sf):
+    return selection.underfilled(_items(spark, sf).filter("doc_id % 50 = 0"), CATEGORIES)
+
+
+@query("WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s FROM a x JOIN a y ON x.vec_id < y.vec_id) SELECT a, b FROM p WHERE s >= 0.42")
+def embedding_cosine_pairs(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return stories.embedding_edges(e, "vec_id", "embedding").select("a", "b")

@@ -12,11 +12,33 @@ from quillstream.functions.text import blank_null, html_to_text, url_hash
 RFC822 = "d MMM yyyy HH:mm:ss Z"
 
 
-def read_feed(spark: SparkSession, path: str, slug: str, row_tag: str = "item") -> DataFrame:
-    """Entries of RSS (item) or Atom (entry) files: source_slug, url, title, summary, published_at, in file order."""
-    schema = "title string, link string, description string, summary string, author string, pubDate string, published string, updated string"
+def read_feed(spark: SparkSession, path: str, slug: str, row_tag: str = "item", source_ord: int = 0, lang: str | None = None) -> DataFrame:
+    """Entries of RSS (item) or Atom (entry) files: source_slug, url, title, summary, author, lang, published_at, in file
+    order. An Atom link is an attribute; of several the first that is no other than the entry itself."""
+    link = "string" if row_tag == "item" else "array<struct<_href: string, _rel: string>>"
+    author = "string" if row_tag == "item" else "struct<name: string>"
+    schema = f"title string, link {link}, description string, summary string, author {author}, pubDate string, published string, updated string"
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
-    return entries(raw.withColumn("source_slug", F.lit(slug)).withColumn("entry_ord", F.monotonically_increasing_id()))
+    if row_tag != "item":
+        own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        raw = raw.withColumn("link", F.coalesce(F.get(own, F.lit(0)), F.get("link", F.lit(0)))["_href"]).withColumn("author", F.col("author.name"))
+    return entries(raw.withColumns({"source_slug": F.lit(slug), "source_ord": F.lit(source_ord), "entry_ord": F.monotonically_increasing_id(), "lang": F.lit(lang)}))
+
+
+def read_feeds(spark: SparkSession, feeds: list[dict]) -> DataFrame:
+    """Entries of all enabled feeds (slug, path, row_tag, lang, enabled), in their order by (source_ord, entry_ord)."""
+    out = None
+    for k, f in enumerate(x for x in feeds if x.get("enabled", True)):
+        one = read_feed(spark, f["path"], f["slug"], f.get("row_tag", "item"), k, f.get("lang"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no enabled feed")
+    return out
+
+
+def sources_for(registry: DataFrame, category: str) -> DataFrame:
+    """Enabled sources of a category."""
+    return registry.filter(F.col("enabled") & F.array_contains("categories", category))
 
 
 def timestamp_of(c: Column) -> Column:
@@ -28,17 +50,31 @@ def entries(raw: DataFrame) -> DataFrame:
     """Raw entries with link and title, their summary as text and the first date that parses."""
     title, summary = F.trim("title"), html_to_text(F.coalesce(blank_null(F.col("summary")), blank_null(F.col("description"))))
     when = F.coalesce(timestamp_of(F.coalesce("published", "pubDate")), timestamp_of(F.col("updated")))
-    return raw.filter((F.coalesce("link", F.lit("")) != "") & (F.coalesce(title, F.lit("")) != "")).select("source_slug", "entry_ord", F.col("link").alias("url"), title.alias("title"), summary.alias("summary"), when.alias("published_at"))
+    return raw.filter((F.coalesce("link", F.lit("")) != "") & (F.coalesce(title, F.lit("")) != "")).select("source_slug", "source_ord", "entry_ord", F.trim("link").alias("url"), title.alias("title"), summary.alias("summary"), "author", "lang", when.alias("published_at"))
 
 
 def pages_text(pages: DataFrame, most: int = DEFAULT.body_chars) -> DataFrame:
-    """url_hash and body (text of the page, at most so many characters) of each distinct url; pages without text go."""
-    return pages.dropDuplicates(["url"]).select(url_hash(F.col("url")).alias("url_hash"), F.substring(html_to_text(F.col("html")), 1, most).alias("body")).filter("body <> ''")
+    """url_hash and body (text of the page, at most so many characters) of each distinct url, of several pages the
+    largest; pages without text go."""
+    one = pages.groupBy("url").agg(F.max("html").alias("html"))
+    return one.select(url_hash(F.col("url")).alias("url_hash"), F.substring(html_to_text(F.col("html")), 1, most).alias("body")).filter("body <> ''")
 
 
 def to_fetch(urls: DataFrame, cache: DataFrame) -> DataFrame:
     """Urls not in the cache yet; empty cached bodies count, so a failed page isn't fetched again."""
-    return urls.dropDuplicates(["url"]).withColumn("url_hash", url_hash(F.col("url"))).join(cache.select("url_hash"), "url_hash", "left_anti")
+    return urls.select("url").distinct().withColumn("url_hash", url_hash(F.col("url"))).join(cache.select("url_hash"), "url_hash", "left_anti")
+
+
+def cached(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The cache (url_hash, body) with pages fetched now (url, body); a page that gave nothing is kept as empty, so that it
+    isn't fetched again. What is known stays."""
+    new = fetched.groupBy("url").agg(F.max("body").alias("body")).select(url_hash(F.col("url")).alias("url_hash"), F.coalesce("body", F.lit("")).alias("body"))
+    return cache.select("url_hash", "body").unionByName(new.join(cache.select("url_hash"), "url_hash", "left_anti"))
+
+
+def bodies(urls: DataFrame, cache: DataFrame, most: int = DEFAULT.body_chars) -> DataFrame:
+    """url and body of the distinct urls whose page is cached with a text."""
+    return urls.select("url").distinct().withColumn("url_hash", url_hash(F.col("url"))).join(cache.filter("body <> ''"), "url_hash").select("url", F.substring("body", 1, most).alias("body"))
 
 
 def feed_health(registry: DataFrame, entries: DataFrame) -> DataFrame:

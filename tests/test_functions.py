@@ -61,7 +61,7 @@ def test_chunks():
     text = "\n\n".join(["a" * 30, "b" * 30, "c" * 150])
     parts = X.chunks(text, 70)
     assert all(len(p) <= 70 for p in parts) and "".join(parts).replace("\n", "") == text.replace("\n", "")
-    assert X.chunks("", 10) == [] and X.chunks(None) == []
+    assert X.chunks("", 10) == [""] and X.chunks(None) == [""] and X.chunks("a\n\n\nb", 10) == ["a\n\n\nb"]
 
 
 IMPACTS = "array<struct<dimension:string,direction:int,confidence:double,rationale:string>>"
@@ -90,7 +90,7 @@ def test_rubric_of_the_default_story(spark):
     flags = S.sanity_flags(F.lit(0.8), F.lit(0.8), F.lit(True), i, F.lit(-1), F.lit(0.7), F.lit("other view"))
     assert one(spark, flags) == []
     assert one(spark, S.sanity_flags(F.lit(0.8), F.lit(0.2), F.lit(True), impacts(), F.lit(2), F.lit(0.1), F.lit(None).cast("string"))) == [
-        "significance_without_credibility", "relevant_without_impacts", "strong_claim_narrow_sources", "no_contrarian_read",
+        "high_significance_low_credibility", "relevant_but_no_dimensions", "strong_verdict_thin_sourcing", "no_counterview",
     ]
 
 

@@ -51,16 +51,16 @@ def test_article_tfidf_is_brute_force(spark, sf):
     assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
-def test_lineage_whole_goes_seven_steps(spark, sf):
-    assert max(r.depth for r in catalogue.QUERIES["lineage_whole"](spark, sf).collect()) == 7
+def test_lineage_goes_seven_steps(spark, sf):
+    assert max(r.depth for r in catalogue.QUERIES["lineage"](spark, sf).collect()) == 7
 
 
-def test_feed_health_whole_counts_all_articles(spark, sf):
+def test_feed_health_counts_all_articles(spark, sf):
     from quillstream.plans.adapters import articles, registry
 
     known = {r.slug for r in registry(spark, sf).collect()}
     n = sum(r.source_slug in known for r in articles(spark, sf).select("source_slug").collect())
-    got = catalogue.QUERIES["feed_health_whole"](spark, sf).collect()
+    got = catalogue.QUERIES["feed_health"](spark, sf).collect()
     assert sum(r.entries for r in got) == n and all(r.status != "DEAD" or r.entries == 0 for r in got)
 
 
