@@ -167,9 +167,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*parts)])
 
 
-def _apart(similarity: float):
+def _apart(similarity: float, nearest: bool):
     """Pairs of a cell (key, x, y) whose components differ and whose sketches don't exclude a link; of two chunks only
-    pairs across. A task says a pair once, as far as it remembers."""
+    pairs across. With `nearest`, of each member's pairs with later ones only that whose sketches differ least. A task
+    says a pair once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, rows = None, []
@@ -186,10 +187,15 @@ def _apart(similarity: float):
                 if held_key[1] != held_key[2]:
                     ok &= mine[k + 1 :] != mine[k]
                 at = k + 1 + np.flatnonzero(ok)
+                found = []
                 for lo in range(0, len(at), 4096):
                     some = at[lo : lo + 4096]
-                    near = np.abs(sk[some] - sk[k]).sum(1, dtype=np.int64) <= may_differ(n[some] + n[k], similarity)
-                    new += [p for o in i[some[near]].tolist() if (p := (min(o, rows[k][0]), max(o, rows[k][0]))) not in said]
+                    differ = np.abs(sk[some] - sk[k]).sum(1, dtype=np.int64)
+                    near = differ <= may_differ(n[some] + n[k], similarity)
+                    found += zip(differ[near].tolist(), i[some[near]].tolist())
+                if nearest and found:
+                    found = [min(found)]
+                new += [p for _, o in found if (p := (min(o, rows[k][0]), max(o, rows[k][0]))) not in said]
                 if len(new) > _PAIRS or k == len(i) - 2:
                     if len(said) > _PAIRS:
                         said.clear()
@@ -293,18 +299,23 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
     met = materialize(met, "buckets")
     stars = met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct()
     found = exact(same.unionByName(close).unionByName(stars).distinct(), "stars")
-    roots = components(found)
-    rest = met.filter("m > 2")  # two are settled by the first comparison
-    rest = rest.join(roots, rest["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    chunks = F.ceil(F.col("m") / CHUNK)
-    mine = F.pmod(F.col("id"), chunks)
-    rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"))
-    rest = rest.join(each.select("id", "n", "sketch"), "id").select("key", "x", "y", "id", "label", "mine", "n", "sketch")
-    cells = ["key", "x", "y"]
-    pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(similarity), "u long, v long")
-    return found.unionByName(exact(pairs.distinct(), "apart"))
+    # rounds of nearest pairs close most groups, so that few pairs are left for the last, which takes all
+    for round_ in ("near", "nearer", "apart"):
+        roots = components(found)
+        rest = met.filter("m > 2")  # two are settled by the first comparison
+        rest = rest.join(roots, rest["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
+        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        chunks = F.ceil(F.col("m") / CHUNK)
+        mine = F.pmod(F.col("id"), chunks)
+        rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"))
+        rest = rest.join(each.select("id", "n", "sketch"), "id").select("key", "x", "y", "id", "label", "mine", "n", "sketch")
+        cells = ["key", "x", "y"]
+        pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(similarity, round_ != "apart"), "u long, v long")
+        pairs = materialize(pairs.distinct(), f"{round_}-pairs")
+        if not pairs.isEmpty():
+            found = found.unionByName(exact(pairs, round_))
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
