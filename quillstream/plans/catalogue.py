@@ -284,7 +284,7 @@ def sanity_flags(spark, sf):
     return scored(spark, sf).select("doc_id", F.array_join("flags", ",").alias("flags"))
 
 
-@query(f"WITH {_FLAGGED} SELECT doc_id, believed, round(penalty, 6) AS penalty, round(0.3::DOUBLE * democracy + 0.25::DOUBLE * significance + 0.2::DOUBLE * novelty + 0.15::DOUBLE * believed + 0.1::DOUBLE * mine - penalty, 4) AS total FROM sc".replace("0.5::DOUBLE - 0.75::DOUBLE + 0.25::DOUBLE", "0.0::DOUBLE"))
+@query(f"WITH {_FLAGGED} SELECT doc_id, believed, round(penalty, 6) AS penalty, round((0.3::DOUBLE * democracy + 0.25::DOUBLE * significance + 0.2::DOUBLE * novelty + 0.15::DOUBLE * believed + 0.1::DOUBLE * mine - penalty)::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS total FROM sc".replace("0.5::DOUBLE - 0.75::DOUBLE + 0.25::DOUBLE", "0.0::DOUBLE"))
 def selection_score(spark, sf):
     return scored(spark, sf).select("doc_id", "believed", F.round("penalty", 6).alias("penalty"), "total")
 
