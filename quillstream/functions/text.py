@@ -127,11 +127,6 @@ def extract_json(c: Column) -> Column:
     return blank_null(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
 
 
-def bar(net: Column) -> Column:
-    size = F.greatest(F.lit(1), F.floor(F.abs(net) * 10).cast("int"))
-    return F.when(net == 0, "▪️").otherwise(F.when(net > 0, F.repeat(F.lit("🟩"), size)).otherwise(F.repeat(F.lit("🟥"), size)))
-
-
 def severity(direction: Column) -> Column:
     """-2 to 2, by rounding half to even."""
     return F.rint(direction).cast("int")

@@ -110,6 +110,23 @@ def top_tags(items: DataFrame, n: int = 12) -> DataFrame:
     return first.groupBy("digest_date").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
 
 
+def interests(feedback: DataFrame, as_of: Column, cfg=DEFAULT) -> DataFrame:
+    """tag and weight: the signals (tag, signal, created_at, id) of the last days, in order, each step held within 1 of 0.
+
+    Steps that are held are functions x -> min(high, max(low, x + add)), and so is one after the other. The signals of an
+    hour give one such function, and the hours of a tag are then folded, so that no task holds all signals of a tag.
+    """
+    known = F.create_map(*[x for k, v in cfg.interest_deltas.items() for x in (F.lit(k), F.lit(float(v)))])
+    recent = feedback.filter(F.col("tag").isNotNull() & (F.col("created_at") >= as_of - F.expr(f"INTERVAL {cfg.interest_days} DAYS")))
+    steps = recent.select("tag", F.date_trunc("hour", "created_at").alias("hour"), F.struct("created_at", "id", F.coalesce(F.try_element_at(known, F.col("signal")), F.lit(0.0)).alias("add")).alias("step"))
+    one, held = F.lit(1.0), lambda x, low, high: F.least(high, F.greatest(low, x))
+    start = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    then = lambda f, s: F.struct((f["add"] + s["add"]).alias("add"), held(f["low"] + s["add"], -one, one).alias("low"), held(f["high"] + s["add"], -one, one).alias("high"))
+    hours = steps.groupBy("tag", "hour").agg(F.aggregate(F.array_sort(F.collect_list("step")), start, then).alias("f"))
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("hour", "f"))), F.lit(0.0), lambda x, h: held(x + h["f"]["add"], h["f"]["low"], h["f"]["high"]))
+    return hours.groupBy("tag").agg(folded.alias("weight"))
+
+
 def or_else(df: DataFrame, other: DataFrame) -> DataFrame:
     """df, or the other table where it has no row."""
     return other if df.isEmpty() else df

@@ -100,6 +100,20 @@ def within_budget(calls: DataFrame, budget: int, order: list[str], tokens: str =
     return calls.withColumn("_b", F.coalesce(before, F.lit(0))).filter(F.col("_b") < budget).drop("_b")
 
 
+def usage(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Calls, failed ones (with an error) and tokens of each group."""
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.count("error").alias("failed"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
+
+def overridden(enriched: DataFrame, record: str, pipeline: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Enriched rows whose record (a struct) has the pipeline's own values in some fields, whatever was answered."""
+    own = pipeline.select(*keys, F.struct(*fields).alias("_own"))
+    changed = F.col(record)
+    for f in fields:
+        changed = changed.withField(f, F.col(f"_own.{f}"))
+    return enriched.join(own, keys).withColumn(record, changed).drop("_own")
+
+
 def append_once(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new that aren't in old, each once."""
     return new.dropDuplicates().join(old, old.columns, "left_anti")
@@ -149,6 +163,21 @@ def unknown_fields(raw: Column, schema: T.StructType) -> Column:
     return extra
 
 
+def contract_schema(t: T.DataType) -> dict:
+    """JSON Schema of a contract: objects without further fields, those that may not be null required."""
+    if isinstance(t, T.StructType):
+        return {"type": "object", "additionalProperties": False, "properties": {f.name: contract_schema(f.dataType) for f in t}, "required": [f.name for f in t if not f.nullable]}
+    if isinstance(t, T.ArrayType):
+        return {"type": "array", "items": contract_schema(t.elementType)}
+    if isinstance(t, T.MapType):
+        return {"type": "object", "additionalProperties": contract_schema(t.valueType)}
+    if isinstance(t, T.DateType | T.TimestampType):
+        return {"type": "string", "format": "date" if isinstance(t, T.DateType) else "date-time"}
+    if isinstance(t, T.BooleanType):
+        return {"type": "boolean"}
+    return {"type": "integer" if isinstance(t, T.IntegralType) else "number" if isinstance(t, T.NumericType) else "string"}
+
+
 def parse_contract(df: DataFrame, column: str, schema: T.StructType, checks: Callable[[Column], list[Check]]) -> DataFrame:
     """record (parsed, null if rejected) and violations of each JSON text: malformed, unknown fields, broken rules."""
     parsed = df.withColumn("_p", F.from_json(column, schema, {"mode": "PERMISSIVE"}))

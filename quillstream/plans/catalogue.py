@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions import display as D
 from quillstream.functions import scoring as S
 from quillstream.functions import text as X
-from quillstream.operators import reads, routing, selection, store, stories
+from quillstream.operators import reads, render, routing, selection, store, stories
 from quillstream.operators.tables import written
 from quillstream.plans.adapters import ARTICLES, REGISTRY, VOCAB, articles, registry
 from quillstream.session import table
@@ -216,11 +217,11 @@ def lineage(spark, sf):
 _SIGNAL = {"purchase": "more", "signup": "deep_dive", "error": "irrelevant", "click": "less"}
 
 
-@query("SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(CASE event_type WHEN 'purchase' THEN 0.15::DOUBLE WHEN 'signup' THEN 0.2::DOUBLE WHEN 'click' THEN -0.15::DOUBLE WHEN 'error' THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id)), lambda a, x: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, a + x))), 6) + 0.0 AS weight FROM events GROUP BY user_id")
+@query("SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(CASE event_type WHEN 'purchase' THEN 0.15::DOUBLE WHEN 'signup' THEN 0.2::DOUBLE WHEN 'click' THEN -0.15::DOUBLE WHEN 'error' THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id)), lambda a, x: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, a + x))), 6) + 0.0 AS weight FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id")
 def interest_weights(spark, sf):
     name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _SIGNAL.items() for x in p]), F.col("event_type")), F.lit("other"))
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct("ts", "event_id", name.alias("signal"))).alias("e"))
-    return e.select("user_id", (F.round(S.interest_fold(F.col("e")), 6) + 0.0).alias("weight"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("tag"), name.alias("signal"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
+    return reads.interests(e, F.lit("2024-03-15").cast("timestamp")).select(F.col("tag").alias("user_id"), (F.round("weight", 6) + 0.0).alias("weight"))
 
 
 _DIMS = ["rule_of_law", "media_freedom", "minority_rights", "other"]
@@ -467,10 +468,10 @@ def democracy_trend(spark, sf):
     return reads.trend(d.select("digest_date", F.when(F.col("n") % 2 == 0, both).otherwise(one).alias("stats")), 10).select("digest_date", "net_direction", "relevant")
 
 
-@query(f"WITH {ARTICLES}, {REGISTRY} SELECT doc_id, coalesce(slug, '?') AS source_slug, coalesce(name, '?') AS source_name, coalesce(lean, 'unknown') AS lean, coalesce(reliability, 'medium') AS reliability FROM a LEFT JOIN reg ON slug = source_slug WHERE doc_id % 3 = 0")
+@query(f"WITH {ARTICLES}, {REGISTRY} SELECT doc_id, coalesce(slug, '?') AS source_slug, coalesce(name, '?') AS source_name, coalesce(lean, 'unknown') AS lean, coalesce(reliability, 'medium') AS reliability FROM a LEFT JOIN reg ON slug = source_slug")
 def refs_of(spark, sf):
     a = articles(spark, sf).withColumn("cluster_key", (F.col("doc_id") % 3).cast("string"))
-    refs = reads.refs_of(spark.createDataFrame([("0",)], "key string"), a, registry(spark, sf))
+    refs = reads.refs_of(a.select(F.col("cluster_key").alias("key")).distinct(), a, registry(spark, sf))
     return refs.select(F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "source_slug", "source_name", "lean", "reliability")
 
 
@@ -512,12 +513,124 @@ def translation_complete(spark, sf):
     return store.translation_complete(i, i.filter("doc_id % 7 <> 0"))
 
 
-@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS}, n AS (SELECT digest_date, category, count(*) AS picks FROM it WHERE doc_id % 50 = 0 GROUP BY ALL), e AS (SELECT * FROM (SELECT DISTINCT digest_date FROM it WHERE doc_id % 50 = 0), (SELECT unnest(['bg_politics', 'global_politics', 'ai_tech_business']) AS category)) SELECT digest_date, category, coalesce(picks, 0) AS picks FROM e LEFT JOIN n USING (digest_date, category) WHERE coalesce(picks, 0) < 3)")
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS.replace("(doc_id % 30)", "(doc_id // 7)")}, n AS (SELECT digest_date, category, count(*) AS picks FROM it GROUP BY ALL), e AS (SELECT * FROM (SELECT DISTINCT digest_date FROM it), (SELECT unnest(['bg_politics', 'global_politics', 'ai_tech_business']) AS category)) SELECT digest_date, category, coalesce(picks, 0) AS picks FROM e LEFT JOIN n USING (digest_date, category) WHERE coalesce(picks, 0) < 3)")
 def underfilled(spark, sf):
-    return selection.underfilled(_items(spark, sf).filter("doc_id % 50 = 0"), CATEGORIES)
+    day = F.date_add(F.lit("2026-01-01").cast("date"), F.floor(F.col("doc_id") / 7).cast("int"))
+    return selection.underfilled(_items(spark, sf).withColumn("digest_date", day), CATEGORIES)
 
 
 @query("WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s FROM a x JOIN a y ON x.vec_id < y.vec_id) SELECT a, b FROM p WHERE s >= 0.42")
 def embedding_cosine_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
     return stories.embedding_edges(e, "vec_id", "embedding").select("a", "b")
+
+
+_AS_OF = "2026-01-02 10:00:00"
+
+
+@query(f"WITH {ARTICLES} SELECT doc_id FROM a WHERE published_at >= TIMESTAMP '{_AS_OF}' - INTERVAL 30 HOUR")
+def recent_articles(spark, sf):
+    return reads.recent_articles(articles(spark, sf).withColumn("fetched_at", F.col("published_at")), F.lit(_AS_OF).cast("timestamp")).select("doc_id")
+
+
+@query(f"WITH {ARTICLES}, c AS (SELECT source_slug AS key, max(published_at) AS seen FROM a GROUP BY 1) SELECT key, seen >= TIMESTAMP '2026-01-05 10:00:00' - INTERVAL 30 HOUR AS recent FROM c WHERE seen >= TIMESTAMP '2026-01-05 10:00:00' - INTERVAL 4 DAY")
+def recent_clusters(spark, sf):
+    c = articles(spark, sf).groupBy(F.col("source_slug").alias("key")).agg(F.max("published_at").alias("last_seen")).withColumns({"category": F.lit("x"), "headline": F.col("key")})
+    as_of = F.lit("2026-01-05 10:00:00").cast("timestamp")
+    since = reads.clusters_since(c, "x", as_of).select("key", F.lit(True).alias("recent"))
+    return reads.recent_keys(c, as_of).join(since, "key", "left").select("key", F.coalesce("recent", F.lit(False)).alias("recent"))
+
+
+@query(f"WITH {ARTICLES}, {REGISTRY} SELECT slug, name FROM reg")
+def sources_by_name(spark, sf):
+    return reads.sources_read(registry(spark, sf)).select("slug", "name")
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS} SELECT digest_date, key, CASE WHEN doc_id % 3 = 0 THEN 'bg ' || key ELSE category END AS analysis FROM it)")
+def translated_items(spark, sf):
+    i = _items(spark, sf).select("doc_id", "digest_date", "key", F.col("category").alias("analysis"))
+    done = i.filter("doc_id % 3 = 0").select("digest_date", "key", F.lit("bg").alias("lang"), F.concat(F.lit("bg "), "key").alias("analysis"))
+    return reads.translated(i, done.unionByName(done.withColumn("lang", F.lit("en"))), "bg").select("digest_date", "key", "analysis")
+
+
+@query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS} SELECT digest_date, key FROM it WHERE doc_id % 3 <> 0)")
+def translations_left(spark, sf):
+    i = _items(spark, sf).select("doc_id", "digest_date", "key")
+    return store.to_translate(i, i.filter("doc_id % 3 = 0")).select("digest_date", "key")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'more' WHEN 'signup' THEN 'deep_dive' WHEN 'error' THEN 'irrelevant' ELSE 'less' END AS signal FROM events")
+def feedback_append(spark, sf):
+    signal = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in _SIGNAL.items() for x in p]), F.col("event_type")), F.lit("less"))
+    e = table(spark, sf, "events").select("event_id", signal.alias("signal"))
+    return store.add_feedback(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"))
+
+
+@query("SELECT source AS purpose, count(*) AS calls, count(*) FILTER (n_chars > 2000) AS failed, sum(n_chars)::BIGINT AS tokens_in, sum(doc_id)::BIGINT AS tokens_out FROM documents GROUP BY 1")
+def token_usage(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("purpose"), F.when(F.col("n_chars") > 2000, "too long").alias("error"), F.col("n_chars").alias("tokens_in"), F.col("doc_id").alias("tokens_out"))
+    return store.usage(d, ["purpose"])
+
+
+@query(f"WITH {_ITEMS} SELECT key, category, significance FROM it")
+def authoritative_override(spark, sf):
+    i = _items(spark, sf)
+    said = i.select("key", F.struct(F.lit("made up").alias("category"), "significance").alias("record"))
+    return store.overridden(said, "record", i, ["key"], ["category"]).select("key", "record.*")
+
+
+@query(f"WITH {_RUBRIC} SELECT doc_id, CASE WHEN d1 < 0 THEN 'left' ELSE 'right' END AS side, least(abs(d1) / 2.0::DOUBLE, 1.0::DOUBLE) AS length, round(least(abs(d1) / 2.0::DOUBLE, 1.0::DOUBLE) * c1, 6) AS solid FROM g")
+def needle_geometry(spark, sf):
+    r = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", (F.col("doc_id") % 5 - 2).alias("d1"), ((F.col("doc_id") % 10) / 10.0).alias("c1"))
+    return r.select("doc_id", D.needle(F.col("d1"), F.col("c1")).alias("n")).select("doc_id", "n.side", "n.length", F.round("n.solid", 6).alias("solid"))
+
+
+@query("WITH d AS (SELECT event_type, ts::DATE::VARCHAR AS day, sum(CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) / count(*)::DOUBLE AS v FROM events GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS place, greatest(0.4::DOUBLE, max(abs(v)) OVER (PARTITION BY event_type)) * 1.12::DOUBLE AS peak, count(*) OVER (PARTITION BY event_type) AS n FROM d) SELECT event_type, day, place, round(12 + place * CASE WHEN n > 1 THEN 976.0::DOUBLE / (n - 1) ELSE 0 END, 5) AS x, round(52 - greatest(-peak, least(peak, v)) / peak * 40, 5) AS y FROM p")
+def trend_trace(spark, sf):
+    sign = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, -1).otherwise(0)
+    d = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg((F.sum(sign) / F.count("*")).alias("v"))
+    return D.trace(d, "event_type", "day", "v").select("event_type", "day", "place", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query("SELECT (DATE '2026-03-01' + (i - 29)::INT)::VARCHAR AS digest_date, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(i / 3.1::DOUBLE) * 0.22::DOUBLE + sin(i / 7.7::DOUBLE) * 0.3::DOUBLE - 0.18::DOUBLE - i * 0.004::DOUBLE + CASE WHEN i = 24 THEN 0.75 ELSE 0 END)), 2) AS net_direction, 4 + i % 4 AS relevant FROM (SELECT unnest(range(30)) AS i)")
+def sample_trend(spark, sf):
+    none = D.sample_trend(spark, "2026-03-01").filter("false")
+    return reads.or_else(none, D.sample_trend(spark, "2026-03-01"))
+
+
+@query("SELECT timezone('Europe/Sofia', timezone('UTC', ts::TIMESTAMP))::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1")
+def local_dates(spark, sf):
+    return table(spark, sf, "events").groupBy(D.local_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, least(greatest(420.0::DOUBLE, 0.06::DOUBLE * n_chars), 1500.0::DOUBLE) AS seconds FROM documents")
+def call_timeouts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", D.call_seconds(F.col("n_chars")).alias("seconds"))
+
+
+@query("SELECT event_id, event_type AS name, 'user ' || user_id AS argument, event_type AS signal, CASE WHEN event_id % 2 = 0 THEN ts::DATE::VARCHAR END AS digest_date FROM events")
+def chat_commands(spark, sf):
+    e = table(spark, sf, "events")
+    said = F.concat(F.lit("/"), "event_type", F.lit("@bot  User  "), F.col("user_id").cast("string"))
+    data = F.concat(F.lit("fb:"), "event_type", F.lit(":"), F.when(F.col("event_id") % 2 == 0, F.to_date("ts").cast("string")).otherwise("soon"))
+    return e.select("event_id", D.command(said).alias("c"), D.callback(data).alias("b")).select("event_id", "c.*", "b.*")
+
+
+@query("""SELECT doc_id, 'CLUSTER KEY: ' || doc_id || chr(10) || 'CATEGORY: ' || lang || chr(10) || chr(10) || '=== SOURCE MATERIAL ===' || chr(10) || chr(10)
+ || '[1] ' || source || ' (lean=center, reliability=high)' || chr(10) || '    published: 2026-01-01T00:00:00' || chr(10) || '    title: first' || chr(10) || '    url: https://a.example/1' || chr(10) || '    text: ' || CASE WHEN trim(text, ' ') = '' THEN '(body unavailable)' ELSE trim(text, ' ') END || chr(10) || chr(10)
+ || '[2] other (lean=left, reliability=low)' || chr(10) || '    published: unknown' || chr(10) || '    title: second' || chr(10) || '    url: https://b.example/2' || chr(10) || '    text: (body unavailable)' || chr(10) || chr(10)
+ || '=== TASK ===' || chr(10) || 'Say what happened.' AS prompt FROM documents""")
+def story_prompts(spark, sf):
+    ref = lambda name, lean, trust, when, title, url, body: F.struct(name.alias("source_name"), F.lit(lean).alias("lean"), F.lit(trust).alias("reliability"), F.lit(when).cast("timestamp").alias("published_at"), F.lit(title).alias("title"), F.lit(url).alias("url"), body.alias("body"))
+    refs = F.array(ref(F.col("source"), "center", "high", "2026-01-01", "first", "https://a.example/1", F.col("text")), ref(F.lit("other"), "left", "low", None, "second", "https://b.example/2", F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", render.prompt({"CLUSTER KEY": F.col("doc_id"), "CATEGORY": F.col("lang")}, refs, "Say what happened.").alias("prompt"))
+
+
+@query()
+def digest_messages(spark, sf):
+    """Chat messages of the picks of each digest."""
+    i = scored(spark, sf)
+    picks = selection.select_top(i.withColumn("entities", F.array("lang", "source")), CATEGORIES).select("digest_date", "key", "rank")
+    refs = F.array(F.struct(F.col("source").alias("name"), F.lit("https://a.example/?a=1&b=2").alias("url"), F.lit("center").alias("lean"), F.lit("high").alias("reliability")))
+    told = i.join(picks, ["digest_date", "key"]).select("digest_date", "category", "rank", F.concat(F.lit("Story "), "key").alias("headline"), F.lit("It <happened>.").alias("what_happened"), F.lit("").alias("why_it_matters"), "relevant", "significance", "direction", "impacts", refs.alias("refs"))
+    return render.category_messages(told, {c: f"<b>{c}</b>" for c in CATEGORIES})

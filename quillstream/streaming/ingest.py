@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,3 +25,13 @@ def daily_counts(stream: DataFrame, key: str, ts: str = "event_ts", hours: int =
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there and stop, as a scheduled micro-batch does; the checkpoint makes it exactly once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def batches_available(stream: DataFrame, path: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "update") -> StreamingQuery:
+    """As run_available(), through a function of each micro-batch, such as a merge with a stored table. A batch has a folder
+    of its own, which its repetition overwrites, so that it counts once also where the sink can't tell."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

@@ -105,8 +105,6 @@ def test_probabilities_and_interests(spark):
     assert one(spark, S.normalize_probabilities(arr(0.4, 0.6))) == [0.4, 0.6]
     assert one(spark, S.normalize_probabilities(arr(1, 1))) == [0.5, 0.5]
     assert one(spark, S.normalize_probabilities(arr(0, 0))) == [0.0, 0.0]
-    events = F.expr("array(" + ",".join(f"struct({k} as t, '{s}' as signal)" for k, s in enumerate(["irrelevant"] * 5 + ["more"])) + ")")
-    assert one(spark, S.interest_fold(events)) == pytest.approx(-0.85)
     interests = F.create_map(F.lit("eu"), F.lit(0.4))
     assert one(spark, S.personal(F.array(F.lit("eu"), F.lit("x")), interests)) == pytest.approx(0.9)
     assert one(spark, S.personal(F.array(F.lit("EU")), interests)) == 0.5

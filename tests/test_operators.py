@@ -278,6 +278,23 @@ def test_streaming_dedup(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_streaming_days_by_batch(spark, tmp_path):
+    from quillstream.streaming import ingest
+
+    t = dt.datetime(2026, 1, 1, 12)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "source_slug string, event_ts timestamp"
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: ingest.batches_available(ingest.daily_counts(spark.readStream.schema(schema).parquet(src), "source_slug"), out, str(tmp_path / "ck"), lambda d: d.filter("n > 0")).awaitTermination(120)
+    add([("a", t), ("a", t), ("b", t)])
+    run()
+    add([("a", t + dt.timedelta(days=5)), ("a", t - dt.timedelta(hours=1))])
+    run()
+    run()  # nothing new: nothing changes
+    got = spark.read.parquet(out).groupBy("source_slug", "day").agg(F.max("n").alias("n")).collect()
+    assert {(r.source_slug, r.day.day, r.n) for r in got} == {("a", 1, 3), ("b", 1, 1), ("a", 6, 1)}
+
+
 def test_atom_links(spark, tmp_path):
     p = tmp_path / "a.xml"
     p.write_text("<feed><entry><title>One</title><link rel='self' href='http://x/self'/><link href='http://x/1'/><summary>s</summary><author><name>N</name></author><updated>2026-01-02T03:04:05Z</updated></entry><entry><title>No link</title></entry></feed>")
