@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.operators.tables import written
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (), fill: list[str] = ()) -> DataFrame:
     """Merged snapshot: new values win, even nulls; columns in keep stay as they were; columns in fill take the new value
@@ -220,3 +222,10 @@ def enrich(df: DataFrame, client: Callable[[dict], dict], schema: str, attempts:
 
     fields = [*df.schema.fields, *out.fields, T.StructField("error", T.StringType())]
     return spread.mapInPandas(run, T.StructType(fields))
+
+
+def resume(items: DataFrame, done: DataFrame, client: Callable[[dict], dict], schema: str, **how) -> DataFrame:
+    """done (digest_date, key and the fields of schema) with what was missing of items and could be had now. An item that
+    fails is not in it, so the next run asks again."""
+    fresh = written(enrich(to_translate(items, done), client, schema, **how), "answers")
+    return done.unionByName(fresh.filter("error is null").select(*done.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstream.config import DEFAULT
 from quillstream.functions import scoring as S
 from quillstream.functions import text as X
-from quillstream.operators import reads, routing, selection, store, stories
+from quillstream.operators import reads, render, routing, selection, stories
 from quillstream.operators.tables import written
 from quillstream.sources import feeds
 
@@ -92,3 +92,34 @@ def digest(ingested: dict[str, DataFrame], analyses: DataFrame, registry: DataFr
     summary = selection.daily_summary(items).drop("digest_date")
     day = summary.select(F.explode(F.create_map(*[x for c in summary.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("stat", "value")).filter("value is not null")
     return {"items": items, "deep_dive": selection.deep_dive(items, cfg=cfg), "underfilled": selection.underfilled(picks, CATEGORIES, cfg=cfg), "stats": ingested["stats"].unionByName(day)}
+
+
+#: What rendering reads of a story beyond what digest() makes; a column that the analyses don't have is null.
+TOLD = {"what_happened": "string", "why_it_matters": "string", "uncertainty": "string", "contrarian_read": "string", "framing": "array<string>", "claims": "array<struct<status:string,text:string>>"}
+
+
+def publish(ingested: dict[str, DataFrame], day: dict[str, DataFrame], registry: DataFrame, titles: dict[str, str], heading: str, compact: bool = True, refs: int = 6) -> dict[str, DataFrame]:
+    """Chat messages (digest_date, category, seq, message) and Markdown notes (digest_date, note) of a digest.
+
+    titles: what each category is headed by. A story shows its first articles, so that a large one is never gathered.
+    """
+    picked = day["items"].select("key").distinct()
+    first = routing.top_per(ingested["members"].join(picked, "key", "left_semi"), ["key"], [F.col("ordinal")], refs, "_n")
+    shown = routing.with_registry(first.select("key", "_n", "url", "source_slug"), registry)
+    ref = F.struct("name", "url", "lean", "reliability")
+    each = shown.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", ref.alias("ref")))), lambda x: x["ref"]).alias("refs"))
+    items = day["items"].join(each, "key", "left")
+    items = written(items.withColumns({c: F.lit(None).cast(t) for c, t in TOLD.items() if c not in items.columns}), "told")
+    messages = render.category_messages(items, titles, compact)
+    place = F.array_position(F.array(*map(F.lit, titles)), F.col("category"))
+    section = items.select("digest_date", "category", place.alias("place"), "rank", render.story_note(F.struct(*items.columns)).alias("text"))
+    parts = section.groupBy("digest_date", "place", "category").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("all"))
+    title = F.element_at(F.create_map(*[F.lit(x) for p in titles.items() for x in p]), F.col("category"))
+    part = F.concat(F.lit("## "), title, F.lit("\n\n"), F.array_join(F.transform("all", lambda x: x["text"]), "\n\n"))
+    body = parts.groupBy("digest_date").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts"))
+    body = body.join(reads.top_tags(items), "digest_date", "left")
+    when = F.col("digest_date").cast("string")
+    head = F.concat(F.lit(f'---\ntitle: "{heading} — '), when, F.lit('"\ndate: '), when, F.lit("\n"), render.tag_line(F.coalesce("tags", F.array().cast("array<string>")), "digest"), F.lit("\n---\n\n# "), F.lit(f"{heading} — "), when)
+    before = F.concat(F.lit("Previous: [["), F.date_sub("digest_date", 1).cast("string"), F.lit(f" — {heading}]]"))
+    note = F.concat_ws("\n\n", head, F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n"), before)
+    return {"messages": messages, "notes": body.select("digest_date", F.concat(note, F.lit("\n")).alias("note"))}

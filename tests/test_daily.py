@@ -66,3 +66,33 @@ def test_a_day(spark):
     assert {(r.category, r.picks) for r in day["underfilled"].collect()} == {("bg_politics", 1), ("global_politics", 1), ("ai_tech_business", 0)}
     stats = {r.stat: r.value for r in day["stats"].collect()}
     assert (stats["stories"], stats["erosion_stories"], stats["net_direction"]) == (2.0, 2.0, -1.0)
+    out = daily.publish(done, day, registry(spark), {c: c.title() for c in daily.CATEGORIES}, "Digest")
+    said = {r.category: r.message for r in out["messages"].collect()}
+    assert "No story" in said["ai_tech_business"] and said["bg_politics"].startswith("Bg_Politics\n\n<b>1. Parliament in Sofia")
+    assert '<a href="http://a/1">A</a> · <a href="http://b/1">B</a>' in said["bg_politics"] and "🔻 <i>Democracy: erosion — rule of law · significance 0.8</i>" in said["bg_politics"]
+    note = out["notes"].first()
+    assert str(note.digest_date) == "2026-01-05" and "tags: [digest, topic/law]" in note.note and note.note.endswith("Previous: [[2026-01-04 — Digest]]\n")
+    assert note.note.index("## Bg_Politics") < note.note.index("## Global_Politics")
+
+
+def test_resume(spark):
+    items = spark.createDataFrame([("d", str(k)) for k in range(4)], "digest_date string, key string")
+    done = spark.createDataFrame([("d", "0", "old")], "digest_date string, key string, said string")
+
+    def client(row):
+        if row["key"] == "3":
+            raise store.Refused("no")
+        return {"said": "new " + row["key"]}
+
+    now = store.resume(items, done, client, "said string")
+    assert sorted((r.key, r.said) for r in now.collect()) == [("0", "old"), ("1", "new 1"), ("2", "new 2")]
+    again = store.resume(items, now, lambda row: {"said": "late"}, "said string")
+    assert {r.key: r.said for r in again.collect()}["3"] == "late"
+
+
+def test_command_line(capsys, sf):
+    from quillstream.__main__ import main
+
+    assert main(["queries"]) == 0 and "lineage" in capsys.readouterr().out
+    assert main(["sql", "lineage"]) == 0 and "RECURSIVE" in capsys.readouterr().out
+    assert main(["run", "none", sf]) == 1 and main(["run", "run_stats", sf]) == 0 and "fetched" in capsys.readouterr().out
