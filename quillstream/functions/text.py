@@ -113,10 +113,17 @@ def escape_html(c: Column) -> Column:
     return replace_all(c, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")])
 
 
+def _main_part(html: Column) -> Column:
+    part = lambda tag: F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
+    some = lambda c: F.when(F.regexp_replace(c, r"(?s)<[^>]*>|\s+", "") != "", c)
+    return F.coalesce(some(part("article")), some(part("main")), html)
+
+
 def html_to_text(c: Column) -> Column:
-    """Text of a page: scripts, styles, comments and page furniture go, then tags; entities are read, spaces collapsed."""
+    """Text of a page: scripts, styles, comments and page furniture go, then tags; entities are read, spaces collapsed.
+    Of a page with an article, or else a main part, that holds any text, only what stands from the first to the last one."""
     gone = F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style|nav|aside|footer|table|noscript|head)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(gone, r"(?s)<[^>]*>", " ")
+    bare = F.regexp_replace(_main_part(gone), r"(?s)<[^>]*>", " ")
     read = replace_all(bare, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")])
     return F.trim(F.regexp_replace(read, r"\s+", " "))
 

@@ -46,6 +46,12 @@ def test_transliteration_and_signature(spark):
 def test_html_slug_escape(spark):
     html = '<html><head><title>x</title></head><nav>menu</nav><script>a("</p>")</script><p>Hi &amp; <b>bye</b></p><!-- no --></html>'
     assert one(spark, X.html_to_text(F.col("t")), t=html) == "Hi & bye"
+    for html, text in {
+        "<div>ad</div><article><p>a</p></article>x<article id='2'>b</article><p>foot": "a x b",
+        "<div>ad</div><main><b>m</b></main>": "m", "<article> <br></article><main>m</main>": "m", "<article></article>all": "all", "<article>open": "open", "": "",
+    }.items():
+        assert one(spark, X.html_to_text(F.col("t")), t=html) == text
+    assert one(spark, X.html_to_text(F.lit(None).cast("string"))) is None
     assert one(spark, X.slug(F.col("t")), t="--A b/C--") == "a-b-c"
     assert one(spark, X.escape_html(F.col("t")), t="<a & 'b'>") == "&lt;a &amp; 'b'&gt;"
     assert one(spark, X.safe_filename(F.col("t")), t=' a/b:c ') == "a-b-c"
