@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, chat, decontaminate, quality, simhash, suffix_dedup, topk, toxicity, urls, warc
+from quillstream.llm import bpe, chat, codes, decontaminate, licences, quality, simhash, spelling, sql, suffix_dedup, topk, toxicity, urls, warc
 from quillstream.llm.common import table
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -93,8 +93,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")), dominance=5)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.fit(vectors, parts=4, entries=256, rounds=4, scale=1024)
+    out = codes.with_label_error(codes.compress(vectors, books))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_quality, op4_bpe, op5_topk, op6_simhash, op7_decontaminate, op8_toxicity, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_quality, op4_bpe, op5_topk, op6_simhash, op7_decontaminate, op8_toxicity, op9_url_filter, op10_warc, op11_licences, op12_spelling, op13_codes)
 }
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {15 - 5 * i} & 31)::INT, 1)" for g in range(8) for i in range(4))
@@ -124,4 +140,6 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
         FROM g""",
+    "op12_spelling": sql.spelling(),
+    "op13_codes": sql.codes(),
 }
