@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class Config:
     tfidf_threshold: float = 0.42
+    most_terms: int = 20_000
     ngram_threshold: float = 0.16
     containment_threshold: float = 0.5
     containment_shared: int = 3

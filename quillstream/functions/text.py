@@ -25,13 +25,17 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Characters that are their own NFKC and don't combine: ASCII, letters of Latin-1, basic Cyrillic.
+_STABLE = r"[^\x00-\x7FÀ-ÖØ-öø-ÿА-я]"
+
+
 def nfkc(c: Column) -> Column:
-    """NFKC; ASCII text is its own normal form, so callers that know theirs is can skip the Python worker."""
-    return _nfkc(c)
+    """NFKC. Only texts with other characters than stable ones are sent to the Python worker."""
+    return F.coalesce(_nfkc(F.when(c.rlike(_STABLE), c)), c)
 
 
-def normalize(c: Column, stop: list[str] = (), min_len: int = 3, compatibility: bool = False) -> Column:
-    """Lower-case words of min_len letters or more that aren't stop words, joined by spaces."""
+def normalize(c: Column, stop: list[str] = (), min_len: int = 3, compatibility: bool = True) -> Column:
+    """Lower-case words of min_len letters or more that aren't stop words, joined by spaces; by default of the text's NFKC."""
     low = F.lower(nfkc(c) if compatibility else c)
     words = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " ")), " ")
     stop_words = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
@@ -98,7 +102,7 @@ def transliterate(c: Column, letters: dict[str, str]) -> Column:
 def signature(c: Column, lexicon: dict[str, str], letters: dict[str, str], stop: list[str] = ()) -> Column:
     """Language-neutral words: lexicon terms (longest first, anywhere in the text), then transliteration."""
     terms = sorted(lexicon.items(), key=lambda p: (-len(p[0]), p[0]))
-    return normalize(transliterate(replace_all(F.lower(c), [(k, f" {v} ") for k, v in terms]), letters), stop)
+    return normalize(transliterate(replace_all(F.lower(nfkc(c)), [(k, f" {v} ") for k, v in terms]), letters), stop, compatibility=False)
 
 
 def slug(c: Column, most: int = 48) -> Column:

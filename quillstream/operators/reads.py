@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.config import DEFAULT
+from quillstream.operators.tables import written
 
 
 def digest_dates(digests: DataFrame, n: int = 30) -> DataFrame:
@@ -72,12 +73,52 @@ def refs_of(clusters: DataFrame, articles: DataFrame, registry: DataFrame) -> Da
     return both.select("key", F.coalesce("known", F.lit("?")).alias("source_slug"), F.coalesce("name", F.lit("?")).alias("source_name"), F.coalesce("lean", F.lit("unknown")).alias("lean"), F.coalesce("reliability", F.lit("medium")).alias("reliability"), "title", "url", "published_at")
 
 
-def history(lineage: DataFrame, clusters: DataFrame, analyses: DataFrame) -> DataFrame:
-    """start, depth, date, headline, what_happened of the analysed ancestors of each story, the nearest first by depth."""
-    a = analyses.select(F.col("cluster_key").alias("ancestor"), F.col("headline").alias("said"), "what_happened")
-    c = clusters.select(F.col("key").alias("ancestor"), "headline", "last_seen")
-    both = lineage.join(c, "ancestor").join(a, "ancestor")
-    return both.select("start", "depth", F.to_date("last_seen").alias("date"), F.coalesce("said", "headline").alias("headline"), F.coalesce("what_happened", F.lit("")).alias("what_happened"))
+def history(clusters: DataFrame, analyses: DataFrame, limit: int = 7) -> DataFrame:
+    """start, place, date, headline, what_happened: the earlier analysed entries of every running story, nearest first.
+
+    A story is followed along parent_key. Clusters without an analysis are walked over, however many there are; of those with
+    one, the story itself included, `limit` are read, and the first of them is left out, as it is the story. A parent that
+    isn't stored, and a cluster that was passed before, end the walk. analyses: cluster_key and, perhaps, headline and
+    what_happened; the first of several (by both).
+    """
+    said = lambda c: F.col(c) if c in analyses.columns else F.lit(None).cast("string")
+    told = analyses.groupBy(F.col("cluster_key").alias("key")).agg(F.min(F.struct(said("headline").alias("headline"), said("what_happened").alias("what_happened"))).alias("told"))
+    known = written(clusters.join(told, "key", "left").select("key", "parent_key", "headline", "last_seen", "told"), "clusters")
+    line = analysed_line(known.select("key", "parent_key", F.col("told").isNotNull().alias("on")), limit)
+    of = known.select(F.col("key").alias("ancestor"), F.to_date("last_seen").alias("date"), F.coalesce("told.headline", "headline").alias("headline"), F.coalesce("told.what_happened", F.lit("")).alias("what_happened"))
+    return line.filter("place > 0").join(of, "ancestor").select("start", "place", "date", "headline", "what_happened")
+
+
+def analysed_line(nodes: DataFrame, limit: int) -> DataFrame:
+    """start, ancestor, place (from 0): of each node (key, parent_key, on) the first `limit` nodes that are on, along parents.
+
+    By pointer doubling: first each node learns the nearest node ahead that is on, in as many rounds as the logarithm of the
+    longest stretch that is off; then hops over 1, 2, 4, ... such nodes are made, and lines grow by doubling with them. No
+    join a step, and a cycle ends where it began.
+    """
+    keys = nodes.select(F.col("key").alias("to"), "on")
+    ahead = nodes.join(keys.select(F.col("to").alias("parent_key"), F.col("on").alias("_on")), "parent_key", "left")
+    # to: the nearest node so far; open: it is off, so that the way goes on
+    ahead = written(ahead.select("key", F.when(F.col("_on").isNotNull(), F.col("parent_key")).alias("to"), (F.col("_on") == F.lit(False)).alias("open")), "ahead")
+    passed, most = 1, nodes.count()
+    while passed <= most and not ahead.filter("open").isEmpty():
+        via = ahead.select(F.col("key").alias("to"), F.col("to").alias("_to"), F.col("open").alias("_open"))
+        step = ahead.join(via, "to", "left")
+        go = F.coalesce(F.col("open"), F.lit(False))
+        ahead = written(step.select("key", F.when(go, F.col("_to")).otherwise(F.col("to")).alias("to"), F.when(go, F.coalesce("_open", F.lit(False))).otherwise(F.lit(False)).alias("open")), "ahead")
+        passed *= 2
+    ahead = ahead.filter("to is not null and not coalesce(open, false)").select("key", "to")  # what is open still runs in a circle
+    own = nodes.filter("on").select(F.col("key").alias("start"), F.col("key").alias("ancestor"))
+    rest = nodes.filter("not on").select("key").join(ahead, "key").select(F.col("key").alias("start"), F.col("to").alias("ancestor"))
+    line = written(own.unionByName(rest).withColumn("place", F.lit(0)), "line")
+    hop, length = ahead, 1
+    while length < limit:
+        more = line.join(hop.select(F.col("key").alias("ancestor"), "to"), "ancestor").select("start", F.col("to").alias("ancestor"), (F.col("place") + length).alias("place"))
+        line = written(line.unionByName(more).filter(F.col("place") < limit).groupBy("start", "ancestor").agg(F.min("place").alias("place")), "line")
+        length *= 2
+        if length < limit:
+            hop = written(hop.join(hop.select(F.col("key").alias("to"), F.col("to").alias("_to")), "to").select("key", F.col("_to").alias("to")), "hops")
+    return line
 
 
 def translated(items: DataFrame, translations: DataFrame, lang: str) -> DataFrame:

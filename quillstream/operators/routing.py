@@ -60,14 +60,19 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
 
 
 def per_source_cap(entries: DataFrame, source: str, ordinal: str, valid: Column, limit: int = DEFAULT.per_source) -> DataFrame:
-    """Of each source's first 2 * limit entries, the first `limit` valid ones."""
+    """Of each source's first 2 * limit entries as they came, the first `limit` valid ones."""
     seen = top_per(entries, [source], [F.col(ordinal)], 2 * limit, "_raw").filter(valid).drop("_raw")
     return top_per(seen, [source], [F.col(ordinal)], limit, "_n").drop("_n")
 
 
+def recent(published: Column, as_of: Column, hours: int = DEFAULT.lookback_hours) -> Column:
+    """Whether it was published within so many hours before as_of, or nobody knows when."""
+    return published.isNull() | (published >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
+
+
 def lookback(df: DataFrame, published: str, as_of: Column, hours: int = DEFAULT.lookback_hours) -> DataFrame:
     """Rows published within so many hours before as_of; undated rows stay."""
-    return df.filter(F.col(published).isNull() | (F.col(published) >= as_of - F.expr(f"INTERVAL {hours} HOURS")))
+    return df.filter(recent(F.col(published), as_of, hours))
 
 
 def with_registry(df: DataFrame, registry: DataFrame, slug: str = "source_slug") -> DataFrame:

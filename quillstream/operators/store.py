@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.operators.ranks import running
 from quillstream.operators.tables import written
 
 
@@ -69,12 +70,85 @@ def analysis_rows(analyses: DataFrame, clusters: DataFrame) -> DataFrame:
     return known.withColumns({"democracy_significance": F.when(F.col("relevant"), F.col("significance")).otherwise(0.0), "democracy_net": F.col("net_direction")})
 
 
+def upsert_analyses(old: DataFrame, analyses: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One analysis per cluster: those of known clusters replace what is stored, whole; others are skipped. old has the columns
+    of analysis_rows()."""
+    new = analysis_rows(analyses, clusters)
+    return upsert(old, new.select(*old.columns), ["cluster_key"])
+
+
+def upsert_registry(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry, counts): sources by slug, new values win; counts has one row, inserted."""
+    added = new.select("slug").distinct().join(old.select("slug"), "slug", "left_anti").agg(F.count("*").alias("inserted"))
+    return upsert(old, new, ["slug"]), added
+
+
+def save_digests(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Digests by date: all new values win, but for a markdown_path that is missing or empty now, which stays as it was."""
+    merged = upsert(old, new, ["digest_date"])
+    was = old.select("digest_date", F.col("markdown_path").alias("_was"))
+    kept = F.coalesce(F.nullif("markdown_path", F.lit("")), "_was")
+    return merged.join(was, "digest_date", "left").withColumn("markdown_path", kept).select(*old.columns)
+
+
+def save_deep_dives(old: DataFrame, new: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The deep dive (digest_date, cluster_key, payload) of each date. A stored one gets the new payload and keeps its cluster;
+    one that isn't stored is added if its cluster is known. Digests without one now keep theirs."""
+    known = new.join(clusters.select(F.col("key").alias("cluster_key")), "cluster_key", "left_semi")
+    payload = new.select("digest_date", F.col("payload").alias("_new"), F.lit(True).alias("_has"))
+    stored = old.join(payload, "digest_date", "left").withColumn("payload", F.when(F.col("_has"), F.col("_new")).otherwise(F.col("payload"))).select(*old.columns)
+    return stored.unionByName(known.join(old.select("digest_date"), "digest_date", "left_anti").select(*old.columns))
+
+
 def save_items(old: DataFrame, new: DataFrame, clusters: DataFrame) -> DataFrame:
     """Items of the digests in new replace those of their dates; an item of an unknown cluster is skipped."""
     known = new.join(clusters.select("key"), "key", "left_semi").select(*old.columns)
     return old.join(new.select("digest_date").distinct(), "digest_date", "left_anti").unionByName(known)
 
 
+def merge_translations(digests: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digests, stored): partial translations merged into stored digests, language by language.
+
+    digests: digest_date and translations, a map of language to (editorial_note, items, deep_dive), where items maps the key of
+    a story to its translation. incoming: run, digest_date, lang, editorial_note, items, deep_dive; runs are merged in their
+    order. A run's items win over earlier ones of the same key and leave the others; its note and deep dive win unless they
+    are missing or empty. stored: digest_date, lang and whether there was such a digest; where not, nothing is changed.
+    Nothing else in a digest changes.
+    """
+    entry = incoming.select("digest_date", "lang", "run", F.nullif("editorial_note", F.lit("")).alias("note"), F.nullif("deep_dive", F.lit("")).alias("dive"), F.coalesce("items", F.create_map().cast("map<string,string>")).alias("items"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("run")))
+    notes = entry.groupBy("digest_date", "lang").agg(last("note").alias("note"), last("dive").alias("dive"))
+    items = entry.select("digest_date", "lang", "run", F.explode("items").alias("key", "text")).groupBy("digest_date", "lang", "key").agg(F.max_by("text", "run").alias("text"))
+    items = items.groupBy("digest_date", "lang").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "text")))).alias("items"))
+    new = notes.join(items, ["digest_date", "lang"], "left")
+    new = new.groupBy("digest_date").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("note", "items", "dive").alias("said")))).alias("_new"))
+    both = digests.join(new, "digest_date", "left")
+    empty = F.create_map().cast("map<string,string>")
+
+    def merged(was: Column, now: Column) -> Column:
+        items = merge_maps(F.coalesce(was["items"], empty), F.coalesce(now["items"], empty))
+        return F.struct(F.coalesce(now["note"], was["editorial_note"]).alias("editorial_note"), items.alias("items"), F.coalesce(now["dive"], was["deep_dive"]).alias("deep_dive"))
+
+    kind = digests.schema["translations"].dataType
+    had = F.coalesce("translations", F.from_json(F.lit("{}"), kind))
+    made = F.map_zip_with(had, "_new", lambda _, was, now: F.when(now.isNull(), was).otherwise(merged(was, now)))
+    out = both.withColumn("translations", F.when(F.col("_new").isNull(), F.col("translations")).otherwise(made)).select(*digests.columns)
+    known = digests.select("digest_date", F.lit(True).alias("stored")).distinct()
+    return out, incoming.select("digest_date", "lang").distinct().join(known, "digest_date", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
+def complete_in(digests: DataFrame, items: DataFrame) -> DataFrame:
+    """digest_date, lang, items, translated, complete: every item has its translation, and so have the deep dive and the note,
+    where the digest has them. digests: digest_date, editorial_note, deep_dive (of the original) and translations; items:
+    digest_date, key. Digests without any translation have no row."""
+    n = items.groupBy("digest_date").agg(F.count_distinct("key").alias("items"))
+    rows = digests.select("digest_date", F.nullif("editorial_note", F.lit("")).alias("note"), F.nullif("deep_dive", F.lit("")).alias("dive"), F.explode("translations").alias("lang", "t"))
+    rows = rows.join(n, "digest_date", "left").withColumns({"items": F.coalesce("items", F.lit(0)), "translated": F.coalesce(F.size(F.map_keys("t.items")), F.lit(0)).cast("long")})
+    has = lambda mine, theirs: F.col(mine).isNull() | F.coalesce(F.col(f"t.{theirs}") != "", F.lit(False))
+    done = (F.col("translated") >= F.col("items")) & has("dive", "deep_dive") & has("note", "editorial_note")
+    return rows.select("digest_date", "lang", "items", "translated", done.alias("complete"))
+
+
 #: Signals that readers may send.
 SIGNALS = ("more", "less", "deep_dive", "irrelevant")
 
@@ -97,9 +171,10 @@ def translation_complete(items: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def within_budget(calls: DataFrame, budget: int, order: list[str], tokens: str = "tokens") -> DataFrame:
-    """Calls in order while the tokens of those before are below the budget. One task adds them up."""
-    before = F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return calls.withColumn("_b", F.coalesce(before, F.lit(0))).filter(F.col("_b") < budget).drop("_b")
+    """Calls in order while the tokens of those before are below the budget. The sums before a call come from ranges of the
+    order and what the ranges before them hold, so no task adds up all calls. Ties of order are decided by all columns."""
+    keys = [F.col(f"`{c}`") for c in [*order, *[c for c in calls.columns if c not in order]]]
+    return running(calls, keys, F.col(f"`{tokens}`"), "_b").filter(F.col("_b") < budget).drop("_b")
 
 
 def usage(calls: DataFrame, by: list[str]) -> DataFrame:
@@ -224,6 +299,29 @@ def enrich(df: DataFrame, client: Callable[[dict], dict], schema: str, attempts:
     return spread.mapInPandas(run, T.StructType(fields))
 
 
+def enrich_within(df: DataFrame, client: Callable[[dict], dict], schema: str, budget: int, order: list[str], estimate: Column, spent: str = "tokens", **how) -> tuple[DataFrame, DataFrame]:
+    """(answered, left): rows of df through a client, in order, until the budget is spent.
+
+    Calls go out in waves. A wave holds the rows whose estimates (whole numbers, 1 or more) fit into what is left of the
+    budget, one row at least while any of it is left; then the tokens that the answers report (the column `spent` of schema,
+    null as the estimate) are taken off. A client that never spends more than its estimate so never exceeds the budget. What
+    is left is for a later run. Sums are running(), so no task sees all rows.
+    """
+    keys = [F.col(f"`{c}`") for c in order]
+    waiting, used, done = written(df.withColumn("_cost", F.greatest(estimate.cast("long"), F.lit(1))), "waiting"), 0, None
+    while used < budget and not waiting.isEmpty():
+        placed = written(running(waiting, keys, F.col("_cost"), "_before"), "placed")
+        now = (F.col("_before") + F.col("_cost") <= budget - used) | (F.col("_before") == 0)
+        asked = placed.filter(now).drop("_before")
+        answered = written(enrich(asked, client, schema, **how), "answers")
+        used += answered.agg(F.sum(F.coalesce(F.col(spent).cast("long"), F.col("_cost")))).first()[0] or 0
+        done = answered if done is None else done.unionByName(answered)
+        waiting = placed.filter(~now).drop("_before")
+    if done is None:
+        done = enrich(waiting.limit(0), client, schema, **how)
+    return done.drop("_cost"), waiting.drop("_cost")
+
+
 def resume(items: DataFrame, done: DataFrame, client: Callable[[dict], dict], schema: str, **how) -> DataFrame:
     """done (digest_date, key and the fields of schema) with what was missing of items and could be had now. An item that
     fails is not in it, so the next run asks again."""

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -40,3 +40,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_delete, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """written(df), and metrics (aggregates) that its own write has counted: `.get` has them, without another job."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:12]}")
+    return written(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name), seen

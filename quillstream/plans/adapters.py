@@ -10,6 +10,10 @@ from quillstream.session import table
 #: Words of the synthetic corpus, as vocabularies.
 VOCAB = {"civic": ["the", "para", "leon"], "foreign": ["des", "dans", "und"], "tech": ["que", "ción", "menta"], "domestic": ["der", "von", "stand"]}
 
+#: A lexicon for signatures of the synthetic corpus: words of its languages that stand for one another, and letters.
+LEXICON = {"der": "the", "die": "the", "das": "the", "und": "and", "para": "for", "dans": "in", "des": "of", "que": "that"}
+LETTERS = {"ä": "a", "ö": "o", "ü": "u", "ß": "ss", "á": "a", "é": "e", "è": "e", "ê": "e", "í": "i", "ó": "o", "ú": "u", "ñ": "n", "ç": "c"}
+
 ARTICLES = """a AS (SELECT doc_id, source AS source_slug, lang, text, substr(split_part(text, chr(10), 1), 1, 160) AS title,
   'https://' || source || '.example/' || doc_id AS url, TIMESTAMP '2026-01-01 00:00:00' + to_minutes(doc_id) AS published_at FROM documents)"""
 

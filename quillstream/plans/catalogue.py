@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quillstream.functions import display as D
 from quillstream.functions import scoring as S
 from quillstream.functions import text as X
-from quillstream.operators import reads, render, routing, selection, store, stories
+from quillstream.operators import neardup, ranks, reads, render, routing, selection, store, stories
 from quillstream.operators.tables import written
-from quillstream.plans.adapters import ARTICLES, REGISTRY, VOCAB, articles, registry
+from quillstream.plans.adapters import ARTICLES, LETTERS, LEXICON, REGISTRY, VOCAB, articles, registry
 from quillstream.session import table
 from quillstream.sources import feeds
 
@@ -108,9 +108,10 @@ def url_hash(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.url_hash(F.col("url")).alias("url_hash"))
 
 
-@query(f"WITH {ARTICLES} SELECT source_slug, lang, substr(sha256(array_to_string(list_sort(list(url)), '|')), 1, 32) AS cluster_key FROM a GROUP BY source_slug, lang")
+@query(f"WITH {ARTICLES} SELECT title, substr(sha256(array_to_string(list_sort(list(url)), '|')), 1, 32) AS cluster_key FROM a GROUP BY title")
 def cluster_key(spark, sf):
-    return articles(spark, sf).groupBy("source_slug", "lang").agg(X.cluster_key(F.collect_list("url")).alias("cluster_key"))
+    """Keys of the simplest stories: the articles of one title."""
+    return articles(spark, sf).groupBy("title").agg(X.cluster_key(F.collect_list("url")).alias("cluster_key"))
 
 
 _NORMAL = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'des'))"
@@ -131,23 +132,33 @@ def exact_duplicates(spark, sf):
 def near_dup_greedy_keep(spark, sf):
     words = X.normalize(F.concat_ws(" ", "title", F.substring("text", 1, 400)))
     df = articles(spark, sf).select("doc_id", "source_slug", stories.simhash(words).alias("simhash"))
-    return stories.drop_near_duplicates(df, "source_slug", "doc_id", "simhash")
+    return neardup.drop_near_duplicates(df, "source_slug", "doc_id", "simhash")
 
 
 def _titles(spark, sf) -> DataFrame:
-    """Distinct first lines with their smallest document."""
-    t = articles(spark, sf).groupBy("title").agg(F.min("doc_id").alias("doc_id"))
-    return t.withColumn("words", X.tokens(X.normalize(F.col("title")))).filter(F.size("words") >= 3)
+    """doc_id and the words of each first line."""
+    return articles(spark, sf).select("doc_id", X.tokens(X.normalize(F.col("title"))).alias("words"))
 
 
-_TITLES = f"""{ARTICLES}, u AS (SELECT title, min(doc_id) AS doc_id FROM a GROUP BY title),
- w AS (SELECT doc_id, title, list_filter(regexp_split_to_array(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3) AS words FROM u),
- t AS (SELECT doc_id, title, words, list_distinct(words) AS s FROM w WHERE len(words) >= 3)"""
+#: t: every document with the set of its title's words; c: the documents of equal sets, by the smallest; p: pairs of classes.
+_TITLES = f"""{ARTICLES},
+ w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3) AS words FROM a),
+ t AS (SELECT doc_id, list_sort(list_distinct(words)) AS s FROM w),
+ c AS (SELECT s, min(doc_id) AS doc_id, len(s) AS n FROM t WHERE len(s) > 0 GROUP BY s),
+ e AS (SELECT doc_id, n, unnest(s) AS w FROM c),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (min(x.n) + min(y.n) - count(*)) AS similarity
+       FROM e x JOIN e y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY ALL HAVING count(*) / (min(x.n) + min(y.n) - count(*)) >= 0.35)"""
 
 
-@query(f"WITH {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL) SELECT a, b, round(k / (na + nb - k), 6)::DOUBLE AS similarity FROM p WHERE k / (na + nb - k) >= 0.35")
+def _title_edges(spark, sf) -> DataFrame:
+    return stories.with_copies(_titles(spark, sf), "doc_id", stories.word_set(F.col("words")), lambda one: stories.jaccard_edges(one, "a", "items", 0.35))
+
+
+@query(f"""WITH {_TITLES} SELECT a, b, round(similarity, 6)::DOUBLE AS similarity FROM p WHERE a < b
+ UNION ALL SELECT c.doc_id, t.doc_id, 1.0::DOUBLE FROM t JOIN c USING (s) WHERE t.doc_id > c.doc_id""")
 def jaccard_headline_pairs(spark, sf):
-    return stories.jaccard_edges(_titles(spark, sf), "doc_id", "words", 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Pairs of different titles' words, each class by its smallest document, and that document with each of its copies."""
+    return _title_edges(spark, sf).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("WITH e AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 3))) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM e GROUP BY item_id), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.item_id < y.item_id GROUP BY ALL) SELECT a, b, round(k / least(i.n, j.n), 6)::DOUBLE AS similarity FROM p JOIN n i ON i.item_id = a JOIN n j ON j.item_id = b WHERE k >= 3 AND k / least(i.n, j.n) >= 0.15")
@@ -177,32 +188,40 @@ def tfidf_cosine_pairs(spark, sf):
     return stories.cosine_edges(stories.tfidf(b, "item_id", "words"), 0.02).select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
-def _stories(spark, sf, text) -> DataFrame:
-    """category, doc_id and words of the articles of each category; of equal word lists the smallest document."""
-    a = classified(spark, sf).filter("category is not null").withColumn("words", X.tokens(X.normalize(text)))
-    return a.groupBy("category", "words").agg(F.min("doc_id").alias("doc_id"))
+def _classified_words(spark, sf, text) -> DataFrame:
+    """category, doc_id and the words of every article that has a category."""
+    return classified(spark, sf).filter("category is not null").select("category", "doc_id", X.tokens(X.normalize(text)).alias("words"))
 
 
 @query()
 def article_containment_pairs(spark, sf):
-    t = _stories(spark, sf, F.col("title"))
-    return stories.containment_edges(t, "doc_id", "words", group=["category"]).withColumn("similarity", F.round("similarity", 6))
+    t = _classified_words(spark, sf, F.col("title"))
+    return stories.title_links(t, "doc_id", F.col("words")).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
 def article_tfidf_pairs(spark, sf):
-    t = _stories(spark, sf, F.concat_ws(" ", "title", F.substring("text", 1, 400)))
-    weights = written(stories.tfidf(t, "doc_id", "words", ["category"]), "weights")
-    return stories.cosine_edges(weights, group=["category"]).withColumn("similarity", F.round("similarity", 5))
+    t = _classified_words(spark, sf, F.concat_ws(" ", "title", "text"))
+    return stories.text_links(t, "doc_id", F.col("words")).withColumn("similarity", F.round("similarity", 5))
 
 
-@query(f"WITH RECURSIVE {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY ALL HAVING k / (na + nb - k) >= 0.35), c(a, r) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON p.a = c.r) SELECT a AS node, least(a, min(r)) AS root FROM c GROUP BY a")
+@query(f"""WITH RECURSIVE {_TITLES}, l(a, r) AS (SELECT a, b FROM p UNION SELECT l.a, p.b FROM l JOIN p ON p.a = l.r),
+ m AS (SELECT a, least(a, min(r)) AS root FROM l GROUP BY a)
+ SELECT t.doc_id AS node, coalesce(m.root, c.doc_id, t.doc_id) AS root FROM t LEFT JOIN c USING (s) LEFT JOIN m ON m.a = c.doc_id""")
 def story_components(spark, sf):
-    return stories.components(stories.jaccard_edges(_titles(spark, sf), "doc_id", "words", 0.35))
+    """Every document with the smallest of its component; one whose title has no words, or that is like no other, is its own."""
+    roots = stories.components(_title_edges(spark, sf))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("node"))
+    return docs.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-@query(f"WITH {_TITLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t), p AS (SELECT x.doc_id AS key, y.doc_id AS parent_key, count(*) AS k, min(x.n) AS na, min(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id % 2 = 1 AND y.doc_id % 2 = 0 GROUP BY ALL), s AS (SELECT key, parent_key, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.35) SELECT key, parent_key, round(similarity, 6)::DOUBLE AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, parent_key) = 1")
+@query(f"""WITH {_TITLES}, o AS (SELECT DISTINCT s FROM t WHERE len(s) > 0 AND doc_id % 2 = 1), v AS (SELECT s, min(doc_id) AS parent_key FROM t WHERE len(s) > 0 AND doc_id % 2 = 0 GROUP BY s),
+ ow AS (SELECT s, unnest(s) AS w FROM o), vw AS (SELECT parent_key, len(s) AS n, unnest(s) AS w FROM v),
+ k AS (SELECT ow.s, parent_key, count(*) / (min(len(ow.s)) + min(n) - count(*)) AS similarity FROM ow JOIN vw USING (w) GROUP BY ALL),
+ m AS (SELECT * FROM k WHERE similarity >= 0.35 QUALIFY row_number() OVER (PARTITION BY s ORDER BY similarity DESC, parent_key) = 1)
+ SELECT doc_id AS key, parent_key, round(similarity, 6)::DOUBLE AS similarity FROM t JOIN m USING (s) WHERE doc_id % 2 = 1""")
 def continuity_best_match(spark, sf):
+    """For every odd document, as a story of today, the even one, as a story of the days before, whose title is most alike."""
     t = _titles(spark, sf).withColumnRenamed("doc_id", "key")
     return stories.best_match(t.filter("key % 2 = 1"), t.filter("key % 2 = 0")).select("key", "parent_key", F.round("similarity", 6).alias("similarity"))
 
@@ -361,9 +380,14 @@ def contested_filter(spark, sf):
     return g.filter("hit").select("conv_id", "turns")
 
 
-@query(f"WITH {_TITLES} SELECT DISTINCT doc_id, unnest(s) AS entity FROM t")
+@query(f"""WITH {ARTICLES}, x AS (SELECT source_slug, unnest({_NORMAL.format(c='title').replace(" AND w NOT IN ('the', 'and', 'des')", "")}) AS entity FROM a),
+ y AS (SELECT source_slug, unnest({_NORMAL.format(c='text').replace(" AND w NOT IN ('the', 'and', 'des')", "")}) AS entity FROM a)
+ SELECT DISTINCT source_slug, entity FROM y WHERE (source_slug, entity) NOT IN (SELECT source_slug, entity FROM x)""")
 def entity_postings(spark, sf):
-    return _titles(spark, sf).select("doc_id", F.explode("words").alias("entity")).dropDuplicates()
+    """What the texts add to the postings (source, word) that the titles have made."""
+    a = articles(spark, sf)
+    posted = lambda c: a.select("source_slug", F.explode(X.tokens(X.normalize(F.col(c)))).alias("entity"))
+    return store.append_once(posted("title").distinct(), posted("text"))
 
 
 @query("SELECT count(*) AS fetched, count(*) FILTER (lower(url) LIKE '%/de/%') AS noise, count(DISTINCT url) AS urls FROM pages")
@@ -400,9 +424,9 @@ def slugs(spark, sf):
 
 
 def _told(spark, sf) -> DataFrame:
-    """Articles with what clustering reads: title, the text's first 400 characters as summary, weight and order."""
+    """Articles with what clustering reads: title, the whole text in place of a summary, weight and order."""
     a = routing.with_registry(classified(spark, sf).filter("category is not null"), registry(spark, sf))
-    return a.select("category", "title", F.substring("text", 1, 400).alias("summary"), "url", "source_slug", "published_at", "weight", F.col("doc_id").alias("ordinal"), "lang")
+    return a.select("category", "title", F.col("text").alias("summary"), "url", "source_slug", "published_at", "weight", F.col("doc_id").alias("ordinal"), "lang")
 
 
 @query()
@@ -415,7 +439,7 @@ def cluster_articles(spark, sf):
 @query()
 def cluster_by_category(spark, sf):
     """Stories after the merge across languages: every document with its story's key."""
-    members, merged = stories.cluster_by_category(_told(spark, sf), lambda title: X.normalize(title))
+    members, merged = stories.cluster_by_category(_told(spark, sf), lambda title: X.signature(title, LEXICON, LETTERS))
     return members.join(merged.select("category", "root", "key"), ["category", "root"]).select("category", "key", F.col("ordinal").alias("doc_id"))
 
 
@@ -494,10 +518,109 @@ def member_repoint(spark, sf):
     return store.point_members(a, members).select("doc_id", "cluster_key")
 
 
-@query(f"WITH {_ITEMS} SELECT key, CASE WHEN relevant THEN significance ELSE 0.0 END AS democracy_significance, d1 AS democracy_net FROM it WHERE doc_id % 2 = 0")
+@query(f"""WITH {_ITEMS} SELECT key, CASE WHEN doc_id % 2 = 1 THEN -1.0 WHEN relevant THEN significance ELSE 0.0 END::DOUBLE AS democracy_significance,
+ CASE WHEN doc_id % 2 = 1 THEN 9 ELSE d1 END::INT AS democracy_net FROM it WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
 def analysis_upsert(spark, sf):
+    """Stored analyses of some stories, and one of every story now, of which only those of known clusters count."""
     a = _items(spark, sf).withColumn("cluster_key", F.col("key"))
-    return store.analysis_rows(a, a.filter("doc_id % 2 = 0").select("key")).select("key", "democracy_significance", "democracy_net")
+    old = a.filter("doc_id % 3 = 0").select("cluster_key", "relevant", F.lit(-1.0).alias("significance"), F.lit(9).alias("net_direction"))
+    old = old.withColumns({"democracy_significance": F.col("significance"), "democracy_net": F.col("net_direction")})
+    out = store.upsert_analyses(old, a.select("cluster_key", "relevant", "significance", "net_direction"), a.filter("doc_id % 2 = 0").select("key"))
+    return out.select(F.col("cluster_key").alias("key"), "democracy_significance", "democracy_net")
+
+
+@query(f"""SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS}, d AS (SELECT digest_date, count(*) AS n, min(key) AS cluster_key, day(digest_date) AS day FROM it GROUP BY 1),
+ k AS (SELECT DISTINCT key FROM it WHERE doc_id % 3 = 0)
+ SELECT digest_date, n || ' stories' AS editorial_note, CASE WHEN day % 2 = 0 THEN 'new.md' ELSE 'old.md' END AS markdown_path,
+  CASE WHEN day % 5 = 0 THEN 'first' WHEN cluster_key IN (SELECT key FROM k) THEN cluster_key END AS deep_dive_of, CASE WHEN day % 5 = 0 OR cluster_key IN (SELECT key FROM k) THEN 'dive ' || n END AS deep_dive FROM d)""")
+def digest_records(spark, sf):
+    """Digests stored once more: the note is new, a path that isn't given stays, and so does the cluster of a stored deep dive."""
+    i = _items(spark, sf)
+    new = i.groupBy("digest_date").agg(F.count("*").alias("n"), F.min("key").alias("cluster_key"))
+    day = F.dayofmonth("digest_date")
+    digests = new.select("digest_date", F.concat(F.col("n").cast("string"), F.lit(" stories")).alias("editorial_note"), F.when(day % 2 == 0, "new.md").otherwise("").alias("markdown_path"))
+    saved = store.save_digests(digests.withColumns({"editorial_note": F.lit("before"), "markdown_path": F.lit("old.md")}), digests)
+    dives = new.select("digest_date", "cluster_key", F.concat(F.lit("dive "), F.col("n").cast("string")).alias("payload"))
+    had = dives.filter(day % 5 == 0).withColumns({"cluster_key": F.lit("first"), "payload": F.lit("before")})
+    dives = store.save_deep_dives(had, dives, i.filter("doc_id % 3 = 0").select("key").distinct())
+    return saved.join(dives.select("digest_date", F.col("cluster_key").alias("deep_dive_of"), F.col("payload").alias("deep_dive")), "digest_date", "left")
+
+
+_SAID = """s AS (SELECT conv_id, turn // 2 AS key, max(coalesce(text, '')) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
+ x AS (SELECT conv_id, turn // 3 AS key, max(coalesce(text, '')) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+ y AS (SELECT conv_id, turn // 5 AS key, min(coalesce(text, '')) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL)"""
+
+
+def _partial_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Digests (one per conversation) with a stored translation, and two partial runs over them."""
+    c = table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+
+    def part(role: str, width: int, best) -> DataFrame:
+        each = c.filter(F.col("role") == role).groupBy(F.col("conv_id").alias("digest_date"), F.floor(F.col("turn") / width).cast("string").alias("key")).agg(best("text").alias("text"))
+        return each.groupBy("digest_date").agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("items"))
+
+    stored = F.struct(F.lit("before").alias("editorial_note"), F.col("items"), F.when(F.col("digest_date") % 3 == 0, "dive").alias("deep_dive"))
+    digests = c.select(F.col("conv_id").alias("digest_date")).distinct().join(part("user", 2, F.max), "digest_date", "left")
+    digests = digests.withColumn("translations", F.when(F.col("items").isNotNull(), F.create_map(F.lit("bg"), stored))).drop("items")
+    run = lambda k, d, note: d.select(F.lit(k).alias("run"), "digest_date", F.lit("bg").alias("lang"), note.alias("editorial_note"), "items", F.lit(None).cast("string").alias("deep_dive"))
+    second = F.when(F.col("digest_date") % 2 == 1, "after")
+    return digests, run(1, part("assistant", 3, F.max), F.lit("")).unionByName(run(2, part("assistant", 5, F.min), second))
+
+
+@query(f"""WITH {_SAID}, m AS (SELECT conv_id, key, coalesce(y.text, x.text, s.text) AS text FROM s FULL JOIN x USING (conv_id, key) FULL JOIN y USING (conv_id, key))
+ SELECT conv_id AS digest_date, key::VARCHAR AS key, text, CASE WHEN conv_id % 2 = 1 AND conv_id IN (SELECT conv_id FROM y) THEN 'after' WHEN conv_id IN (SELECT conv_id FROM s) THEN 'before' END AS editorial_note FROM m""")
+def translation_merge(spark, sf):
+    """A stored translation after two partial runs: every story's text by the last run that had it, and the last note."""
+    digests, runs = _partial_runs(spark, sf)
+    out = store.merge_translations(digests, runs)[0].select("digest_date", F.col("translations")["bg"].alias("t"))
+    return out.select("digest_date", F.explode("t.items").alias("key", "text"), F.col("t.editorial_note").alias("editorial_note"))
+
+
+@query(f"""WITH {_SAID}, i AS (SELECT conv_id, count(DISTINCT turn // 2) AS items FROM conversations GROUP BY 1),
+ m AS (SELECT conv_id, key FROM s UNION SELECT conv_id, key FROM x UNION SELECT conv_id, key FROM y), t AS (SELECT conv_id, count(*) AS translated FROM m GROUP BY 1)
+ SELECT conv_id AS digest_date, items, translated, translated >= items AND (conv_id % 4 <> 0 OR (conv_id % 3 = 0 AND conv_id IN (SELECT conv_id FROM s)))
+  AND (conv_id IN (SELECT conv_id FROM s) OR (conv_id % 2 = 1 AND conv_id IN (SELECT conv_id FROM y))) AS complete FROM i JOIN t USING (conv_id)""")
+def translation_state(spark, sf):
+    """Which of the merged translations have every story, the note, and the deep dive where the digest has one."""
+    digests, runs = _partial_runs(spark, sf)
+    merged = store.merge_translations(digests, runs)[0]
+    original = merged.withColumns({"editorial_note": F.lit("note"), "deep_dive": F.when(F.col("digest_date") % 4 == 0, "dive")})
+    items = table(spark, sf, "conversations").select(F.col("conv_id").alias("digest_date"), F.floor(F.col("turn") / 2).alias("key"))
+    return store.complete_in(original, items).select("digest_date", "items", "translated", "complete")
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey AS key, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_key, o_orderdate, o_orderstatus = 'F' AS told FROM orders),
+ u(start, cur, n) AS (SELECT key, key, told::INT FROM c UNION ALL SELECT u.start, p.key, u.n + p.told::INT FROM u JOIN c ON c.key = u.cur JOIN c p ON p.key = c.parent_key WHERE u.n < 7)
+ SELECT u.start, n - 1 AS place, c.o_orderdate::DATE::VARCHAR AS date, CASE WHEN c.key % 5 = 0 THEN 'order ' || c.key ELSE 'said ' || c.key END AS headline, 'on ' || c.key AS what_happened
+ FROM u JOIN c ON c.key = u.cur WHERE c.told AND n > 1""")
+def story_history(spark, sf):
+    """The earlier analysed entries of every running story: a customer's orders follow one another, the finished ones are told."""
+    o = table(spark, sf, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    clusters = o.select(F.col("o_orderkey").alias("key"), before.alias("parent_key"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("headline"), F.col("o_orderdate").cast("timestamp").alias("last_seen"))
+    said = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("said "), F.col("o_orderkey").cast("string")))
+    told = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("cluster_key"), said.alias("headline"), F.concat(F.lit("on "), F.col("o_orderkey").cast("string")).alias("what_happened"))
+    return reads.history(clusters, told)
+
+
+@query(f"WITH {CLASSIFIED} SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY length(title) DESC, doc_id) AS place FROM c WHERE category IS NOT NULL")
+def category_ranks(spark, sf):
+    c = classified(spark, sf).filter("category is not null").select("doc_id", "category", F.length("title").alias("n"))
+    return ranks.ranked(c, [F.desc("n"), F.asc("doc_id")], "place", ["category"]).drop("n")
+
+
+@query("SELECT doc_id, tokens FROM (SELECT doc_id, n_chars AS tokens, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 1000000")
+def calls_within_budget(spark, sf):
+    return store.within_budget(table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("tokens")), 1_000_000, ["doc_id"])
+
+
+@query(f"WITH {REGISTRY} SELECT slug, name, (SELECT count(*) FROM reg WHERE n % 2 = 1) AS inserted FROM reg")
+def registry_upsert(spark, sf):
+    """The registry stored over an older half of it, and how many sources were new."""
+    new = registry(spark, sf)
+    old = new.filter(F.substring("slug", 4, 9).cast("int") % 2 == 0).withColumn("name", F.lit("old"))
+    merged, counts = store.upsert_registry(old, new)
+    return merged.select("slug", "name").join(F.broadcast(counts))  # one row
 
 
 @query(f"SELECT * REPLACE (digest_date::VARCHAR AS digest_date) FROM (WITH {_ITEMS} SELECT digest_date, key FROM it WHERE digest_date < DATE '2026-01-10' UNION ALL SELECT digest_date, 'n' || key FROM it WHERE digest_date >= DATE '2026-01-10' AND doc_id % 2 = 0)")
@@ -592,12 +715,6 @@ def trend_trace(spark, sf):
     return D.trace(d, "event_type", "day", "v").select("event_type", "day", "place", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@query("SELECT (DATE '2026-03-01' + (i - 29)::INT)::VARCHAR AS digest_date, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(i / 3.1::DOUBLE) * 0.22::DOUBLE + sin(i / 7.7::DOUBLE) * 0.3::DOUBLE - 0.18::DOUBLE - i * 0.004::DOUBLE + CASE WHEN i = 24 THEN 0.75 ELSE 0 END)), 2) AS net_direction, 4 + i % 4 AS relevant FROM (SELECT unnest(range(30)) AS i)")
-def sample_trend(spark, sf):
-    none = D.sample_trend(spark, "2026-03-01").filter("false")
-    return reads.or_else(none, D.sample_trend(spark, "2026-03-01"))
-
-
 @query("SELECT timezone('Europe/Sofia', timezone('UTC', ts::TIMESTAMP))::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1")
 def local_dates(spark, sf):
     return table(spark, sf, "events").groupBy(D.local_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillstream.config import DEFAULT
 from quillstream.functions import scoring as S
 from quillstream.functions import text as X
-from quillstream.operators import reads, render, routing, selection, stories
-from quillstream.operators.tables import written
+from quillstream.operators import neardup, reads, render, routing, selection, stories
+from quillstream.operators.tables import observed, written
 from quillstream.sources import feeds
 
 CATEGORIES = [routing.BG, routing.GLOBAL, routing.TECH]
@@ -30,37 +31,34 @@ class Rules:
 
 def ingest(entries: DataFrame, registry: DataFrame, rules: Rules, clusters: DataFrame, cache: DataFrame, as_of: Column, cfg=DEFAULT) -> dict[str, DataFrame]:
     """Entries (source_slug, source_ord, entry_ord, url, title, summary, lang, published_at) to articles, members and
-    stories with their parents, and the run's stats.
+    stories with their parents, and the run's stats, which the plan's own writes have counted.
 
-    In order: look-back, cap per source, noise, near-duplicates of one source, category, stories, the best candidates of
+    In order: the first entries of each source, of these the valid and recent ones up to the cap, noise, near-duplicates of one source, category, stories, the best candidates of
     each category, bodies from the cache, continuity with the clusters (key, headline, last_seen) of the last days.
     """
-    recent = routing.lookback(entries, "published_at", as_of, cfg.lookback_hours)
-    valid = (F.coalesce("url", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")
-    fetched = written(routing.per_source_cap(recent, "source_slug", "entry_ord", valid, cfg.per_source), "fetched")
+    valid = feeds.usable(F.col("url"), F.col("title")) & routing.recent(F.col("published_at"), as_of, cfg.lookback_hours)
+    rows = F.count(F.lit(1))
+    fetched, n_fetched = observed(routing.per_source_cap(entries, "source_slug", "entry_ord", valid, cfg.per_source), "fetched", fetched=rows)
     clean = fetched.filter(~routing.is_noise(F.col("url"), F.col("title"), rules.segments, rules.noise))
     words = X.normalize(F.concat_ws(" ", "title", F.substring("summary", 1, 400)))
-    apart = stories.drop_near_duplicates(clean.withColumn("simhash", stories.simhash(words)), "source_slug", "entry_ord", "simhash", cfg.simhash_distance)
+    apart = neardup.drop_near_duplicates(clean.withColumn("simhash", stories.simhash(words)), "source_slug", "entry_ord", "simhash", cfg.simhash_distance)
     known = routing.with_registry(apart, registry)
-    allowed = registry.select(F.col("slug").alias("source_slug"), F.col("categories").alias("allowed"))
+    live = Observation("live-" + uuid.uuid4().hex[:12])
+    allowed = registry.observe(live, F.count_if("enabled").alias("sources")).select(F.col("slug").alias("source_slug"), F.col("categories").alias("allowed"))
     known = known.join(allowed, "source_slug", "left")
     routed = routing.classify(known, X.haystack(F.col("title"), F.col("summary"), F.lit(None).cast("string")), F.col("lang"), F.col("allowed"), rules.vocab, cfg)
     kept = routed.filter("category is not null").withColumn("ordinal", F.col("source_ord").cast("long") * (1 << 40) + F.col("entry_ord"))
-    kept = written(kept, "kept")
+    kept, n_kept = observed(kept, "kept", kept=rows)
     members, found = stories.cluster_by_category(kept, rules.signature, as_of=as_of, cfg=cfg)
     best = routing.top_per(found, ["category"], [F.desc("source_count"), F.desc("article_count"), F.col("root")], cfg.candidates_per_category)
     words = X.tokens(X.normalize(F.col("headline")))
     parents = stories.best_match(best.select("key", words.alias("words")), reads.recent_keys(clusters, as_of, cfg.continuity_days).select("key", words.alias("words")), cfg.continuity_threshold)
-    best = written(best.join(parents.select("key", "parent_key"), "key", "left"), "stories")
+    best, n_best = observed(best.join(parents.select("key", "parent_key"), "key", "left"), "stories", clusters=rows)
     members = written(members.join(best.select("category", "root", "key"), ["category", "root"]), "members")
-    bodies = feeds.bodies(members, cache, cfg.body_chars)
+    bodies, n_bodies = observed(feeds.bodies(members, cache, cfg.body_chars), "bodies", bodies_extracted=rows)
     articles = members.join(bodies, "url", "left")
-    count = lambda d, name: d.agg(F.count("*").cast("double").alias(name))
-    counts = [count(fetched, "fetched"), count(kept, "kept"), count(best, "clusters"), count(bodies, "bodies_extracted"), count(registry.filter("enabled"), "sources")]
-    stats = None
-    for one in counts:  # a row each
-        one = one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c))])).alias("stat", "value"))
-        stats = one if stats is None else stats.unionByName(one)
+    counts = {k: float(v) for seen in (n_fetched, n_kept, n_best, n_bodies, live) for k, v in seen.get.items()}
+    stats = entries.sparkSession.createDataFrame(list(counts.items()), "stat string, value double")
     return {"articles": articles, "members": members, "stories": best, "stats": stats}
 
 

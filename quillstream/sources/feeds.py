@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.config import DEFAULT
+from quillstream.functions.pages import main_text
 from quillstream.functions.text import blank_null, html_to_text, url_hash
+from quillstream.operators.tables import written
 
 #: Fixed value: the date format of RSS items, without the day of the week.
 RFC822 = "d MMM yyyy HH:mm:ss Z"
 
 
-def read_feed(spark: SparkSession, path: str, slug: str, row_tag: str = "item", source_ord: int = 0, lang: str | None = None) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, slug: str, row_tag: str = "item", source_ord: int = 0, lang: str | None = None, everything: bool = False) -> DataFrame:
     """Entries of RSS (item) or Atom (entry) files: source_slug, url, title, summary, author, lang, published_at, in file
     order. An Atom link is an attribute; of several the first that is no other than the entry itself."""
     link = "string" if row_tag == "item" else "array<struct<_href: string, _rel: string>>"
@@ -22,18 +26,42 @@ def read_feed(spark: SparkSession, path: str, slug: str, row_tag: str = "item",
     if row_tag != "item":
         own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
         raw = raw.withColumn("link", F.coalesce(F.get(own, F.lit(0)), F.get("link", F.lit(0)))["_href"]).withColumn("author", F.col("author.name"))
-    return entries(raw.withColumns({"source_slug": F.lit(slug), "source_ord": F.lit(source_ord), "entry_ord": F.monotonically_increasing_id(), "lang": F.lit(lang)}))
+    return entries(raw.withColumns({"source_slug": F.lit(slug), "source_ord": F.lit(source_ord), "entry_ord": F.monotonically_increasing_id(), "lang": F.lit(lang).cast("string")}), everything)
+
+
+ENTRY = "source_slug string, source_ord int, entry_ord long, url string, title string, summary string, author string, lang string, published_at timestamp"
+
+
+def fetch_feeds(spark: SparkSession, feeds: list[dict], at_once: int = 8, everything: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entries, probes) of all enabled feeds (slug, path, row_tag, lang, enabled).
+
+    Each feed is read, as its own jobs, into a table of its own, a few feeds at once. A feed that can't be read (no such path,
+    not XML at all) gives no entries, and its probe (slug, error) says why; the others are not touched. Entries go by
+    (source_ord, entry_ord). With everything, they are all there, also those without a link or title, for a cap that counts
+    them. No enabled feed: empty tables.
+    """
+    live = [x for x in feeds if x.get("enabled", True)]
+
+    def one(k: int, f: dict) -> tuple[DataFrame | None, str | None]:
+        try:
+            raw = read_feed(spark, f["path"], f["slug"], f.get("row_tag", "item"), k, f.get("lang"), everything)
+            return written(raw, "feed"), None
+        except Exception as e:  # a dead feed must not end the run
+            return None, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        got = list(pool.map(one, range(len(live)), live))
+    entries_ = spark.createDataFrame([], ENTRY)
+    for df, _ in got:
+        if df is not None:
+            entries_ = entries_.unionByName(df)
+    probes = spark.createDataFrame([(f["slug"], error) for f, (_, error) in zip(live, got)], "slug string, error string")
+    return entries_, probes
 
 
 def read_feeds(spark: SparkSession, feeds: list[dict]) -> DataFrame:
-    """Entries of all enabled feeds (slug, path, row_tag, lang, enabled), in their order by (source_ord, entry_ord)."""
-    out = None
-    for k, f in enumerate(x for x in feeds if x.get("enabled", True)):
-        one = read_feed(spark, f["path"], f["slug"], f.get("row_tag", "item"), k, f.get("lang"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no enabled feed")
-    return out
+    """Entries of all enabled feeds that can be read, in their order by (source_ord, entry_ord)."""
+    return fetch_feeds(spark, feeds)[0]
 
 
 def sources_for(registry: DataFrame, category: str) -> DataFrame:
@@ -46,18 +74,24 @@ def timestamp_of(c: Column) -> Column:
     return F.when(plain.rlike(r"^\d{1,2} "), F.try_to_timestamp(plain, F.lit(RFC822))).otherwise(F.try_to_timestamp(c))
 
 
-def entries(raw: DataFrame) -> DataFrame:
-    """Raw entries with link and title, their summary as text and the first date that parses."""
+def usable(url: Column, title: Column) -> Column:
+    """Whether an entry has a link and a title."""
+    return (F.coalesce(F.trim(url), F.lit("")) != "") & (F.coalesce(F.trim(title), F.lit("")) != "")
+
+
+def entries(raw: DataFrame, everything: bool = False) -> DataFrame:
+    """Raw entries with link and title, or all of them, their summary as text and the first date that parses."""
     title, summary = F.trim("title"), html_to_text(F.coalesce(blank_null(F.col("summary")), blank_null(F.col("description"))))
     when = F.coalesce(timestamp_of(F.coalesce("published", "pubDate")), timestamp_of(F.col("updated")))
-    return raw.filter((F.coalesce("link", F.lit("")) != "") & (F.coalesce(title, F.lit("")) != "")).select("source_slug", "source_ord", "entry_ord", F.trim("link").alias("url"), title.alias("title"), summary.alias("summary"), "author", "lang", when.alias("published_at"))
+    some = raw if everything else raw.filter(usable(F.col("link"), F.col("title")))
+    return some.select("source_slug", "source_ord", "entry_ord", F.trim("link").alias("url"), title.alias("title"), summary.alias("summary"), "author", "lang", when.alias("published_at"))
 
 
 def pages_text(pages: DataFrame, most: int = DEFAULT.body_chars) -> DataFrame:
-    """url_hash and body (text of the page, at most so many characters) of each distinct url, of several pages the
+    """url_hash and body (main text of the page, at most so many characters) of each distinct url, of several pages the
     largest; pages without text go."""
     one = pages.groupBy("url").agg(F.max("html").alias("html"))
-    return one.select(url_hash(F.col("url")).alias("url_hash"), F.substring(html_to_text(F.col("html")), 1, most).alias("body")).filter("body <> ''")
+    return one.select(url_hash(F.col("url")).alias("url_hash"), F.substring(main_text(F.col("html")), 1, most).alias("body")).filter("body <> ''")
 
 
 def to_fetch(urls: DataFrame, cache: DataFrame) -> DataFrame:
@@ -77,11 +111,16 @@ def bodies(urls: DataFrame, cache: DataFrame, most: int = DEFAULT.body_chars) ->
     return urls.select("url").distinct().withColumn("url_hash", url_hash(F.col("url"))).join(cache.filter("body <> ''"), "url_hash").select("url", F.substring("body", 1, most).alias("body"))
 
 
-def feed_health(registry: DataFrame, entries: DataFrame) -> DataFrame:
-    """slug, entries and status (ok, DEAD for an enabled feed without entries, skip for a disabled one)."""
+def feed_health(registry: DataFrame, entries: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """slug, entries and status: skip for a disabled feed, FAIL for one that a probe (slug, error) could not read, DEAD for an
+    enabled one without entries, else ok."""
     n = entries.groupBy(F.col("source_slug").alias("slug")).agg(F.count("*").alias("entries"))
     joined = registry.join(n, "slug", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
-    return joined.select("slug", "entries", F.when(~F.col("enabled"), "skip").when(F.col("entries") == 0, "DEAD").otherwise("ok").alias("status"))
+    if probes is not None:
+        joined = joined.join(probes.groupBy("slug").agg(F.max("error").alias("error")), "slug", "left")
+    failed = F.col("error").isNotNull() if probes is not None else F.lit(False)
+    status = F.when(~F.col("enabled"), "skip").when(failed, "FAIL").when(F.col("entries") == 0, "DEAD").otherwise("ok")
+    return joined.select("slug", "entries", status.alias("status"))
 
 
 def render_digest(items: DataFrame, digest: str = "digest_date") -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.operators import routing, selection, store, stories
+from quillstream.operators import neardup, routing, selection, store, stories
 from quillstream.sources import feeds
 
 VOCAB = {"civic": ["parliament", "vote"], "foreign": ["ukraine", "nato"], "tech": ["chip", "model"], "domestic": ["sofia", "bulgaria"]}
@@ -42,7 +42,7 @@ def test_per_source_cap(spark):
 
 def test_near_duplicates_per_source(spark):
     df = spark.createDataFrame([("a", 1, "one two three"), ("a", 2, "one two three"), ("b", 3, "one two three"), ("a", 4, ""), ("a", 5, "")], "s string, o int, t string")
-    out = stories.drop_near_duplicates(df.withColumn("h", stories.simhash("t")), "s", "o", "h")
+    out = neardup.drop_near_duplicates(df.withColumn("h", stories.simhash("t")), "s", "o", "h")
     assert sorted(r.o for r in out.collect()) == [1, 3, 4]
 
 
@@ -343,9 +343,9 @@ def test_reads(spark):
     t = dt.datetime(2026, 1, 5)
     c = spark.createDataFrame([("a", "p", "A", t), ("b", "p", "B", t - dt.timedelta(days=5))], "key string, category string, headline string, last_seen timestamp")
     assert [r.key for r in reads.recent_keys(c, F.lit(t)).collect()] == ["a"] and reads.clusters_since(c, "p", F.lit(t)).count() == 1
-    line = spark.createDataFrame([("x", "a", 1), ("x", "b", 2)], "start string, ancestor string, depth int")
-    an = spark.createDataFrame([("a", None, None)], "cluster_key string, headline string, what_happened string")
-    assert [tuple(r) for r in reads.history(line, c, an).collect()] == [("x", 1, t.date(), "A", "")]
+    c = spark.createDataFrame([("x", "a", "X", t), ("a", None, "A", t)], "key string, parent_key string, headline string, last_seen timestamp")
+    an = spark.createDataFrame([("a", None, None), ("x", "said", "what")], "cluster_key string, headline string, what_happened string")
+    assert [tuple(r) for r in reads.history(c, an).collect()] == [("x", 1, t.date(), "A", "")]
     d = spark.createDataFrame([("2026-01-01", "k", "en")], "digest_date string, key string, analysis string")
     tr = spark.createDataFrame([("2026-01-01", "k", "bg", "бг")], "digest_date string, key string, lang string, analysis string")
     assert [reads.translated(d, tr, x).first().analysis for x in ("bg", "de")] == ["бг", "en"]
