@@ -20,8 +20,11 @@ _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 def use_state(spark: SparkSession) -> None:
-    """State with timers and expiry needs this store; it is set for queries that start from now on."""
+    """Settings for queries that start from now on: state with timers and expiry needs this store, and batches without data are
+    off, as a query by the clock would have one after the other and never be through with what is available. So what a watermark
+    ends is said with the next batch that has data."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def split_late(stream: DataFrame, hours: int = DEFAULT.lookback_hours) -> tuple[DataFrame, DataFrame]:
@@ -57,37 +60,43 @@ def new_articles(stream: DataFrame, days: float = DEFAULT.continuity_days) -> Da
     return keyed.groupBy("url_hash").transformWithState(_Known(days), keyed.schema, "Append", "ProcessingTime")
 
 
-_STORY = "key string, first_seen timestamp, last_seen timestamp, articles long, status string"
+#: Times are microseconds in the state, so that no worker's time zone matters.
+_STORY = "key string, first_us long, last_us long, articles long, status string"
 
 
 class _Running(StatefulProcessor):
     def __init__(self, days: float) -> None:
-        self.days = dt.timedelta(days=days)
+        self.gap = int(days * 86_400_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.story = handle.getValueState("story", "first_seen timestamp, last_seen timestamp, articles long")
+        self.story = handle.getValueState("story", "first_us long, last_us long, articles long")
 
-    def _timer(self, last: dt.datetime) -> int:
-        return int((last + self.days).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    def _timer(self, last: int) -> int:
+        return -(-(last + self.gap) // 1000)
+
+    def _row(self, key, story: tuple[int, int, int], status: str) -> Row:
+        return Row(key=key[0], first_us=story[0], last_us=story[1], articles=story[2], status=status)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = [r.event_ts for r in rows]
-        first, last, n = min(seen), max(seen), len(seen)
-        running = self.story.exists()
-        if running:
-            was = self.story.get()
-            self.handle.deleteTimer(self._timer(was[1]))
-            first, last, n = min(first, was[0]), max(last, was[1]), n + was[2]
-        self.story.update((first, last, n))
-        self.handle.registerTimer(self._timer(last))
-        yield Row(key=key[0], first_seen=first, last_seen=last, articles=n, status="running" if running else "new")
+        story, status = None, "new"
+        if self.story.exists():
+            story, status = tuple(self.story.get()), "running"
+            self.handle.deleteTimer(self._timer(story[1]))
+        for at in sorted(r.us for r in rows):
+            if story and at - story[1] >= self.gap:
+                yield self._row(key, story, "ended")
+                story, status = None, "new"
+            story = (min(story[0], at), max(story[1], at), story[2] + 1) if story else (at, at, 1)
+        self.story.update(story)
+        self.handle.registerTimer(self._timer(story[1]))
+        yield self._row(key, story, status)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.story.exists():
-            first, last, n = self.story.get()
+            story = tuple(self.story.get())
             self.story.clear()
-            yield Row(key=key[0], first_seen=first, last_seen=last, articles=n, status="ended")
+            yield self._row(key, story, "ended")
 
     def close(self) -> None:
         pass
@@ -95,8 +104,10 @@ class _Running(StatefulProcessor):
 
 def running_stories(stream: DataFrame, days: float = DEFAULT.continuity_days, hours: int = DEFAULT.lookback_hours) -> DataFrame:
     """What a stream of story members (key, event_ts) says of each story: a row for each batch that touches it (new, then
-    running), and one when it ends, that is when the watermark is `days` beyond its last member. A key that comes back after
-    that is a new story. Members without a time don't count. Times are of the UTC session."""
+    running), and one when it ends, that is when its next member is `days` later, or when the watermark is. A key that comes
+    back after that is a new story. Members without a time don't count."""
     use_state(stream.sparkSession)
-    timed = stream.filter("event_ts is not null").withWatermark("event_ts", f"{hours} hours")
-    return timed.groupBy("key").transformWithState(_Running(days), _STORY, "Append", "EventTime")
+    timed = stream.filter("event_ts is not null").withWatermark("event_ts", f"{hours} hours").withColumn("us", F.unix_micros("event_ts"))
+    out = timed.groupBy("key").transformWithState(_Running(days), _STORY, "Append", "EventTime")
+    at = lambda c, name: F.timestamp_micros(c).alias(name)
+    return out.select("key", at("first_us", "first_seen"), at("last_us", "last_seen"), "articles", "status")

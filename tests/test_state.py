@@ -3,8 +3,7 @@
 import datetime as dt
 import time
 
-from pyspark.sql import functions as F
-
+import pytest
 from quillstream.streaming import ingest, state
 
 T0 = dt.datetime(2026, 1, 1)
@@ -18,6 +17,16 @@ def test_late_articles_are_a_stream_of_their_own(spark):
     assert sorted(r.url for r in on_time.collect()) == ["a", "c", "d"] and [r.url for r in late.collect()] == ["b"]
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """A state store and a worker per partition and batch: one will do."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    yield
+    spark.conf.set(key, before)
+
+
 def feed(spark, tmp_path, schema):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
 
@@ -55,14 +64,14 @@ def test_known_urls_expire(spark, tmp_path):
 def test_running_stories_are_the_batch_plan(spark, tmp_path):
     add, run = feed(spark, tmp_path, MEMBER)
     day = lambda d, h=0: T0 + dt.timedelta(days=d, hours=h)
-    batches = [[("s", day(0)), ("s", day(0, 5)), ("t", day(0))], [("s", day(2))], [("u", day(9)), ("x", None)], [("s", day(10)), ("u", day(10))], [("z", day(30))]]
+    batches = [[("s", day(0)), ("s", day(0, 5)), ("t", day(0))], [("s", day(2)), ("u", day(9)), ("x", None)], [("s", day(10)), ("u", day(10))]]
     for rows in batches:
         add(rows)
         out = run(state.running_stories)
     got = {(r.key, r.first_seen, r.last_seen, r.articles, r.status) for r in out.collect()}
     assert {x for x in got if x[4] != "ended"} == {
         ("s", day(0), day(0, 5), 2, "new"), ("t", day(0), day(0), 1, "new"), ("s", day(0), day(2), 3, "running"), ("u", day(9), day(9), 1, "new"),
-        ("s", day(10), day(10), 1, "new"), ("u", day(9), day(10), 2, "running"), ("z", day(30), day(30), 1, "new"),
+        ("s", day(10), day(10), 1, "new"), ("u", day(9), day(10), 2, "running"),
     }
     # each story that ended, by a batch plan: members of one key with gaps of under four days
     ended = {x for x in got if x[4] == "ended"}
@@ -75,4 +84,3 @@ def test_running_stories_are_the_batch_plan(spark, tmp_path):
         else:
             sessions.append((k, t, t, 1))
     assert {x[:4] for x in ended} <= set(sessions)
-    assert F is not None
