@@ -4,7 +4,7 @@ A page is cut at block tags. A block knows its text, how much of it stands in li
 furniture (nav, aside, footer, ...), in an article or in the main part. Of a page with articles only these count, else its
 main part, else all of it; furniture goes, and so do blocks that are mostly links or too short to be prose, unless they stand
 between prose. The pass looks at each character once, whatever is left open: a comment, script or tag without its end takes
-the rest of the page, an open piece of furniture ends where an article, main part or the body's end begins.
+the rest of the page, an open piece of furniture ends where an article, main part or the body's end begins, and is none if nothing ends it.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ def blocks(page: str) -> list[Block]:
     linked = size = link = article = main = 0
     heading = False
     furniture: list[str] = []
+    opened = 0  # blocks before the piece of furniture that is open
 
     def flush() -> None:
         nonlocal linked, size
@@ -105,18 +106,20 @@ def blocks(page: str) -> list[Block]:
             main = max(0, main + (-1 if closes else 1))
         if tag in FURNITURE:
             if not closes:
+                opened = opened if furniture else len(out)
                 furniture.append(tag)
             elif tag in furniture:
                 while furniture.pop() != tag:
                     pass
     flush()
+    for b in out[opened:] if furniture else ():  # it has no end, so it is none
+        b.furniture = False
     return out
 
 
 def main_text_of(page: str | None) -> str:
     """The main text of a page, its blocks joined by spaces; empty for null, empty or tag-only pages."""
-    every = blocks(page or "")
-    here = [b for b in every if not b.furniture] or every
+    here = [b for b in blocks(page or "") if not b.furniture]
     for part in ("article", "main"):
         some = [b for b in here if getattr(b, part)]
         if some:
