@@ -29,6 +29,13 @@ class Rules:
     signature: Callable[[Column], Column]
 
 
+def taken(entries: DataFrame, as_of: Column, cfg=DEFAULT) -> DataFrame:
+    """Of each source's first 2 * per_source entries as the feed has them, usable or not, the first per_source that have a link
+    and a title and aren't too old."""
+    valid = feeds.usable(F.col("url"), F.col("title")) & routing.recent(F.col("published_at"), as_of, cfg.lookback_hours)
+    return routing.per_source_cap(entries, "source_slug", "entry_ord", valid, cfg.per_source)
+
+
 def ingest(entries: DataFrame, registry: DataFrame, rules: Rules, clusters: DataFrame, cache: DataFrame, as_of: Column, cfg=DEFAULT) -> dict[str, DataFrame]:
     """Entries (source_slug, source_ord, entry_ord, url, title, summary, lang, published_at) to articles, members and
     stories with their parents, and the run's stats, which the plan's own writes have counted.
@@ -36,9 +43,8 @@ def ingest(entries: DataFrame, registry: DataFrame, rules: Rules, clusters: Data
     In order: the first entries of each source, of these the valid and recent ones up to the cap, noise, near-duplicates of one source, category, stories, the best candidates of
     each category, bodies from the cache, continuity with the clusters (key, headline, last_seen) of the last days.
     """
-    valid = feeds.usable(F.col("url"), F.col("title")) & routing.recent(F.col("published_at"), as_of, cfg.lookback_hours)
     rows = F.count(F.lit(1))
-    fetched, n_fetched = observed(routing.per_source_cap(entries, "source_slug", "entry_ord", valid, cfg.per_source), "fetched", fetched=rows)
+    fetched, n_fetched = observed(taken(entries, as_of, cfg), "fetched", fetched=rows)
     clean = fetched.filter(~routing.is_noise(F.col("url"), F.col("title"), rules.segments, rules.noise))
     words = X.normalize(F.concat_ws(" ", "title", F.substring("summary", 1, 400)))
     apart = neardup.drop_near_duplicates(clean.withColumn("simhash", stories.simhash(words)), "source_slug", "entry_ord", "simhash", cfg.simhash_distance)

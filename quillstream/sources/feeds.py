@@ -80,10 +80,11 @@ def usable(url: Column, title: Column) -> Column:
 
 
 def entries(raw: DataFrame, everything: bool = False) -> DataFrame:
-    """Raw entries with link and title, or all of them, their summary as text and the first date that parses."""
+    """Raw entries with link and title, or all that say anything, their summary as text and the first date that parses."""
     title, summary = F.trim("title"), html_to_text(F.coalesce(blank_null(F.col("summary")), blank_null(F.col("description"))))
     when = F.coalesce(timestamp_of(F.coalesce("published", "pubDate")), timestamp_of(F.col("updated")))
-    some = raw if everything else raw.filter(usable(F.col("link"), F.col("title")))
+    said = F.coalesce("link", "title", "summary", "description", "pubDate", "published", "updated").isNotNull()
+    some = raw.filter(said if everything else usable(F.col("link"), F.col("title")))
     return some.select("source_slug", "source_ord", "entry_ord", F.trim("link").alias("url"), title.alias("title"), summary.alias("summary"), "author", "lang", when.alias("published_at"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstream.operators import store
 from quillstream.plans import daily
+from quillstream.sources import feeds
 
 NOW = dt.datetime(2026, 1, 5, 7)
 RULES = daily.Rules({"civic": ["parliament", "vote"], "foreign": ["ukraine", "nato"], "tech": ["chip", "model"], "domestic": ["sofia", "bulgaria"]}, ["/sport"], ["football"], lambda c: F.lower(c))
@@ -96,3 +97,24 @@ def test_command_line(capsys, sf):
     assert main(["queries"]) == 0 and "lineage" in capsys.readouterr().out
     assert main(["sql", "lineage"]) == 0 and "RECURSIVE" in capsys.readouterr().out
     assert main(["run", "none", sf]) == 1 and main(["run", "run_stats", sf]) == 0 and "fetched" in capsys.readouterr().out
+
+
+def test_raw_entries_are_capped_before_they_are_judged(spark):
+    old = NOW - dt.timedelta(hours=40)
+    rows = [("s", 0, i, f"http://s/{i}" if i != 70 else "", f"T{i}", "x", "en", old if i < 60 else NOW) for i in range(120)]
+    got = sorted(r.entry_ord for r in daily.taken(spark.createDataFrame(rows, ENTRY), F.lit(NOW)).collect())
+    assert got == [i for i in range(60, 80) if i != 70]
+
+
+def test_a_dead_feed_does_not_end_the_run(spark, tmp_path):
+    p = tmp_path / "f.xml"
+    p.write_text("<rss><channel><item><title>T</title><link>http://a/1</link></item><item><title></title><link>http://a/2</link></item></channel></rss>")
+    (tmp_path / "empty.xml").write_text("not a feed")
+    specs = [{"slug": "a", "path": str(p)}, {"slug": "gone", "path": str(tmp_path / "none.xml")}, {"slug": "odd", "path": str(tmp_path / "empty.xml")}, {"slug": "off", "path": "x", "enabled": False}]
+    got, probes = feeds.fetch_feeds(spark, specs)
+    assert [(r.source_slug, r.url) for r in got.collect()] == [("a", "http://a/1")]
+    assert {r.slug: bool(r.error) for r in probes.collect()} == {"a": False, "gone": True, "odd": False}
+    assert feeds.fetch_feeds(spark, specs, everything=True)[0].count() == 2
+    known = spark.createDataFrame([(x["slug"], x.get("enabled", True)) for x in specs], "slug string, enabled boolean")
+    assert {r.slug: r.status for r in feeds.feed_health(known, got, probes).collect()} == {"a": "ok", "gone": "FAIL", "odd": "DEAD", "off": "skip"}
+    assert feeds.fetch_feeds(spark, [])[0].count() == 0
