@@ -1,11 +1,12 @@
-"""python -m quillstream queries | run NAME DIR [--rows N] | sql NAME | health DIR"""
+"""python -m quillstream queries | run NAME DIR [--rows N] | sql NAME | health DIR | ingest BASE --feeds FILE --rules FILE"""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
-from quillstream.plans import catalogue
+from quillstream.plans import catalogue, runs
 from quillstream.plans.adapters import articles, registry
 from quillstream.session import session
 from quillstream.sources import feeds
@@ -22,7 +23,20 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--rows", type=int, default=20)
     verbs.add_parser("sql", help="a query's SQL").add_argument("name")
     verbs.add_parser("health", help="state of the feeds").add_argument("folder")
+    take = verbs.add_parser("ingest", help="fetch, classify and cluster what feeds have, and store it below a folder")
+    take.add_argument("base")
+    take.add_argument("--feeds", required=True, help="JSON list of feeds: slug, path, row_tag, lang, enabled, name, lean, reliability, weight, categories")
+    take.add_argument("--rules", required=True, help="JSON object: vocab, segments, noise, lexicon, letters")
     args = parser.parse_args(argv)
+    if args.verb == "ingest":
+        with open(args.feeds, encoding="utf-8") as f, open(args.rules, encoding="utf-8") as r:
+            done = runs.ingest(session(), args.base, json.load(f), runs.rules_of(r.read()))
+        print(json.dumps({row.stat: row.value for row in done["stats"].collect()} | {f"new {k}": v for k, v in done["inserted"].items()}, indent=2))
+        for row in done["probes"].filter("error is not null").collect():
+            print(f"FAIL {row.slug}: {row.error}")
+        for row in done["preview"].orderBy("category", "rank").collect():
+            print(f"{row.category} {row.rank}. [{row.source_count} sources] {row.headline}")
+        return 0
     if args.verb == "queries":
         print("\n".join(sorted(catalogue.QUERIES)))
         return 0

@@ -118,3 +118,25 @@ def test_a_dead_feed_does_not_end_the_run(spark, tmp_path):
     known = spark.createDataFrame([(x["slug"], x.get("enabled", True)) for x in specs], "slug string, enabled boolean")
     assert {r.slug: r.status for r in feeds.feed_health(known, got, probes).collect()} == {"a": "ok", "gone": "FAIL", "odd": "DEAD", "off": "skip"}
     assert feeds.fetch_feeds(spark, [])[0].count() == 0
+
+
+def test_ingest_is_a_run_over_stored_tables(spark, tmp_path):
+    from quillstream.operators.warehouse import Warehouse
+    from quillstream.plans import runs
+
+    item = lambda url, title: f"<item><title>{title}</title><link>{url}</link><pubDate>Mon, 05 Jan 2026 06:00:00 GMT</pubDate></item>"
+    (tmp_path / "a.xml").write_text(f"<rss><channel>{item('http://a/1', 'Parliament in Sofia passes budget law')}{item('http://a/2', 'New chip model ships')}</channel></rss>")
+    specs = [{"slug": "a", "path": str(tmp_path / "a.xml"), "lang": "bg"}, {"slug": "b", "path": str(tmp_path / "b.xml"), "lang": "bg"}]
+    rules = runs.rules_of('{"vocab": {"civic": ["parliament"], "foreign": ["nato"], "tech": ["chip"], "domestic": ["sofia"]}}')
+    base = str(tmp_path / "w")
+    one = runs.ingest(spark, base, specs, rules, F.lit(NOW))
+    assert one["inserted"] == {"sources": 2, "clusters": 2, "articles": 2}
+    assert {(r.category, r["rank"], r.headline) for r in one["preview"].collect()} == {("bg_politics", 1, "Parliament in Sofia passes budget law"), ("ai_tech_business", 1, "New chip model ships")}
+    assert {r.slug: r.error is None for r in one["probes"].collect()} == {"a": True, "b": False}
+    (tmp_path / "b.xml").write_text(f"<rss><channel>{item('http://b/1', 'Parliament in Sofia passes budget law late')}</channel></rss>")
+    two = runs.ingest(spark, base, specs, rules, F.lit(NOW))
+    assert two["inserted"] == {"sources": 0, "clusters": 1, "articles": 1}
+    w = Warehouse(spark, base)
+    assert w.version() == 2 and w.read("articles").count() == 3
+    story = {r.url: r.cluster_key for r in w.read("articles").collect()}
+    assert story["http://a/1"] == story["http://b/1"] != story["http://a/2"]
