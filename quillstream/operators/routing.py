@@ -80,3 +80,14 @@ def with_registry(df: DataFrame, registry: DataFrame, slug: str = "source_slug")
     r = registry.select(F.col("slug").alias(slug), "name", "lean", "reliability", "weight", F.lit(True).alias("known"))
     out = df.join(r, slug, "left")
     return out.withColumns({"name": F.coalesce("name", slug), "lean": F.coalesce("lean", F.lit("unknown")), "reliability": F.coalesce("reliability", F.lit("medium")), "weight": F.coalesce("weight", F.lit(1.0)), "known": F.coalesce("known", F.lit(False))})
+
+
+def from_known_sources(df: DataFrame, registry: DataFrame, slug: str = "source_slug") -> DataFrame:
+    """Rows of registered sources, with what the registry says of them; rows of others are skipped."""
+    return with_registry(df, registry, slug).filter("known")
+
+
+def vocabulary_union(*vocabularies: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Vocabularies joined by name: each term once, in lower case, by name."""
+    names = {k for v in vocabularies for k in v}
+    return {k: sorted({t.strip().lower() for v in vocabularies for t in v.get(k, [])} - {""}) for k in sorted(names)}

@@ -89,3 +89,19 @@ def test_contract_schema():
     got = store.contract_schema(t)
     assert got["required"] == ["a"] and got["additionalProperties"] is False
     assert got["properties"] == {"a": {"type": "array", "items": {"type": "integer"}}, "b": {"type": "string", "format": "date"}, "c": {"type": "object", "additionalProperties": {"type": "number"}}, "d": {"type": "boolean"}}
+
+
+def test_bars_minutes_and_small_parts(spark):
+    import datetime as dt
+
+    from quillstream.operators import routing, stories
+
+    rows = [(0.0,), (None,), (0.04,), (-0.55,), (1.0,)]
+    got = [r.b for r in spark.createDataFrame(rows, "v double").select(D.bar(F.col("v")).alias("b")).collect()]
+    assert got == ["▪️", "▪️", "🟩", "🟥" * 5, "🟩" * 10]
+    one = spark.createDataFrame([(dt.datetime(2026, 1, 5, 7, 3, 59), 10, -1)], "t timestamp, a long, b long")
+    r = one.select(D.minute(F.col("t")).alias("m"), stories.simhash_hex(F.col("a")).alias("a"), stories.simhash_hex(F.col("b")).alias("b")).first()
+    assert tuple(r) == ("2026-01-05 07:03 UTC", "0" * 15 + "a", "f" * 16)
+    registry = spark.createDataFrame([("x", "X", "left", "high", 2.0)], "slug string, name string, lean string, reliability string, weight double")
+    assert [tuple(r) for r in routing.from_known_sources(spark.createDataFrame([("x",), ("y",), (None,)], "source_slug string"), registry).select("source_slug", "name").collect()] == [("x", "X")]
+    assert routing.vocabulary_union({"a": ["B", "c "]}, {"a": ["b", ""], "d": []}) == {"a": ["b", "c"], "d": []}
