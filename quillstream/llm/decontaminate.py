@@ -8,6 +8,10 @@ text position less item position); there the tokens are compared, and an overlap
 `least_item` tokens would match half a corpus and match nothing; `short_items` lists them. Where one hash has many places
 in a text and in an item, as in runs of one word, all diagonals between the outermost are taken instead of all pairs.
 
+No overlap is missed. A stretch of twice `min_tokens` or more has a part that is one too, so only shorter ones matter, and
+of these only such as hold no shorter one. Their differing tokens all lie in a middle part (`stretch_masks`), so the two
+ends are equal; what ends alone don't fix, parts of the middle do, one of which is free of differing tokens.
+
 Items are sent to the tasks in blocks of a bounded size; a larger test set takes several passes. Texts aren't shuffled.
 """
 
@@ -24,9 +28,11 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import map_batches, pack
 
-#: Masks of six ones, for items of `min_tokens` or more; shorter ones have `whole_masks`. Under the first two, any two substitutions in 13 tokens leave a hit; the third meets every fifth.
-MASKS = ("111111", "11001010011", "1111011")
-BLOCK_CHARS = 8_000_000
+#: Under one of these masks of six ones, any two substitutions in 13 tokens leave a hit.
+MASKS = ("111111", "11001010011")
+#: Ones that a mask has at least, so that chance hits are rare.
+_ONES = 6
+BLOCK_CHARS = 4_000_000
 _TEXT_BYTES = 1 << 18
 #: Pairs of places of one hash in one text and the items beyond which diagonals are taken as an interval.
 _MANY = 4096
@@ -85,12 +91,44 @@ def stretch(equal: np.ndarray, least: int, identity: float) -> tuple[int, int]:
     return best if best[1] >= least else (0, 0)
 
 
+def allowed(n: int, identity: float) -> int:
+    """Differing tokens that an overlap of n tokens may have."""
+    return n - math.ceil(n * identity - 1e-9)
+
+
+def parted_masks(n: int, most: int, ends: int = 0, free: int = 2) -> list[str]:
+    """Masks over n places of which `most` may differ, but none of the first and last `ends`: one of them has no such place
+    under its ones. The middle falls into `free` parts more than may differ, and each mask takes all ends and `free` parts."""
+    middle = n - 2 * ends
+    part = [i * (most + free) // middle for i in range(middle)]
+    masks = {"1" * ends + "".join("1" if p in kept else "0" for p in part) + "1" * ends for kept in combinations(range(most + free), free)}
+    return sorted(masks)
+
+
 def whole_masks(n: int, identity: float) -> list[str]:
-    """Masks over a whole item of n tokens, one of which any match of that identity leaves as it is: the item falls into
-    two parts more than it may have substitutions, and each mask leaves out as many parts as that."""
-    most = n - math.ceil(n * identity - 1e-9)
-    part = [i * (most + 2) // n for i in range(n)]
-    masks = {"".join("0" if p in out else "1" for p in part) for out in combinations(range(most + 2), most)}
+    """Masks over a whole item of n tokens, one of which any match of that identity leaves as it is."""
+    return parted_masks(n, allowed(n, identity))
+
+
+def stretch_masks(min_tokens: int, identity: float) -> list[str]:
+    """Masks of which one hits every stretch of at least `min_tokens` tokens with that identity.
+
+    Take a stretch of n tokens, n < 2 * min_tokens, that holds no shorter one, with as many differing tokens as n allows.
+    If p is the least length that allows one fewer, the first p tokens and the last p ones hold all of them: so they lie
+    between n - p and p, and n - p tokens at either end are equal. Where a token fewer allows as many, the stretch holds a
+    shorter one. Ends with fewer than `_ONES` tokens are completed by parts of the middle.
+    """
+    most = allowed(min_tokens, identity)
+    masks = set(MASKS) if min_tokens >= 13 and most <= 2 else set(whole_masks(min_tokens, identity))
+    for n in range(min_tokens + 1, 2 * min_tokens):
+        t = allowed(n, identity)
+        if t == allowed(n - 1, identity):
+            continue
+        p = next(m for m in range(min_tokens, n) if allowed(m, identity) == t - 1)
+        ends, free = n - p, 0
+        while free < n - 2 * ends and 2 * ends + free * ((n - 2 * ends) // (t + free or 1)) < _ONES:
+            free += 1
+        masks |= set(parted_masks(n, t, ends, free)) if free else {"1" * ends + "0" * (n - 2 * ends) + "1" * ends}
     return sorted(masks)
 
 
@@ -107,8 +145,8 @@ class Items:
             self.tok, who = self.tok[keep], who[keep]
             self.first = np.searchsorted(who, np.arange(len(ids) + 1))
             size = np.diff(self.first)
-        short = {m for n in np.unique(size).tolist() if 0 < n < min_tokens for m in whole_masks(n, identity)} - set(MASKS)
-        self.masks = [*MASKS, *sorted(short)]
+        short = {m for n in np.unique(size).tolist() if 0 < n < min_tokens for m in whole_masks(n, identity)} - (long := set(stretch_masks(min_tokens, identity)))
+        self.masks = sorted(long) + sorted(short)
         hs, places = [], []
         for m in self.masks:
             h, at = seeds(self.tok, who, m)
@@ -118,8 +156,9 @@ class Items:
             hs.append(h), places.append(at)
         h, place = np.concatenate(hs), np.concatenate(places)
         order = np.argsort(h, kind="stable")
-        self.hash, self.place, self.item = h[order], place[order], who[place[order]]
-        self.bits = max(16, int(len(h) * 16).bit_length())
+        self.hash, self.place = h[order], place[order].astype(np.int32)
+        self.item = who[self.place].astype(np.int32)
+        self.bits = max(16, int(len(h) * 8).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
