@@ -202,7 +202,7 @@ def test_decontamination_is_brute_force(spark):
     docs = {}
     for d in range(40):
         y = rng.choice(list(items.values())).split()
-        for at in rng.sample(range(len(y)), rng.randint(0, len(y) // 5 + 1)):
+        for at in rng.sample(range(len(y)), rng.randint(0, min(len(y), len(y) // 5 + 1))):
             y[at] = "other"
         docs[d] = " ".join([words(rng, 20), *y, words(rng, 20)])
     docs |= {90: "", 91: items[5]}
