@@ -102,10 +102,10 @@ def digest(ingested: dict[str, DataFrame], analyses: DataFrame, registry: DataFr
 TOLD = {"what_happened": "string", "why_it_matters": "string", "uncertainty": "string", "contrarian_read": "string", "framing": "array<string>", "claims": "array<struct<status:string,text:string>>"}
 
 
-def publish(ingested: dict[str, DataFrame], day: dict[str, DataFrame], registry: DataFrame, titles: dict[str, str], heading: str, compact: bool = True, refs: int = 6) -> dict[str, DataFrame]:
+def publish(ingested: dict[str, DataFrame], day: dict[str, DataFrame], registry: DataFrame, titles: dict[str, str], heading: str, compact: bool = True, refs: int = 6, wording: dict[str, str] = {}) -> dict[str, DataFrame]:
     """Chat messages (digest_date, category, seq, message) and Markdown notes (digest_date, note) of a digest.
 
-    titles: what each category is headed by. A story shows its first articles, so that a large one is never gathered.
+    titles: what each category is headed by; wording: what lines are headed by (see `render`). A story shows its first articles, so that a large one is never gathered.
     """
     picked = day["items"].select("key").distinct()
     first = routing.top_per(ingested["members"].join(picked, "key", "left_semi"), ["key"], [F.col("ordinal")], refs, "_n")
@@ -114,9 +114,9 @@ def publish(ingested: dict[str, DataFrame], day: dict[str, DataFrame], registry:
     each = shown.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", ref.alias("ref")))), lambda x: x["ref"]).alias("refs"))
     items = day["items"].join(each, "key", "left")
     items = written(items.withColumns({c: F.lit(None).cast(t) for c, t in TOLD.items() if c not in items.columns}), "told")
-    messages = render.category_messages(items, titles, compact)
+    messages = render.category_messages(items, titles, compact, wording=wording)
     place = F.array_position(F.array(*map(F.lit, titles)), F.col("category"))
-    section = items.select("digest_date", "category", place.alias("place"), "rank", render.story_note(F.struct(*items.columns)).alias("text"))
+    section = items.select("digest_date", "category", place.alias("place"), "rank", render.story_note(F.struct(*items.columns), wording).alias("text"))
     parts = section.groupBy("digest_date", "place", "category").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("all"))
     title = F.element_at(F.create_map(*[F.lit(x) for p in titles.items() for x in p]), F.col("category"))
     part = F.concat(F.lit("## "), title, F.lit("\n\n"), F.array_join(F.transform("all", lambda x: x["text"]), "\n\n"))

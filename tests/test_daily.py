@@ -69,8 +69,8 @@ def test_a_day(spark):
     assert (stats["stories"], stats["erosion_stories"], stats["net_direction"]) == (2.0, 2.0, -1.0)
     out = daily.publish(done, day, registry(spark), {c: c.title() for c in daily.CATEGORIES}, "Digest")
     said = {r.category: r.message for r in out["messages"].collect()}
-    assert "No story" in said["ai_tech_business"] and said["bg_politics"].startswith("Bg_Politics\n\n<b>1. Parliament in Sofia")
-    assert '<a href="http://a/1">A</a> · <a href="http://b/1">B</a>' in said["bg_politics"] and "🔻 <i>Democracy: erosion — rule of law · significance 0.8</i>" in said["bg_politics"]
+    assert "No stories" in said["ai_tech_business"] and said["bg_politics"].startswith("Bg_Politics\n\n<b>1. Parliament in Sofia")
+    assert '<a href="http://a/1">A</a>, <a href="http://b/1">B</a>' in said["bg_politics"] and "🔻 <i>Direction:</i> erosion; rule of law; Significance: 0.8" in said["bg_politics"]
     note = out["notes"].first()
     assert str(note.digest_date) == "2026-01-05" and "tags: [digest, topic/law]" in note.note and note.note.endswith("Previous: [[2026-01-04 — Digest]]\n")
     assert note.note.index("## Bg_Politics") < note.note.index("## Global_Politics")

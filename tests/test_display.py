@@ -25,32 +25,34 @@ def test_story_message(spark):
     s = F.struct(*df.columns)
     short, bare = [r.m for r in df.orderBy("rank").select(render.story_message(s).alias("m")).collect()]
     link = '<a href="http://n/?a=1&amp;b">N</a>'
-    assert short == "<b>1. A &lt;b&gt;</b>\nIt &amp; that\n🔻 <i>Democracy: erosion — rule of law, media freedom · significance 0.8</i>\n🔗 " + " · ".join([link] * 4)
-    assert bare == "<b>2. B</b>\n🔗 "
+    assert short == "<b>1. A &lt;b&gt;</b>\nIt &amp; that\n🔻 <i>Direction:</i> erosion; rule of law, media freedom; Significance: 0.8\n<i>Refs:</i> " + ", ".join([link] * 4)
+    assert bare == "<b>2. B</b>"
     long = df.filter("rank = 1").select(render.story_message(s, compact=False).alias("m")).first().m
-    assert "Why it matters:</i> Because" in long and "f1; f2; f3" in long and "f4" not in long and "Unknown:</i> Who" in long
+    assert "Why it matters:</i> Because" in long and "f1; f2; f3" in long and "f4" not in long and "Uncertainty:</i> Who" in long
+    said = df.filter("rank = 1").select(render.story_message(s, False, {"uncertainty": "Open 100%", "refs": "See"}).alias("m")).first().m
+    assert "<i>Open 100%:</i> Who" in said and "<i>See:</i> <a" in said
 
 
 def test_category_messages(spark):
     rows = render.category_messages(stories(spark), {"a": "T", "b": "U"}).orderBy("category").collect()
     assert [(r.category, r.seq) for r in rows] == [("a", 0), ("b", 0)]
-    assert rows[0].message.startswith("T\n\n<b>1.") and rows[1].message == "U\n<i>No story cleared the bar today.</i>"
+    assert rows[0].message.startswith("T\n\n<b>1.") and rows[1].message == "U\n<i>No stories.</i>"
 
 
 def test_header_and_deep_dive(spark):
     stats = F.create_map(F.lit("fetched"), F.lit(420.0), F.lit("net_direction"), F.lit(0.5))
-    assert one(spark, render.header_message("D", F.lit("2026-01-02"), F.lit("n<"), stats)) == "📰 <b>D — 2026-01-02</b>\n\n<i>n&lt;</i>\n\n<code>420 articles → 0 stories → 9 selected · democracy net +0.50</code>"
+    assert one(spark, render.header_message("D", F.lit("2026-01-02"), F.lit("n<"), stats)) == "<b>D — 2026-01-02</b>\n\n<i>n&lt;</i>\n\n<code>Fetched: 420, Clusters: 0, Net direction: +0.50</code>"
     d = spark.createDataFrame([("T", "S", "B", "", None, "P", [("x", 0.25, "d")], ["w"], "C", 0.6)], "title string, executive_summary string, background string, mechanisms string, democracy_analysis string, comparative_precedent string, scenarios array<struct<name:string,probability:double,description:string>>, what_to_watch array<string>, counterargument string, confidence double")
     blocks = d.select(render.deep_dive_blocks(F.struct(*d.columns)).alias("b")).first().b
-    assert blocks == ["🔍 <b>Deep dive — T</b>\n\nS", "<b>How we got here</b>\nB", "<b>Precedent</b>\nP", "<b>Scenarios</b>\n• <b>x</b> (25%) — d", "<b>What to watch</b>\n• w", "<b>Counterargument</b>\n<i>C</i>\n\n<code>confidence 60%</code>"]
+    assert blocks == ["<b>T</b>\n\nS", "<b>Background</b>\nB", "<b>Comparative precedent</b>\nP", "<b>Scenarios</b>\n• x (25%): d", "<b>What to watch</b>\n• w", "<b>Counterargument</b>\nC", "<b>Confidence</b>\n60%"]
 
 
 def test_notes(spark, tmp_path):
     df = stories(spark)
     full, bare = [r.n for r in df.orderBy("rank").select(render.story_note(F.struct(*df.columns)).alias("n")).collect()]
-    assert "> [!warning] Democracy: erosion (significance 0.75)\n> - **rule of law** -1 — why _(confidence 80%)_" in full
-    assert "- `contested` Said" in full and "[[E]]" in full and "`left/high`" in full and "said → **0.500**" in full
-    assert bare == "### 2. B\n\n**Sources.** \n\n<sub>selection:  → **0.250**</sub>"
+    assert "> **Direction:** erosion; Significance: 0.75\n> - rule of law -1 (80%): why" in full
+    assert "- `contested` Said" in full and "[[E]]" in full and "(left, high)" in full and "**Total:** 0.500 (said)" in full
+    assert bare == "### 2. B\n\n**Total:** 0.250"
     notes = lambda rows: spark.createDataFrame(rows, "digest_date string, note string")
     render.write_notes(notes([("2026-01-01", "a"), ("2026-01-02", "b")]), str(tmp_path / "n"))
     render.write_notes(notes([("2026-01-02", "c\nd")]), str(tmp_path / "n"))
