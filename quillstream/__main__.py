@@ -1,4 +1,5 @@
-"""python -m quillstream queries | run NAME DIR [--rows N] | sql NAME | health DIR | ingest BASE --feeds FILE --rules FILE"""
+"""python -m quillstream queries | run NAME DIR [--rows N] | sql NAME | health DIR | ingest BASE --feeds FILE --rules FILE
+| record BASE --analyses FILE | build BASE --date DATE [--title CATEGORY=TITLE] [--heading TEXT] [--hours N] | show BASE [--date DATE]"""
 
 from __future__ import annotations
 
@@ -7,13 +8,14 @@ import json
 import sys
 
 from quillstream.plans import catalogue, runs
+from quillstream.plans.daily import CATEGORIES
 from quillstream.plans.adapters import articles, registry
 from quillstream.session import session
 from quillstream.sources import feeds
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Exit status: 0, or 1 for an unknown query and for feeds without entries."""
+    """Exit status: 0, or 1 for an unknown query, feeds without entries and a digest that isn't there."""
     parser = argparse.ArgumentParser(prog="quillstream")
     verbs = parser.add_subparsers(dest="verb", required=True)
     verbs.add_parser("queries", help="names of the queries")
@@ -27,6 +29,18 @@ def main(argv: list[str] | None = None) -> int:
     take.add_argument("base")
     take.add_argument("--feeds", required=True, help="JSON list of feeds: slug, path, row_tag, lang, enabled, name, lean, reliability, weight, categories")
     take.add_argument("--rules", required=True, help="JSON object: vocab, segments, noise, lexicon, letters")
+    note = verbs.add_parser("record", help="store analyses of stories")
+    note.add_argument("base")
+    note.add_argument("--analyses", required=True, help="JSON lines: cluster_key and what is said of it")
+    make = verbs.add_parser("build", help="select and render the digest of a day")
+    make.add_argument("base")
+    make.add_argument("--date", required=True, help="yyyy-mm-dd")
+    make.add_argument("--title", action="append", default=[], help="CATEGORY=TITLE, once for each category that is to be shown")
+    make.add_argument("--heading", default="Digest")
+    make.add_argument("--hours", type=int)
+    look = verbs.add_parser("show", help="the messages of a digest, the latest by default")
+    look.add_argument("base")
+    look.add_argument("--date")
     args = parser.parse_args(argv)
     if args.verb == "ingest":
         with open(args.feeds, encoding="utf-8") as f, open(args.rules, encoding="utf-8") as r:
@@ -37,6 +51,19 @@ def main(argv: list[str] | None = None) -> int:
         for row in done["preview"].orderBy("category", "rank").collect():
             print(f"{row.category} {row.rank}. [{row.source_count} sources] {row.headline}")
         return 0
+    if args.verb == "record":
+        spark = session()
+        print(f"new analyses: {runs.record(spark, args.base, spark.read.schema(runs.ANALYSIS).json(args.analyses))}")
+        return 0
+    if args.verb in ("build", "show"):
+        if args.verb == "build":
+            titles = dict(t.split("=", 1) for t in args.title) or {c: c.replace("_", " ").capitalize() for c in CATEGORIES}
+            said = runs.build(session(), args.base, args.date, titles, args.heading, hours=args.hours)
+        else:
+            said = runs.show(session(), args.base, args.date)
+        rows = said.orderBy("category", "seq").collect()  # nine stories at most
+        print("\n\n".join(r.message for r in rows) or "no digest")
+        return int(not rows)
     if args.verb == "queries":
         print("\n".join(sorted(catalogue.QUERIES)))
         return 0

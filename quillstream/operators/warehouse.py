@@ -113,7 +113,7 @@ class Run:
     def __init__(self, warehouse: Warehouse) -> None:
         self.warehouse, self.id = warehouse, uuid.uuid4().hex[:12]
         self.began = warehouse.version()
-        self.tables = warehouse.manifest(self.began)
+        self.tables = self._was = warehouse.manifest(self.began)
         self.counts: dict[str, dict[str, int]] = {}
 
     def read(self, name: str) -> DataFrame:
@@ -154,6 +154,8 @@ class Run:
         self.tables = {**self.tables, name: {"by": by, "buckets": buckets, "keys": keys, "schema": json.loads(schema.json()), "parts": parts}}
 
     def _commit(self) -> None:
+        if self.tables is self._was:  # nothing was changed
+            return
         w, jvm = self.warehouse, self.warehouse.spark._jvm
         staged = w._path(f"{w.base}/_manifests/staged-{self.id}")
         out = w._fs.create(staged, True)

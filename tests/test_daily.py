@@ -1,6 +1,7 @@
 """The two daily plans end to end, on a hand-made day."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -140,3 +141,24 @@ def test_ingest_is_a_run_over_stored_tables(spark, tmp_path):
     assert w.version() == 2 and w.read("articles").count() == 3
     story = {r.url: r.cluster_key for r in w.read("articles").collect()}
     assert story["http://a/1"] == story["http://b/1"] != story["http://a/2"]
+    analyses = [{"cluster_key": k, "created_at": f"2026-01-05T0{hour}:00:00Z", "headline": said, "relevant": True, "significance": 0.8, "net_direction": -1, "novelty": 0.2, "credibility": 0.8, "impact_scope": 0.6, "source_diversity": 0.7, "tags": ["law"], "what_happened": said, "impacts": [{"dimension": "rule_of_law", "direction": -1, "confidence": 0.7, "rationale": "w"}]} for k, hour, said in ((story["http://a/1"], 8, "late word"), (story["http://a/1"], 7, "early word"), (story["http://a/2"], 7, "chips"), ("unknown", 7, "no"))]
+    (tmp_path / "said.json").write_text("\n".join(json.dumps(a) for a in analyses))
+    said = spark.read.schema(runs.ANALYSIS).json(str(tmp_path / "said.json"))
+    assert runs.build(spark, base, "2026-01-05", {"bg_politics": "B"}, "D").count() == 0 and w.version() == 2
+    assert runs.record(spark, base, said) == 2 and runs.record(spark, base, said) == 0
+    assert {r.headline for r in w.read("analyses").collect()} == {"late word", "chips"}
+    titles = {"bg_politics": "B", "ai_tech_business": "T"}
+    first = {r.category: r.message for r in runs.build(spark, base, "2026-01-05", titles, "D").collect()}
+    assert "late word" in first["bg_politics"] and "chips" in first["ai_tech_business"]
+    version = w.version()
+    assert runs.build(spark, base, "2026-01-20", titles, "D").count() == 0 and w.version() == version
+    again = {r.category: r.message for r in runs.build(spark, base, "2026-01-05", titles, "D").collect()}
+    assert again == first and w.version() == version + 1 and w.read("items").count() == 2 and w.read("notes").count() == 1
+    digest = w.read("digests").first()
+    assert (digest.stats["stories"], digest.stats["fetched"]) == (2.0, 3.0) and digest.deep_dive_key in story.values()
+    next_day = runs.build(spark, base, "2026-01-06", titles, "D", hours=72)
+    assert {str(r.digest_date) for r in next_day.collect()} == {"2026-01-06"} and w.read("digests").count() == 2
+    was, now = ({r.key: r.penalty for r in w.read("items").filter(f"digest_date = '{d}'").collect()} for d in ("2026-01-05", "2026-01-06"))
+    assert all(now[k] > was[k] for k in was)  # each ran the day before
+    assert runs.show(spark, base).join(next_day.select("category"), "category").count() == 2 and runs.show(spark, base, "2026-01-05").count() == 2
+    assert runs.show(spark, base, "nonsense").count() == 0 and runs.show(spark, str(tmp_path / "none")).count() == 0
