@@ -92,11 +92,13 @@ def test_resume(spark):
     assert {r.key: r.said for r in again.collect()}["3"] == "late"
 
 
-def test_command_line(capsys, sf):
+def test_command_line(capsys, sf, tmp_path):
     from quillstream.__main__ import main
 
     assert main(["queries"]) == 0 and "lineage" in capsys.readouterr().out
     assert main(["sql", "lineage"]) == 0 and "RECURSIVE" in capsys.readouterr().out
+    assert main(["show", str(tmp_path / "w")]) == 1 and "no digest" in capsys.readouterr().out
+    assert main(["build", str(tmp_path / "w"), "--date", "2026-01-05"]) == 1 and "no digest" in capsys.readouterr().out
     assert main(["run", "none", sf]) == 1 and main(["run", "run_stats", sf]) == 0 and "fetched" in capsys.readouterr().out
 
 
