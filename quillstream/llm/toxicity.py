@@ -17,6 +17,7 @@ clean ones beyond it differ most, in the widest gap there; a logistic curve thro
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -327,8 +328,9 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
 
 
 def fit(labelled: DataFrame, label_col: str, text_col: str = "text", max_toxic: int = 800, max_clean: int = 1600, **options) -> Model:
-    """Fit on at most max_toxic rows labelled 1 and max_clean labelled 0, chosen by a hash of their text. Their distinct
-    units come to the driver, those of whole texts. Rows without a label don't count."""
+    """Fit on at most max_toxic rows labelled 1 and max_clean labelled 0, chosen by a hash of their text. Rows without a
+    label don't count. Units of whole texts are found where the rows are; those of the sample, bounded whatever the table,
+    meet in one task that learns, and only the weights come to the driver."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = labelled.select(F.xxhash64(text).alias("h"), F.col(f"`{label_col}`").cast("int").alias("y"), text.alias("text"))
 
@@ -336,14 +338,17 @@ def fit(labelled: DataFrame, label_col: str, text_col: str = "text", max_toxic:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(units(t))) for t in batch.column(1).to_pylist()], pa.string())], names=["y", "u"])
 
-    documents: list[tuple[set[str], int]] = []
-    shared: dict[str, str] = {}
-    for label, most in ((1, max_toxic), (0, max_clean)):
-        some = rows.filter(F.col("y") == label).orderBy("h").limit(most).select("y", "text").repartition(partitions(labelled.sparkSession))
-        rows_of = sorted((r.u, r.y) for r in map_batches(some, run, "y int, u string").collect())
-        documents += [({shared.setdefault(x, x) for x in u.split()}, y) for u, y in rows_of]
-    del shared, rows_of
-    return train(documents, **options)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = sorted((-y, u) for batch in batches for y, u in zip(*(c.to_pylist() for c in batch.columns)))
+        shared: dict[str, str] = {}
+        documents = [({shared.setdefault(x, x) for x in u.split()}, -y) for y, u in rows_of]
+        del shared, rows_of
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(documents, **options))], pa.binary())], names=["model"])
+
+    toxic, clean = (rows.filter(F.col("y") == label).orderBy("h").limit(most).select("y", "text") for label, most in ((1, max_toxic), (0, max_clean)))
+    found = map_batches(toxic.unionByName(clean).repartition(partitions(labelled.sparkSession)), run, "y int, u string")
+    got = map_batches(found.repartition(1), learn, "model binary").collect()
+    return pickle.loads(got[0].model) if got else train([], **options)  # an empty table may have no task
 
 
 def _scored(model: Model, docs: DataFrame, text_col: str, least: float | None):

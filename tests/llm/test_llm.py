@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from itertools import combinations
@@ -544,6 +545,24 @@ def test_toxicity_edge_cases(spark):
     assert 0 <= toxicity.fit(df.limit(0), "label").score(["x", ""]).max() <= 1
 
 
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = [(" ".join([rng.choice(plain) for _ in range(20)] + (["idiot"] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, 0), ("no label", None)], "text string, label int")
+    got = toxicity.fit(df, "label", landmarks=24, negatives=100)
+    sample = sorted([(toxicity.units(t), y) for t, y in [*rows, ("", 0)]], key=lambda d: (-d[1], " ".join(sorted(d[0]))))
+    want = toxicity.train(sample, landmarks=24, negatives=100)
+    texts = ["an idiot", "an i.d.i.o.t", "", *plain[:20]]
+    assert np.allclose(got.score(texts), want.score(texts), atol=1e-3) and got.known == want.known and not toxicity.fit(df, "label").cache
+    # the driver's memory holds no sample: its process gets weights only
+    monkeypatch.setattr(toxicity, "train", lambda documents, **_: toxicity.Model(np.zeros(8, np.float32), float(os.getpid()), 1.0, float(len(documents))))
+    told = toxicity.fit(df, "label")
+    assert told.bias != os.getpid() and told.shift == 121
+    assert toxicity.fit(df, "label", max_toxic=10, max_clean=20).shift == 30
+    assert toxicity.fit(df.filter("label > 1"), "label").shift == 0
+
+
 def held_out_rates(spark, sf, name, label):
     rows = queries.QUERIES[name](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     rate = lambda y: np.mean([r.predicted == y for r in rows if r[label] == y])
