@@ -314,7 +314,10 @@ def train(documents: list[tuple[set[str], int]], landmarks: int = 256, rounds: i
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         weight = np.concatenate([np.sqrt(np.array(list(pos.values()), float)), np.full(len(neg), max(1.0, sum(map(math.sqrt, pos.values())) / len(neg)))])
         w, bias = svm(z, y, weight)
-        model = Model((axes @ w).astype(np.float32), bias, 1.0, 0.0, known)
+        # in blocks: a product with float64 copies its rows
+        weights = np.concatenate([axes[a : a + CODES**2] @ w for a in range(0, len(axes), CODES**2)]).astype(np.float32)
+        del axes, z, y, weight, neg
+        model = Model(weights, bias, 1.0, 0.0, known)
         scores = scored()
         if step + 1 < rounds:
             worst = sorted(clean_units, key=lambda u: -scores[u])[:3000]
