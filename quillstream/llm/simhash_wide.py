@@ -7,24 +7,27 @@ A text is the set of the 64-bit hashes of its five-word shingles; a shorter text
 2. Fingerprints of two sets of similarity 0.8 may differ in any number of bits, so an exact pass finds what the blocks
    miss: two sets of similarity s or more share one of the first n - ceil(s * n) + 1 shingles of both in any common order
    of all shingles (prefix filter). The order puts shingles that chunks of the corpus repeat last: it only decides how few
-   sets meet, not which links are found. Each member of a bucket is compared with the bucket's smallest; then, as links
-   (those of SimHash, too) are closed to components, only pairs whose components still differ.
-
-Candidates whose sketches (how many shingles fall in each of 128, then of 1,024 slots) differ by more than the sets may
-are dropped, in the bucket already where all pairs of it are gone through; that is exact too. Every other one is decided on the whole sets, made anew from the two texts: a text takes
-a quarter of the room of its set. So a group of near copies costs about its size. A bucket of more than CHUNK members is
-dealt out as pairs of its chunks. Texts of rows that surely stay are not shuffled at the end: a bit table of fixed size
-tells which rows may go.
+   sets meet, not which links are found. Each member of a bucket is compared with the bucket's smallest, and links (those
+   of SimHash, too) are closed to components. Then all pairs of a bucket whose components differ are gone through where
+   the bucket is; no pair leaves it, only a forest of those that may be similar. The trees of all buckets together are
+   closed to groups, a group's texts meet once, and its pairs are decided there, which again gives a forest. So what is
+   made and shuffled grows with the members of buckets and groups, not with their pairs.
+
+Candidates whose sketches (how many shingles fall in each of 128 to 1,024 slots, by the set's size, then of 1,024) differ
+by more than the sets may are dropped; that is exact too. Every other one is decided on the whole sets, made anew from the
+texts: a text takes a quarter of the room of its set. Buckets of the same members are one. A bucket of more than CHUNK
+members, and a group of more than ITEMS shingles, is dealt out as pairs of its chunks. Texts of rows that surely stay are
+not shuffled at the end: a bit table of fixed size tells which rows may go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import has_bit, map_batches, materialize, pack, partitions, rows_in, slots_of, utf8
@@ -32,7 +35,7 @@ from quillstream.llm.simhash import SEED, components
 from quillstream.llm.simhash import links as near_fingerprints
 
 SHINGLE = 5
-CHUNK = 1 << 12
+CHUNK, ITEMS = 1 << 12, 1 << 20
 #: A shingle that a chunk of so many repeats so often goes to the end of the order; at most MOST_COMMON do.
 SEEN, OFTEN, MOST_COMMON = 1 << 21, 3, 1 << 17
 _SLOTS = 1 << 24
@@ -61,10 +64,20 @@ def may_differ(both, similarity: float):
     return (1 - similarity) / (1 + similarity) * both + 1e-6
 
 
-def sketch(hs: np.ndarray, slots: int) -> bytes:
+def sketch(hs: np.ndarray, slots: int | None = None) -> bytes:
+    """How many shingles fall in each slot: a quarter as many slots as shingles or more, up to _FINER."""
+    if slots is None:
+        slots = _SKETCH
+        while slots < _FINER and 4 * slots <= len(hs):
+            slots *= 2
     return np.minimum(np.bincount((hs % np.uint64(slots)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
 
 
+def fold(sketch: bytes, slots: int) -> np.ndarray:
+    """A sketch of fewer slots."""
+    return np.frombuffer(sketch, np.uint8).reshape(-1, slots).sum(0, dtype=np.int16)
+
+
 def fingerprint(hs: np.ndarray) -> int:
     """Bits that more than half of the hashes have, as a signed long."""
     ones = np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -93,7 +106,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(xxhash.xxh64_intdigest(hs.tobytes(), SEED))
             sizes.append(len(hs))
             fps.append(fingerprint(hs))
-            sketches.append(sketch(hs, _SKETCH))
+            sketches.append(sketch(hs))
             held.append(hs)
             seen += len(hs)
             if seen > SEEN:
@@ -140,7 +153,8 @@ def _prefix(similarity: float, common: np.ndarray, often: np.ndarray):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and id those whose key occurs again, with the first of the bucket and its size."""
+    """Of rows sorted by key and id those whose key occurs again, with the first of the bucket and its size. A bucket is
+    named by a hash of its members: those of the same members are one."""
     parts: list[list[np.ndarray]] = []
 
     def out(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -150,8 +164,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(head, len(key)))
         of, m = np.repeat(head, size), np.repeat(size, size)
+        named = [xxhash.xxh64_intdigest(i[x : x + c].tobytes(), SEED) if c > 1 else 0 for x, c in zip(head.tolist(), size.tolist())]
         on = m > 1
-        return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (key, i, i[of], m)], names=["key", "id", "top", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (np.repeat(np.array(named, np.uint64).view(np.int64), size), i, i[of], m)], names=["key", "id", "top", "m"])
 
     for batch in batches:
         cols = [np.asarray(c) for c in batch.columns]
@@ -167,52 +182,122 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*parts)])
 
 
-def _apart(similarity: float, nearest: bool):
-    """Pairs of a cell (key, x, y) whose components differ and whose sketches don't exclude a link; of two chunks only
-    pairs across. With `nearest`, of each member's pairs with later ones only that whose sketches differ least. A task
-    says a pair once, as far as it remembers."""
+class _Sketches:
+    """Sketches of sets of n shingles, held in as many slots as they have and in fewer."""
+
+    def __init__(self, sketches: list[bytes], n: np.ndarray, similarity: float):
+        self.n, self.similarity = n, similarity
+        self.slots = np.array([len(s) for s in sketches])
+        self.held = {k: np.array([fold(s, k) if len(s) >= k else np.zeros(k, np.int16) for s in sketches]) for k in np.unique(self.slots).tolist()}
+
+    def near(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Those of `at` that k may be similar to."""
+        may = may_differ(self.n[at] + self.n[k], self.similarity)
+        ok = np.abs(self.n[at] - self.n[k]) <= may
+        at, may = at[ok], may[ok]
+        on = np.zeros(len(at), bool)
+        fewer = np.minimum(self.slots[at], self.slots[k])
+        for slots in np.unique(fewer).tolist():
+            here, some = np.flatnonzero(fewer == slots), self.held[slots]
+            on[here] = np.abs(some[at[here]] - some[k]).sum(1, dtype=np.int64) <= may[here]
+        return at[on]
+
+
+def _forest(label: np.ndarray, later: Callable[[int], np.ndarray], linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs (k, j) that join the labelled parts as all pairs do for which j is in later(k) and linked() holds; parts
+    are joined in `label`."""
+    for k in range(len(label) - 1):
+        at, step = later(k), 16
+        at = at[label[at] != label[k]]
+        while len(at):
+            some, at = at[:step], at[step:]
+            for j in linked(k, some).tolist():
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    yield k, j
+            at, step = at[label[at] != label[k]], min(2 * step, 1024)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], pairs: Callable[[list, list], Iterator[tuple[int, int]]], value: Callable) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell (first three columns; rows sorted by these and by id, the fourth), a pair once in a task as
+    far as it remembers. Of rows that repeat an id one counts; value() is what is held of the last column."""
+    said: set[tuple[int, int]] = set()
+    new: list[tuple[int, int]] = []
+    held_key, rows = None, []
+
+    def out() -> pa.RecordBatch:
+        if len(said) > _PAIRS:
+            said.clear()
+        u, v = zip(*new) if new else ((), ())
+        new.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len({r[1] for r in rows}) < 2:
+            return
+        for k, j in pairs(held_key, rows):
+            p = min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+            if p not in said:
+                said.add(p)
+                new.append(p)
+        if len(new) > 10_000:
+            yield out()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, rows = None, []
-        said: set[tuple[int, int]] = set()
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if len({r[1] for r in rows}) < 2:
-                return
-            i, label, mine, n = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
-            sk = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, _SKETCH).astype(np.int16)
-            new = []
-            for k in range(len(i) - 1):
-                ok = (label[k + 1 :] != label[k]) & (np.abs(n[k + 1 :] - n[k]) <= may_differ(n[k + 1 :] + n[k], similarity))
-                if held_key[1] != held_key[2]:
-                    ok &= mine[k + 1 :] != mine[k]
-                at = k + 1 + np.flatnonzero(ok)
-                found = []
-                for lo in range(0, len(at), 4096):
-                    some = at[lo : lo + 4096]
-                    differ = np.abs(sk[some] - sk[k]).sum(1, dtype=np.int64)
-                    near = differ <= may_differ(n[some] + n[k], similarity)
-                    found += zip(differ[near].tolist(), i[some[near]].tolist())
-                if nearest and found:
-                    found = [min(found)]
-                new += [p for _, o in found if (p := (min(o, rows[k][0]), max(o, rows[k][0]))) not in said]
-                if len(new) > _PAIRS or k == len(i) - 2:
-                    if len(said) > _PAIRS:
-                        said.clear()
-                    said.update(new)
-                    u, v = zip(*sorted(set(new))) if new else ((), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-                    new = []
+    for batch in batches:
+        last = batch.column(batch.num_columns - 1)
+        for at, (*key, i, label, mine, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:-1]))):
+            if key != held_key:
+                yield from done()
+                held_key, rows = key, []
+            if not rows or rows[-1][0] != i:
+                rows.append((i, label, mine, n, value(last[at].as_py())))
+    yield from done()
+    yield out()
 
-        for batch in batches:
-            for *key, i, label, mine, n, sk in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != held_key:
-                    yield from pairs()
-                    held_key, rows = key, []
-                rows.append((i, label, mine, n, sk))
-        yield from pairs()
 
-    return run
+def _across(key: list, label: np.ndarray, mine: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Later members of another label; in a cell of two chunks, of the other chunk."""
+
+    def later(k: int) -> np.ndarray:
+        ok = label[k + 1 :] != label[k]
+        if key[1] != key[2]:
+            ok &= mine[k + 1 :] != mine[k]
+        return k + 1 + np.flatnonzero(ok)
+
+    return later
+
+
+def _apart(similarity: float):
+    """A forest of the pairs of a cell (key, x, y) whose components differ and whose sketches don't exclude a link."""
+
+    def pairs(key: list, rows: list) -> Iterator[tuple[int, int]]:
+        label, mine, n = (np.array(c, np.int64) for c in list(zip(*rows))[1:4])
+        yield from _forest(np.arange(len(n)), _across(key, label, mine), _Sketches([r[4] for r in rows], n, similarity).near)
+
+    return lambda batches: _cells(batches, pairs, lambda sketch: sketch)
+
+
+def _joined(similarity: float):
+    """Links of a cell (root, x, y) of whole texts that join its components as all links do."""
+
+    def pairs(key: list, rows: list) -> Iterator[tuple[int, int]]:
+        label, mine, n = (np.array(c, np.int64) for c in list(zip(*rows))[1:4])
+        sets = [r[4] for r in rows]
+        sketches = _Sketches([sketch(x) for x in sets], n, similarity)
+
+        def linked(k: int, at: np.ndarray) -> np.ndarray:
+            at, on, x = sketches.near(k, at), [], sets[k]
+            for lo in range(0, len(at), 64):
+                some = at[lo : lo + 64]
+                all_ = np.concatenate([sets[j] for j in some.tolist()])
+                same = x[np.minimum(np.searchsorted(x, all_), len(x) - 1)] == all_
+                shared = np.add.reduceat(same, np.cumsum(n[some]) - n[some], dtype=np.int64)
+                on.append(some[shared >= similarity * (n[some] + len(x) - shared) - 1e-9])
+            return np.concatenate(on) if on else at
+
+        yield from _forest(label.copy(), _across(key, label, mine), linked)
+
+    return lambda batches: _cells(batches, pairs, shingles)
 
 
 def _wanted(bits: np.ndarray, whole: bool):
@@ -235,14 +320,17 @@ def _wanted(bits: np.ndarray, whole: bool):
     return run
 
 
-def _may_link(similarity: float, slots: int):
+def _may_link(similarity: float):
     """Pairs (u, v, sizes, sketches) whose sets can be that similar: their sketches differ by no more than the sets do."""
 
+    def differ(a: bytes, b: bytes) -> int:
+        slots = min(len(a), len(b))
+        return int(np.abs(fold(a, slots) - fold(b, slots)).sum(dtype=np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (np.asarray(batch.column(k)).astype(np.float64) for k in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, slots).astype(np.int16) for k in (4, 5))
-            apart = np.abs(a - b).sum(1, dtype=np.int64)
+            apart = np.array([differ(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.float64)
             on = np.maximum(apart, np.abs(n - m)) <= may_differ(n + m, similarity)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["u", "v"])
 
@@ -272,18 +360,18 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
     def exact(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda t, k: t.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
 
-        def sifted(pairs: DataFrame, t: DataFrame, slots: int) -> DataFrame:
+        def sifted(pairs: DataFrame, t: DataFrame) -> DataFrame:
             met = pairs.join(side(t, "u"), "u").join(side(t, "v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
-            return materialize(map_batches(met, _may_link(similarity, slots), "u long, v long"), f"{name}-maybe")
+            return materialize(map_batches(met, _may_link(similarity), "u long, v long"), f"{name}-maybe")
 
         def wanted(pairs: DataFrame) -> np.ndarray:
             ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
             return slots_of(each.select("id", F.col("low.dx").alias("dx")).join(ids, "id"), "dx", _SLOTS)
 
-        maybe = sifted(pairs, each, _SKETCH)
+        maybe = sifted(pairs, each)
         # a set may come more than once, from texts of one slot: then so does an edge
         finer = materialize(map_batches(docs, _wanted(wanted(maybe), False), "id long, n int, sketch binary"), f"{name}-finer")
-        maybe = sifted(maybe, finer, _FINER)
+        maybe = sifted(maybe, finer)
         texts = materialize(map_batches(docs, _wanted(wanted(maybe), True), "id long, whole binary"), f"{name}-texts")
         both = maybe.join(texts.select(F.col("id").alias("u"), F.col("whole").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("whole").alias("b")), "v")
         return materialize(map_batches(both.select("u", "v", "a", "b"), _exact(similarity), "u long, v long"), name)
@@ -296,26 +384,36 @@ def links(docs: DataFrame, each: DataFrame, similarity: float, common: np.ndarra
 
     keyed = map_batches(docs.select("text"), _prefix(similarity, common, often), "key long, id long")
     met = map_batches(keyed.repartition(n, "key").sortWithinPartitions("key", "id"), _buckets, "key long, id long, top long, m long")
-    met = materialize(met, "buckets")
+    met = materialize(met.distinct(), "buckets")
     stars = met.filter("id <> top").select(F.col("top").alias("u"), F.col("id").alias("v")).distinct()
     found = exact(same.unionByName(close).unionByName(stars).distinct(), "stars")
-    # rounds of nearest pairs close most groups, so that few pairs are left for the last, which takes all
-    for round_ in ("near", "nearer", "apart"):
-        roots = components(found)
-        rest = met.filter("m > 2")  # two are settled by the first comparison
-        rest = rest.join(roots, rest["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        chunks = F.ceil(F.col("m") / CHUNK)
-        mine = F.pmod(F.col("id"), chunks)
-        rest = rest.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        rest = rest.select("key", F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"))
-        rest = rest.join(each.select("id", "n", "sketch"), "id").select("key", "x", "y", "id", "label", "mine", "n", "sketch")
-        cells = ["key", "x", "y"]
-        pairs = map_batches(rest.repartition(n, *cells).sortWithinPartitions(*cells, "id"), _apart(similarity, round_ != "apart"), "u long, v long")
-        pairs = materialize(pairs.distinct(), f"{round_}-pairs")
-        if not pairs.isEmpty():
-            found = found.unionByName(exact(pairs, round_))
-    return found
+    roots = components(found)
+    labelled = lambda t: t.join(roots, t["id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "id")).drop("node", "root")
+
+    def dealt(t: DataFrame, parts: Column, key: str, *rest: str) -> DataFrame:
+        """Cells (key, x, y) of the members' chunks x and y, each with itself and with every other."""
+        mine = F.pmod(F.col("id"), parts)
+        t = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        return t.select(key, F.least(mine, "other").alias("x"), F.greatest(mine, "other").alias("y"), "id", "label", mine.alias("mine"), *rest)
+
+    def meet(t: DataFrame, key: str, last: str) -> DataFrame:
+        cells = [key, "x", "y"]
+        return t.select(*cells, "id", "label", "mine", "n", last).repartition(n, *cells).sortWithinPartitions(*cells, "id")
+
+    rest = labelled(met.filter("m > 2"))  # two are settled by the first comparison
+    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    rest = dealt(rest.join(mixed, "key"), F.ceil(F.col("m") / CHUNK), "key").join(each.select("id", "n", "sketch"), "id")
+    trees = materialize(map_batches(meet(rest, "key", "sketch"), _apart(similarity), "u long, v long").distinct(), "trees")
+    if trees.isEmpty():
+        return found
+    groups = components(trees)
+    groups = groups.select("node", "root").union(groups.select("root", "root")).distinct().toDF("id", "of")
+    members = materialize(labelled(groups.join(each.select("id", "n", F.col("low.dx").alias("dx")), "id")), "members")
+    texts = map_batches(docs, _wanted(slots_of(members, "dx", _SLOTS), True), "id long, whole binary")
+    sizes = members.groupBy("of").agg(F.ceil(F.sum("n") / ITEMS).alias("parts"))
+    cells = dealt(members.join(sizes, "of"), F.col("parts"), "of", "n")
+    joined = map_batches(meet(cells.join(texts, "id"), "of", "whole"), _joined(similarity), "u long, v long")
+    return found.unionByName(materialize(joined.distinct(), "joined"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

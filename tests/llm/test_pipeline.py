@@ -109,3 +109,49 @@ def test_near_copies_are_brute_force(spark, monkeypatch):
     assert kept_of(spark, texts) == set(root)
     monkeypatch.setattr(simhash_wide, "CHUNK", 3)
     assert kept_of(spark, texts) == set(root)
+
+
+def test_near_copies_below_the_limit_leave_no_pairs(spark, monkeypatch):
+    """Texts of one passage with words of their own (similarity 0.77), and some that do link: what is written grows with the
+    texts, not with their pairs."""
+    from quillstream.llm import simhash_wide
+
+    passage = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*passage, *(f"v{i}-{k}" for k in range(44))]) for i in range(120)]
+    for i in range(40, 43):  # like one in the middle, by words of its own
+        texts.append(f"{texts[i]} more")
+    assert 0.76 < jaccard(texts[0], texts[1]) < 0.78 and jaccard(texts[40], texts[120]) > 0.8
+    rows, write = {}, simhash_wide.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash_wide, "materialize", counted)
+    assert kept_of(spark, texts) == set(range(120))
+    assert max(rows.values()) < 25 * len(texts), rows
+    monkeypatch.setattr(simhash_wide, "ITEMS", 5000)
+    assert kept_of(spark, texts) == set(range(120))
+
+
+def test_groups_of_several_chunks_are_brute_force(spark, monkeypatch):
+    """Links that neither fingerprints nor the smallest of a bucket give, in a group that is dealt out as pairs of chunks."""
+    import random
+
+    from quillstream.llm import simhash_wide
+
+    rng = random.Random(5)
+    passage = [f"w{k}" for k in range(200)]
+    own = [[f"v{g}-{k}" for k in range(36)] for g in range(12)]
+    texts = [" ".join([*passage, *own[g][: 36 - rng.randrange(4)], *(f"u{g}-{i}-{k}" for k in range(rng.randrange(12)))]) for g in range(12) for i in range(6)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    assert kept_of(spark, texts) == set(root)
+    monkeypatch.setattr(simhash_wide, "ITEMS", 2000)
+    assert kept_of(spark, texts) == set(root)
